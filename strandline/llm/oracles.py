@@ -84,4 +84,19 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op2_pii": OP2, "op3_decontaminate": OP3}
+OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, hash(array_to_string(list_slice(w, s, s + 19), ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+gone AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS nth FROM win) WHERE nth > 1),
+cov AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM gone) GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM cov)),
+left_over AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM word LEFT JOIN (SELECT doc_id, unnest(ps) AS p, 1 AS g FROM cov) USING (doc_id, p) WHERE g IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op2_pii": OP2, "op3_decontaminate": OP3, "op6_substring_dedup": OP6}

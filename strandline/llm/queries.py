@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, pii, toxicity
+from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, pii, substring_dedup, toxicity
 from .common import read
 
 
@@ -35,6 +35,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -47,4 +51,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_decontaminate, op4_toxicity, op5_html_text, op7_licenses, op8_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_decontaminate, op4_toxicity, op5_html_text, op6_substring_dedup, op7_licenses, op8_language_id, op10_bpe)}
