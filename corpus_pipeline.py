@@ -1,22 +1,40 @@
-"""Five stages from raw documents to token counts; each reads what its predecessor kept."""
+"""Five stages from raw documents to tokens; each works on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, exact_dedup
+from strandline.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from strandline.llm.common import read, stored
+from strandline.llm.queries import vocabulary_path
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go."""
+    return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a similarity of 0.8 or more the one with the smallest id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a window of a benchmark item go."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact_dedup", exact), ("decontaminate", benchmark)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    return bpe.encode(docs, vocabulary_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("decontaminate", drop_contaminated), ("bpe", encode)]
 
 #: Learned scores and merge tables are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -153,4 +153,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     i, t = (docs.columns.index(c) for c in ("doc_id", "text"))
     bad = decontaminate(plain, items, f"_c{i}", f"_c{t}").filter("n_hit > 0").select(F.col(f"_c{i}").alias("_id"), F.col("th").alias("_th"))
     same = plain[f"_c{i}"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(plain[f"_c{t}"], F.lit(""))) == F.col("_th"))
-    return plain.join(stored(bad.distinct(), "contaminated"), same, "left_anti").toDF(*docs.columns)
+    bad = stored(bad.distinct(), "contaminated")
+    return plain.join(small(bad, bad.count(), 48), same, "left_anti").toDF(*docs.columns)

@@ -99,4 +99,21 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_re
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op2_pii": OP2, "op3_decontaminate": OP3, "op6_substring_dedup": OP6}
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+c AS (SELECT min(doc_id) AS c, w FROM d WHERE len(w) > 0 GROUP BY w),
+sh AS (SELECT DISTINCT c, list_slice(w, s, s + least(5, len(w)) - 1) AS g
+       FROM (SELECT c, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM c)),
+n AS (SELECT c, count(*) AS n FROM sh GROUP BY c),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM sh AS a JOIN sh AS b ON a.g = b.g AND a.c < b.c JOIN n AS x ON x.c = a.c JOIN n AS y ON y.c = b.c
+  GROUP BY a.c, b.c, x.n, y.n HAVING 9 * count(*) >= 4 * (x.n + y.n)),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(c, r) AS (SELECT c, c FROM c UNION SELECT reach.c, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r),
+cluster AS (SELECT c, min(r) AS class_id FROM reach GROUP BY c),
+deg AS (SELECT a AS c, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(c.c, d.doc_id) AS copy_of, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN c ON c.w = d.w LEFT JOIN cluster ON cluster.c = c.c LEFT JOIN deg ON deg.c = c.c
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op2_pii": OP2, "op3_decontaminate": OP3, "op6_substring_dedup": OP6, "op9_ngram_join": OP9}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, pii, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, ngram_join, pii, substring_dedup, toxicity
 from .common import read
 
 
@@ -47,8 +47,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(read(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_decontaminate, op4_toxicity, op5_html_text, op6_substring_dedup, op7_licenses, op8_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_decontaminate, op4_toxicity, op5_html_text, op6_substring_dedup, op7_licenses, op8_language_id, op9_ngram_join, op10_bpe)}
