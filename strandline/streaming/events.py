@@ -1,0 +1,46 @@
+"""Event streams: watermarks, windowed sums and deduplication."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.registry import query
+from ..sources.scratch import scratch
+from ..sources.tables import table
+
+
+def event_stream(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
+    """The events as a stream with a watermark on ``at``."""
+    schema = table(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return files.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+
+
+def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all that is there, in append mode, and reads what it wrote."""
+    spark = stream.sparkSession
+    out, state = scratch(spark, name), scratch(spark, f"{name}-state")
+    run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("""
+WITH m AS (SELECT epoch_us(max(ts)) - 3600000000 AS mark FROM events)
+SELECT epoch_us(date_trunc('day', ts)) AS started, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events, m
+GROUP BY 1, 2, mark HAVING epoch_us(date_trunc('day', ts)) + 86400000000 <= mark
+""")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed."""
+    events = event_stream(spark, sf_dir)
+    days = events.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    done = run_to_files(days.select(F.col("w.start").alias("start"), "event_type", "n", "value"), "tumbling")
+    return done.select(F.unix_micros("start").alias("started"), "event_type", "n", F.round("value", 2).alias("value"))
+
+
+@query("SELECT user_id, min(epoch_us(ts)) IS NOT NULL AS seen FROM events GROUP BY user_id")
+def stream_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user, kept once by the state store."""
+    first = event_stream(spark, sf_dir).dropDuplicates(["user_id"]).select("user_id", F.lit(True).alias("seen"))
+    return run_to_files(first, "users")
