@@ -8,7 +8,8 @@ be a repeat, and only those rows are shuffled. The others pass straight through.
 Nulls: a null text counts as empty. A null id is never the largest unless every
 id of the group is null. Repeated rows (same id and text) form a group; one of
 them stays. An empty table gives an empty result. Further columns of the input
-are carried along; names that start with an underscore are reserved.
+are carried along, but for those named like a result column, which it replaces;
+names that start with an underscore are reserved.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .common import MAX_BROADCAST_BYTES, attach_groups, stored
 
 BLOCK = 32_768
 BITS_PER_ROW = 32
+RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def _slots(sha: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -53,7 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the row with the largest id is kept. A filter of more than
     ``max_filter_bytes`` isn't broadcast; then all rows take the shuffled way.
     """
-    columns = [c for c in docs.columns if not (drop_text and c == text_col)]
+    columns = [c for c in docs.columns if c not in RESULTS and not (drop_text and c == text_col)]
     base = docs.select(*[F.col(c) for c in columns], F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
     if drop_text and columns == [id_col]:
         base = stored(base, "hashes")

@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     key = F.col("doc_id").cast("string")
     chosen = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(key) % 5 != 0)).select("doc_id", F.col("toxic").alias("y")).dropDuplicates(["doc_id"])
     chosen = chosen.orderBy(F.xxhash64(key), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]).select("text", "y")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("y").cast("int").alias("y"))
     rows = rows.persist()
     try:
         sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}

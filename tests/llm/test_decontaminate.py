@@ -1,0 +1,69 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+from strandline.llm import decontaminate
+from strandline.llm.oracles import ORACLES
+from strandline.llm.queries import QUERIES
+
+
+def words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def brute(text, items):
+    w, hit, ids = words(text), set(), set()
+    for i, t in items:
+        iw = words(t)
+        n = min(10, len(iw))
+        wins = {tuple(iw[k : k + n]) for k in range(len(iw) - n + 1)} if n else set()
+        for k in range(len(w) - n + 1 if n else 0):
+            if tuple(w[k : k + n]) in wins:
+                hit.update(range(k, k + n))
+                ids.add(i)
+    listed = ",".join(sorted(str(i) for i in ids if i is not None))
+    return len(w), len(hit), len(ids - {None}), hashlib.sha256(listed.encode()).hexdigest(), bool(hit)
+
+
+def result(df):
+    return Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect())
+
+
+def test_query(spark, sf_dir, same_rows):
+    same_rows(QUERIES["op3_decontaminate"](spark, sf_dir), ORACLES["op3_decontaminate"])
+
+
+def test_random(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(12)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, text(rng.randint(0, 25))) for k in range(25)] + [(100, "zebra"), (101, None), (102, "!!"), (100, "zebra"), (7, "A É b")]
+    docs = []
+    for k in range(60):
+        t = text(rng.randint(0, 40))
+        if k % 2:
+            own = rng.choice(items)[1] or ""
+            t = " ".join([*t.split()[:5], *own.upper().split()[rng.randint(0, 3) :], *t.split()[5:]])
+        docs.append((k, t))
+    docs += [(200, "zebra zebra"), (201, None), (202, ""), (200, "zebra zebra"), (None, "a É b"), (203, "w1 " * 500)]
+    found = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert result(found) == Counter((i, *brute(t, items)) for i, t in docs)
+
+
+def test_proximity(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    loose = "alpha beta gamma uno delta epsilon dos zeta eta theta iota tres kappa lambda"
+    docs = spark.createDataFrame([(1, loose), (2, "alpha and nothing else"), (3, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.proximity_matches(docs, items).collect()} == {(1, 5), (3, 5)}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, items).filter("n_hit > 0").collect()} == {3}
+
+
+def test_awkward(awkward, nothing, spark, rows):
+    items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and runs far"), (None, "x")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(awkward, items)
+    assert kept.columns == awkward.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[1] is None or not ("quick" in r[1] or r[1] == "x"))
+    assert decontaminate.report(nothing, items).count() == 0
+    assert decontaminate.report(awkward, items.limit(0)).filter("contaminated").count() == 0

@@ -1,0 +1,63 @@
+import hashlib
+import re
+from collections import Counter
+
+from strandline.llm import pii
+from strandline.llm.oracles import ORACLES
+from strandline.llm.queries import QUERIES
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+TEXTS = [
+    "mail a.b@c.de_x@y.zz, 1.2.3.4.5.6.7.8 999.1.1.1 256.1.1.1 0255.01.1.1",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 378282246310005 +1 (555) 123-4567 +12 3 +123456789012345678",
+    "é漢字😀 call +49 30 1234567 or x@y.z",
+    "account DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32 or DE89 3704 0044 0532 0130 01",
+    "ssn 123-45-6789 but order no 123-45-6780 and 000-12-3456",
+    "@@..@ a@b a@b. a@.c 1-2-3 " + "7" * 5000 + " a" * 50 + "b" * 3000,
+    None,
+    "",
+]
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(text):
+    out = {}
+    for kind, p in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 16 <= len(d) <= 19 and luhn(d)) or (kind == "phone" and 8 <= len(d) <= 15):
+                out[kind].append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_query(spark, sf_dir, same_rows):
+    same_rows(QUERIES["op2_pii"](spark, sf_dir), ORACLES["op2_pii"])
+
+
+def test_spans(spark):
+    rows = pii.report(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        expected = brute(TEXTS[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(expected[k]) for k in PATTERNS]
+        base = ",".join(x for k in PATTERNS for x in expected[k])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert r.spans.startswith(base)
+    spans = {r.doc_id: r.spans for r in rows}
+    assert spans[3].count("iban:") == 2
+    assert spans[4] == "ssn:4:15"
+
+
+def test_context_moves_scores(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.cc"), (2, "example a@b.cc"), (3, "zz a@b.cc")], "doc_id long, text string")
+    scores = {r.doc_id: r.email[0].score for r in pii.find_pii(docs).collect()}
+    assert scores == {1: 1.0, 2: 0.6, 3: 0.9}
+
+
+def test_awkward(awkward, nothing, rows):
+    assert Counter(r.doc_id for r in pii.report(awkward).collect()) == Counter(r[0] for r in rows)
+    assert pii.report(nothing).count() == 0
