@@ -35,16 +35,13 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list
     return joined.select(*left.columns, best[at].alias(f"{at}_right"), *[best[v].alias(v) for v in values])
 
 
-_MICROS = F.unix_micros(F.col("ts").cast("timestamp"))
-
-
 @query("""
 WITH p AS (SELECT event_id, user_id, epoch_us(ts) AS at FROM events WHERE event_type = 'purchase'),
 c AS (SELECT user_id, epoch_us(ts) AS at, event_id AS click_id FROM events WHERE event_type = 'click')
 SELECT p.event_id, p.user_id, p.at, c.at AS at_right, c.click_id FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.at >= c.at
 """)
 def as_of_last_click(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", _MICROS.alias("at"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     bought = events.filter("event_type = 'purchase'").drop("event_type")
     clicks = events.filter("event_type = 'click'").select("user_id", "at", F.col("event_id").alias("click_id"))
     return as_of_join(bought, clicks, "user_id", "at", ["click_id"], 86_400_000_000)
@@ -62,11 +59,11 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("user_id", F.unix_micros("w.start").alias("started"), "n", "value")
 
 
-@query("SELECT epoch_us(date_trunc('day', ts)) AS started, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("SELECT epoch_us(date_trunc('day', ts)) AS started, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    grouped = rows.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
-    return grouped.select(F.unix_micros("w.start").alias("started"), "event_type", "n", "mean")
+    grouped = rows.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    return grouped.select(F.unix_micros("w.start").alias("started"), "event_type", "n", "value")
 
 
 @query("""
