@@ -160,8 +160,9 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         again = ~new
         again[:-1] |= ~new[1:]
         done = np.sort(chosen[again])
-        c = chosen[new]
-        yield pa.RecordBatch.from_arrays([_signed(key[new]), pa.array(th[row[c]]), pa.array(at[c].astype(np.int32)), pa.nulls(len(c), pa.list_(pa.int32()))], names=["key", "th", "pos", "done"])
+        order = np.argsort(chosen[new])  # in the order of the texts, which shuffle files compress well
+        c, key = chosen[new][order], key[new][order]
+        yield pa.RecordBatch.from_arrays([_signed(key), pa.array(th[row[c]]), pa.array(at[c].astype(np.int32)), pa.nulls(len(c), pa.list_(pa.int32()))], names=["key", "th", "pos", "done"])
         has = np.unique(row[done])
         settled = _lists(np.searchsorted(has, row[done]), at[done], len(has))
         yield pa.RecordBatch.from_arrays([pa.array(th[has]), pa.array(th[has]), pa.nulls(len(has), pa.int32()), settled], names=["key", "th", "pos", "done"])
@@ -189,8 +190,9 @@ def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
         equal = (wid == wid[lead]) & (at[w] == at[w[lead]])  # the first itself, or a repeated row of it
-        c = w[new]
-        yield pa.RecordBatch.from_arrays([_signed(h[new]), pa.array(h2[new]), pa.array(ids[row[c]]), pa.array(th[row[c]]), pa.array(at[c].astype(np.int32)), pa.nulls(len(c), pa.list_(pa.int32()))], names=["h", "h2", "id", "th", "pos", "done"])
+        order = np.argsort(w[new])
+        c, h, h2 = w[new][order], h[new][order], h2[new][order]
+        yield pa.RecordBatch.from_arrays([_signed(h), pa.array(h2), pa.array(ids[row[c]]), pa.array(th[row[c]]), pa.array(at[c].astype(np.int32)), pa.nulls(len(c), pa.list_(pa.int32()))], names=["h", "h2", "id", "th", "pos", "done"])
         later = np.sort(w[~equal])
         has = np.unique(row[later])
         settled = _lists(np.searchsorted(has, row[later]), at[later], len(has))
@@ -205,8 +207,9 @@ def keep_words(text: str, starts: np.ndarray, whole: bool) -> tuple[int, int, st
     if whole:
         return len(words), len(words), ""
     cover = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + SPAN, -1)
+    starts = np.unique(starts)
+    cover[starts] += 1
+    cover[starts + SPAN] -= 1
     gone = np.cumsum(cover[:-1]) > 0
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone, strict=True) if not g]).decode()
 
@@ -230,8 +233,8 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     rows = docs.join(wanted, ["th", "id"]).select("id", "th", "text", "places")
     seen = rows.mapInArrow(_find_windows, "h long, h2 int, id long, th long, pos int, done array<int>")
     later = F.rank().over(Window.partitionBy("h", "h2").orderBy("id", "pos"))
-    gone = seen.withColumn("nth", later).filter("done is not null or nth > 1").select("th", "id", F.coalesce("done", F.array("pos")).alias("p"))
-    starts = gone.groupBy("th", "id").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("starts"))
+    gone = seen.withColumn("nth", later).filter("done is not null or nth > 1")
+    starts = gone.groupBy("th", "id").agg(F.concat(F.collect_list("pos"), F.flatten(F.collect_list("done"))).alias("starts"))
     whole = copies.select("th", "id", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole"))
     return starts.withColumn("whole", F.lit(False)).unionByName(whole)
 
@@ -239,9 +242,10 @@ def removed_windows(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256), with ``keep_text`` also the kept text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.col(id_col).alias("_own"), F.coalesce(F.col(id_col), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    gone = removed_windows(plain.select("id", "th", "text"))
-    rows = plain.join(gone, ["th", "id"], "left").select("_own", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
+    plain = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    gone = removed_windows(plain)
+    # The same exchange of the texts serves this join and the one inside.
+    rows = plain.join(gone, ["th", "id"], "left").select(F.when(F.col("id") != LAST, F.col("id")).alias("own"), "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
