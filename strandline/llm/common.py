@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lower-cased words: runs of ASCII digits, a-z and anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between lower-cased words; words are runs of ASCII digits, a-z and anything beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 
 #: A broadcast side must be proven smaller than this; beyond it the join shuffles.
 MAX_BROADCAST_BYTES = 64 << 20
@@ -76,7 +76,7 @@ def ascii_lower(text: Column) -> Column:
 
 def word_array(text: Column) -> Column:
     """The lower-cased words of a text; none for null."""
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
