@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 #: What lies between lower-cased words; words are runs of ASCII digits, a-z and anything beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 
@@ -22,21 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary folder serves, but only for a local master.
-    """
-    key = "spark.checkpoint.dir"
-    at = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(key, at)
-    return at
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -44,7 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     outlive it. The files go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
@@ -84,17 +73,50 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= MAX_BROADCAST_BYTES else df
 
 
-def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot_share: float = 1e-4) -> DataFrame:
-    """``rows`` inner-joined with their ``groups`` on ``key``, whatever the skew.
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", hot_share: float = 1e-4) -> DataFrame:
+    """``rows`` joined ("inner" or "left") with their ``groups`` on ``key``, whatever the skew.
 
     Groups with at least ``hot_share`` of ``total`` rows number at most
     ``1 / hot_share``; they are broadcast. The others meet in a shuffle in which
-    no key has more than that share.
+    no key has more than that share: rows of hot groups, and those without a key,
+    are dealt by all their columns there and find nothing.
     """
     least = max(1000, int(total * hot_share))
     extra = [c for c in groups.columns if c != key]
-    hot = groups.filter(F.col(size) >= least).select(F.col(key).alias("_hot"), F.struct(*extra).alias("_g"))
+    group = F.struct(*extra)
+    hot = groups.filter(F.col(size) >= least).select(F.col(key).alias("_hot"), group.alias("_warm"))
+    cold = groups.filter(F.col(size) < least).select(F.col(key).alias("_key"), group.alias("_cold"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    warm = marked.filter("_hot is not null").select(*rows.columns, *[F.col(f"_g.{c}").alias(c) for c in extra])
-    cold = marked.filter("_hot is null").select(*rows.columns).join(groups.filter(F.col(size) < least), key)
-    return warm.select(*cold.columns).unionAll(cold)
+    met = F.col("_hot").isNull() & F.col(key).isNotNull()
+    spread = F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)
+    joined = marked.withColumn("_at", F.when(met, F.col(key)).otherwise(spread)).withColumn("_met", met).join(cold, F.col("_at") == F.col("_key"), "left")
+    found = F.when(F.col("_met"), F.col("_cold")).otherwise(F.col("_warm"))
+    out = joined.select(*rows.columns, found.alias("_group"))
+    if how == "inner":
+        out = out.filter("_group is not null")
+    return out.select(*rows.columns, *[F.col(f"_group.{c}").alias(c) for c in extra])
+
+
+def bounded(df: DataFrame, key: Column, most: int, spare: int = 4) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``.
+
+    A hash bound that leaves about ``spare * most`` rows comes first, so that the
+    single task which sorts them gets a number of rows that doesn't grow.
+    """
+    cells = 1 << 40
+    share = min(1.0, spare * most / max(1, df.count()))
+    h = F.xxhash64(key)
+    kept = df if share == 1.0 else df.filter(F.pmod(h, F.lit(cells)) < int(share * cells))
+    return kept.orderBy(F.pmod(h, F.lit(cells)), key).limit(most)
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1 << 20, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``rows`` rows and ``most`` bytes of text, or a single longer text."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + most, side="right"))))
+        yield batch.slice(start, end - start)
+        start = end

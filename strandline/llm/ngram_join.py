@@ -6,8 +6,8 @@ between classes, and copies are never paired with each other.
 
 1. Each text gets 216 MinHash values. Bands of six values are bucket keys: two
    texts at 0.8 share none of 36 with probability 2e-5, more similar ones less.
-2. Classes that share buckets form candidate groups (connected through buckets).
-   A group is compared in blocks, so that no task holds more than two blocks.
+2. Classes that share a bucket are candidates; of buckets with equal members one
+   is kept. A bucket is compared in blocks, so that no task holds more than two.
 3. Pairs are compared a few MinHash values at a time. With ``m`` of ``n`` equal,
    the similarity has the posterior Beta(m + 1, n - m + 1); a pair whose chance
    of reaching the threshold is below ``tolerance`` is dropped.
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_groups, small, stored
+from .common import attach_groups, slices, small, stored
 
 WORDS, SIMILARITY = 5, 0.8
 BAND, BANDS = 6, 36
@@ -38,8 +38,10 @@ HASHES = BAND * BANDS
 STEP = 24
 TOLERANCE = 1e-6
 BLOCK = 1024
-#: Candidate groups of more classes are compared bucket by bucket instead.
-GIANT = 50_000
+#: Shingles of a block's texts, on average, beyond which blocks are smaller.
+HEAVY = 2000
+#: Parts into which each group is split before nodes are connected.
+SPLIT = 64
 LAST = (1 << 63) - 1
 #: Every ASCII byte that is in no word becomes a space.
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -111,8 +113,7 @@ def least_matches(tolerance: float = TOLERANCE, t: float = SIMILARITY) -> list[t
 def _describe(batches: Iterator[pa.RecordBatch], group: int = 256) -> Iterator[pa.RecordBatch]:
     """(id, th, cls, n, sig, keys) of each text; cls is null where there are no words."""
     for batch in batches:
-        for at in range(0, batch.num_rows, group):
-            part = batch.slice(at, group)
+        for part in slices(batch, 2, group):
             words = [word_list(t) for t in part.column(2).to_pylist()]
             rows = [i for i, w in enumerate(words) if w]
             sets = [shingles(words[i]) for i in rows]
@@ -130,9 +131,9 @@ def _describe(batches: Iterator[pa.RecordBatch], group: int = 256) -> Iterator[p
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cls, sh) for (cls, text); the shingles are sorted as signed numbers."""
-    for batch in batches:
-        sets = [shingles(word_list(t)) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["cls", "sh"])
+    for part in (p for b in batches for p in slices(b, 1)):
+        sets = [shingles(word_list(t)) for t in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["cls", "sh"])
 
 
 def survivors(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, least: list[tuple[int, int]], rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -228,13 +229,15 @@ def verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], size: np.ndar
     return a[keep], b[keep]
 
 
-def blocks(members: DataFrame, sized: DataFrame, total: int, cols: list[str]) -> DataFrame:
-    """Rows (grp, cls, ...) spread over the pairs of blocks of their group."""
-    rows = attach_groups(members, sized, "grp", "size", total)
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("nb", nb).withColumn("blk", F.pmod(F.xxhash64(F.lit(5), "cls"), F.col("nb")).cast("int"))
+def blocks(members: DataFrame, total: float, cols: list[str]) -> DataFrame:
+    """Rows (grp, size, cls, ...) spread over the pairs of blocks of their group.
+
+    ``size`` counts members, or what they weigh in members of ordinary length.
+    """
+    rows = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64(F.lit(5), "cls"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    few = max(1, total // (2 * BLOCK))  # small groups share a task, each pair of blocks has its own
+    few = max(1, int(total) // (2 * BLOCK))  # small groups share a task, each pair of blocks has its own
     rows = rows.select("grp", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "nb", *cols)
     task = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("grp"), F.lit(few))).otherwise(F.xxhash64("grp", "i", "j"))
     return rows.withColumn("task", task).drop("nb")
@@ -248,31 +251,29 @@ def compare(rows: DataFrame, exact: bool, tolerance: float) -> DataFrame:
 def components(members: DataFrame) -> DataFrame:
     """(node, label): the smallest node reached from each through shared groups (grp, node).
 
-    Labels go from nodes to groups and back; from the third round on each label
-    is also replaced by its own label, so long chains halve. Every round is
-    stored, and hot groups and labels are met by :func:`attach_groups`.
+    Every group is first split into parts, and the smallest nodes of its parts
+    form one more, so that no part grows as the group does. Labels then go from
+    nodes to parts and back; from the second round on a label that has itself a
+    smaller label gives way to that, which halves long chains. Every round is
+    stored.
     """
-    members = stored(members.select("grp", "node").distinct(), "members")
-    total = members.count()
-    labels = stored(members.groupBy("node").agg(F.min("node").alias("label")), "labels")
-    for turn in range(64):
-        held = members.join(labels, "node")
-        low = held.groupBy("grp").agg(F.min("label").alias("low"), F.count("*").alias("size"))
-        reached = attach_groups(members, low, "grp", "size", total).groupBy("node").agg(F.min("low").alias("new"))
-        both = labels.join(reached, "node").select("node", "label", F.least("label", "new").alias("new"))
-        if turn >= 2:
-            both = stored(both, "reached")
-            own = both.groupBy("new").agg(F.count("*").alias("size")).join(both.select(F.col("node").alias("new"), F.col("new").alias("next")), "new")
-            both = attach_groups(both, own, "new", "size", total).select("node", "label", F.least("new", "next").alias("new"))
-        both = stored(both, "labels")
-        labels = both.select("node", F.col("new").alias("label"))
-        if both.filter("label != new").isEmpty():
+    part = F.pmod(F.xxhash64("node"), F.lit(SPLIT)).cast("int")
+    split = members.select("grp", "node", part.alias("part"))
+    tops = split.groupBy("grp", "part").agg(F.min("node").alias("node")).select("grp", "node", F.lit(-1).alias("part"))
+    rows = split.unionByName(tops).withColumn("label", F.col("node"))
+    by_part, by_node = Window.partitionBy("grp", "part"), Window.partitionBy("node")
+    for turn in range(200):
+        rows = rows.withColumn("old", F.col("label"))
+        for _ in range(2):
+            rows = rows.withColumn("label", F.min("label").over(by_part)).withColumn("label", F.min("label").over(by_node))
+        rows = stored(rows, "labels")
+        if rows.filter("label != old").isEmpty():
             break
-    return labels
-
-
-def _sized(members: DataFrame) -> DataFrame:
-    return members.groupBy("grp").agg(F.count("*").alias("size"))
+        rows = rows.drop("old")
+        if turn:
+            onward = stored(rows.filter("label != node").join(rows.select(F.col("label").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("label"), F.col("label").alias("next")).distinct(), "onward")
+            rows = rows.join(small(onward, onward.count(), 48), "label", "left").select("grp", "node", "part", F.coalesce("next", "label").alias("label"))
+    return rows.groupBy("node").agg(F.min("label").alias("label"))
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
@@ -285,53 +286,41 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     rows = stored(plain.mapInArrow(_describe, "id long, th long, cls long, n int, sig binary, keys array<long>"), "minhash")
+    total = rows.count()
     named = rows.filter("cls is not null")
     reps = stored(named.groupBy("cls").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("n_copies")), "classes")
-
-    banded = named.select(F.explode("keys").alias("grp"), "cls")
-    shared = banded.groupBy("grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("grp", "size")
-    buckets = stored(attach_groups(banded, shared, "grp", "size", named.count() * BANDS).select("grp", "cls").distinct(), "buckets")
-    near = components(buckets.withColumnRenamed("cls", "node")).select(F.col("label").alias("grp"), F.col("node").alias("cls"))
-
-    # Candidate groups on signatures alone; giant ones bucket by bucket.
-    sized = stored(_sized(near), "sized")
-    giant = sized.filter(F.col("size") > GIANT)
-    members, sizes = near, sized
-    if not giant.isEmpty():
-        inside = attach_groups(near, giant, "grp", "size", near.count()).select("cls")
-        own = buckets.join(inside, "cls").select("grp", "cls")
-        members = near.join(F.broadcast(giant.select("grp")), "grp", "left_anti").unionByName(own)
-        sizes = sized.filter(F.col("size") <= GIANT).unionByName(_sized(own))
-    members = stored(members, "candidates")
-    known = named.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "sig").dropDuplicates(["cls"])
-    spread = blocks(members.join(known, "cls"), sizes, members.count(), ["cls", "n", "sig"])
+    known = stored(named.select("cls", "n", "sig", "keys").dropDuplicates(["cls"]), "signatures")
+
+    # Buckets that several classes share, one of those with equal members.
+    banded = known.select(F.explode("keys").alias("grp"), "cls")
+    one, two = F.xxhash64("cls"), F.xxhash64(F.lit(1), "cls")
+    shared = banded.groupBy("grp").agg(F.count("*").alias("size"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).filter("size > 1")
+    shared = stored(shared.groupBy("size", "x", "y").agg(F.min("grp").alias("grp")).select("grp", "size"), "buckets")
+    n_members = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    members = attach_groups(banded, shared, "grp", "size", total * BANDS)
+    spread = blocks(members.join(known.select("cls", "n", "sig"), "cls"), n_members, ["cls", "n", "sig"])
     left = stored(compare(spread, False, tolerance), "left")
-    close = stored(components(left.select("grp", F.col("cls").alias("node"))), "close").select(F.col("label").alias("grp"), F.col("node").alias("cls"))
+    near = components(left.select("grp", F.col("cls").alias("node")).distinct()).select(F.col("label").alias("grp"), F.col("node").alias("cls"))
+    close = stored(near.join(known.select("cls", "n", "sig"), "cls"), "close")
 
     # What is left is verified on the shingles, read from one text of each class.
-    n_close = close.count()
-    wanted = close.join(reps, "cls").select("cls", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
-    texts = plain.join(small(wanted, n_close, 48), ["id", "th"]).dropDuplicates(["cls"]) if n_close else plain.join(wanted, ["id", "th"])
-    sets = texts.select("cls", "text").mapInArrow(_shingle_rows, "cls long, sh array<long>")
-    full = close.join(known, "cls").join(sets, "cls")
-    spread = blocks(full, _sized(close), n_close, ["cls", "n", "sig", "sh"])
-    linked = stored(compare(spread, True, tolerance), "linked")
-    clusters = stored(components(linked.select("grp", F.col("cls").alias("node"))), "clusters").select(F.col("label").alias("cluster"), F.col("node").alias("cls"))
-    links = linked.groupBy("cls").agg(F.sum("links").alias("n_links"))
-
-    of_class = reps.select("cls", F.col("rep.id").alias("copy_of"), "n_copies").join(clusters, "cls", "left").join(links, "cls", "left")
-    of_class = stored(of_class.withColumn("cluster", F.coalesce("cluster", "cls")), "of_class")
-    first = of_class.groupBy("cluster").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("size"))
-    several = first.filter("size > 1")
-    grouped = attach_groups(of_class, several, "cluster", "size", n_close).select("cls", "n_copies", "copy_of", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    alone = of_class.join(several.select("cluster"), "cluster", "left_anti").filter("n_copies > 1").select("cls", "n_copies", "copy_of", F.col("copy_of").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    groups = stored(grouped.unionByName(alone), "groups")
-    total = rows.count()
-    inside = attach_groups(named.select("id", "th", "cls"), groups, "cls", "n_copies", total).select("id", "th", "class_id", "copy_of", "n_links", "n_copies")
-    rest = rows.select("id", "th", "cls").join(groups.select("cls"), "cls", "left_anti")
-    one = F.lit(1).cast("long")
-    rest = rest.select("id", "th", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), one.alias("n_copies"))
-    return inside.unionByName(rest)
+    weight = F.sum(F.greatest(F.lit(1.0), F.col("n") / HEAVY))
+    n_close, w_close = close.agg(F.count("*"), F.coalesce(weight, F.lit(0.0))).first()
+    wanted = stored(close.join(reps, "cls").select("cls", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")), "wanted")
+    texts = plain.join(small(wanted, n_close, 48), ["id", "th"])
+    sets = texts.select("cls", "text").mapInArrow(_shingle_rows, "cls long, sh array<long>").dropDuplicates(["cls"])
+    full = attach_groups(close, close.groupBy("grp").agg(weight.alias("size")), "grp", "size", n_close).join(sets, "cls")
+    linked = stored(compare(blocks(full, w_close, ["cls", "n", "sig", "sh"]), True, tolerance), "linked")
+    clusters = components(linked.select("grp", F.col("cls").alias("node")).distinct()).select(F.col("label").alias("cluster"), F.col("node").alias("cls"))
+    clusters = stored(clusters.join(linked.groupBy("cls").agg(F.sum("links").alias("n_links")), "cls").join(reps.select("cls", F.col("rep.id").alias("own")), "cls"), "clusters")
+
+    first = clusters.groupBy("cluster").agg(F.min("own").alias("class_id"), F.count("*").alias("size"))
+    grouped = attach_groups(clusters.select("cls", "n_links", "cluster"), first, "cluster", "size", n_close).select("cls", "n_links", "class_id")
+    of_class = reps.select("cls", F.col("rep.id").alias("copy_of"), "n_copies").join(grouped, "cls", "left").filter("n_copies > 1 or class_id is not null")
+    found = attach_groups(rows.select("id", "th", "cls"), of_class, "cls", "n_copies", total, "left")
+    own = F.coalesce("copy_of", "id")
+    zero, single = (F.lit(k).cast("long") for k in (0, 1))
+    return found.select("id", "th", F.coalesce("class_id", own).alias("class_id"), own.alias("copy_of"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", single).alias("n_copies"))
 
 
 def report(docs: DataFrame) -> DataFrame:

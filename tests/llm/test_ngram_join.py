@@ -60,15 +60,14 @@ def test_query(spark, sf_dir, same_rows):
     same_rows(QUERIES["op9_ngram_join"](spark, sf_dir), ORACLES["op9_ngram_join"])
 
 
-def test_near_copies_and_awkward(spark, rows, monkeypatch):
+def test_near_copies_and_awkward(spark, rows):
     docs = near_copies() + [(r[0] + 5000 if r[0] else r[0], r[1]) for r in rows]
     assert result(ng.report(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
 
-def test_blocks_and_giant_groups(spark, monkeypatch):
-    """Groups cut into several blocks, and compared bucket by bucket, give the same."""
+def test_blocks(spark, monkeypatch):
+    """Groups cut into several blocks give the same."""
     monkeypatch.setattr(ng, "BLOCK", 4)
-    monkeypatch.setattr(ng, "GIANT", 6)
     docs = near_copies()
     assert result(ng.report(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
