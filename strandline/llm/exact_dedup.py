@@ -5,8 +5,8 @@ of 32,768 slots, three slots a hash) and keeps the slots that were hit twice.
 Pass two probes each row: only where all three slots were hit twice may the text
 be a repeat, and only those rows are shuffled. The others pass straight through.
 
-Nulls: a null text counts as empty. A null id is never the largest unless every
-id of the group is null. Repeated rows (same id and text) form a group; one of
+Ids are integers. Nulls: a null text counts as empty. A null id is never the
+largest unless every id of the group is null. Repeated rows (same id and text) form a group; one of
 them stays. An empty table gives an empty result. Further columns of the input
 are carried along, but for those named like a result column, which it replaces;
 names that start with an underscore are reserved.
@@ -21,6 +21,8 @@ from .common import MAX_BROADCAST_BYTES, attach_groups, stored
 
 BLOCK = 32_768
 BITS_PER_ROW = 32
+#: Stands for a null id, so that equal ids meet in plain equality and one exchange serves window and join.
+NO_ID = -(1 << 63)
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -49,6 +51,10 @@ def _maybe_repeated(sha: Column, blocks: int) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def _named(column: str) -> Column:
+    return F.when(F.col(column) != NO_ID, F.col(column)).alias("keep_id")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_text: bool = False, max_filter_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256.
 
@@ -56,7 +62,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``max_filter_bytes`` isn't broadcast; then all rows take the shuffled way.
     """
     columns = [c for c in docs.columns if c not in RESULTS and not (drop_text and c == text_col)]
-    base = docs.select(*[F.col(c) for c in columns], F.col(id_col).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
+    base = docs.select(*[F.col(c) for c in columns], F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
     if drop_text and columns == [id_col]:
         base = stored(base, "hashes")
         narrow = base.select("_id", "_sha")
@@ -82,14 +88,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decided = attach_groups(named.distinct(), groups, "_sha", "group_size", total)
     # One exchange for the suspects, on (_sha, _id), which is as good as unique.
     nth = F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.lit(0)))
-    same = (F.col("s._sha") == F.col("d._sha")) & F.col("s._id").eqNullSafe(F.col("d._id"))
+    same = (F.col("s._sha") == F.col("d._sha")) & (F.col("s._id") == F.col("d._id"))
     joined = suspects.withColumn("_nth", nth).alias("s").join(decided.alias("d"), same)
     own = [F.col(f"s.{c}") for c in columns]
-    kept = F.col("s._id").eqNullSafe(F.col("d.keep_id")) & (F.col("_nth") == 1)
-    out = joined.select(*own, F.col("d.keep_id"), F.col("d.group_size"), kept.alias("kept"), F.col("s._sha").alias("text_sha256"))
+    kept = (F.col("s._id") == F.col("d.keep_id")) & (F.col("_nth") == 1)
+    out = joined.select(*own, _named("d.keep_id"), F.col("d.group_size"), kept.alias("kept"), F.col("s._sha").alias("text_sha256"))
     if single is None:
         return out
-    alone = single.select(*columns, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
+    alone = single.select(*columns, _named("_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
     return alone.unionAll(out)
 
 
