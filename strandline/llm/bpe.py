@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import MAX_BROADCAST_BYTES
+from .common import MAX_BROADCAST_BYTES, slices
 
 #: Code points that separate words (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -266,8 +266,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(shipped.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, group):
-                part = batch.slice(k, group)
+            for part in slices(batch, 1, group):
                 rows = list(enc.encode([t or "" for t in part.column(1).to_pylist()]))
                 cols = [
                     part.column(0),
