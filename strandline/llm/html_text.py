@@ -4,7 +4,8 @@ A page is read as words and tags. A word scores by what encloses it, a tag costs
 one linear scan finds the contiguous region of the highest sum, and its blocks
 are the text. The weights are log odds counted on labelled pages: those with an
 ``article`` or ``main`` element, whose inside is the content. At most
-``max_labelled`` of them serve, those whose ids have the smallest hashes.
+``max_labelled`` of them serve, from the twice as many pages whose ids have the
+smallest hashes.
 
 Nulls: null html is empty and gives empty text. Pages without words that score
 above zero give empty text. Repeated rows give repeated results; an empty table
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 MAX_LABELLED = 2000
 # Fixed values of HTML: elements whose content isn't text, elements without an end, and blocks.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "select", "button"}
@@ -84,7 +87,7 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
                 del stack[open_p[-1] :]
             top = stack[-1] if stack else ("", False, False)
         marks = [w for a in MARKED.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(a).lower())] if m[3] else []
-        boiler = top[1] or tag in BOILERPLATE or (tag == "header" and not top[2]) or any(MARKS.match(w) for w in marks)
+        boiler = top[1] or tag in BOILERPLATE or ((tag == "header" or "header" in marks) and not top[2]) or any(MARKS.match(w) for w in marks)
         content = top[2] or tag in CONTENT
         yield "tag", tag, boiler, content, tag in BLOCK
         if tag not in VOID and not html.startswith("/>", pos - 2):
@@ -107,8 +110,10 @@ def count_page(html: str) -> Counter:
 
 def learn_weights(pages: DataFrame, id_col: str, html_col: str, max_labelled: int = MAX_LABELLED) -> dict[str, float]:
     """Log odds of each feature on the labelled pages; words score up to 2, tags below 0."""
+    ids = bounded(pages.select(F.col(id_col).alias("_id")).filter("_id is not null"), F.col("_id").cast("string"), 2 * max_labelled)
     labelled = pages.filter(F.col(html_col).rlike("(?i)<(?:article|main)[\\s>]"))
-    sample = labelled.select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).orderBy("h", "html").limit(max_labelled)
+    sample = labelled.select(F.col(html_col).alias("html"), F.col(id_col).alias("_id")).join(F.broadcast(ids.distinct()), "_id")
+    sample = sample.orderBy(F.xxhash64(F.col("_id").cast("string")), "html").limit(max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
