@@ -35,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_groups, stored
+from .common import attach_groups, slices, stored
 
 SPAN = 20
 #: Words of an anchor's name, the first place in a window from which cuts are safe, and places to choose from.
 KEY, SAFE, CHOICE = 6, 4, 11
 ROUNDS = 2
+#: Bytes of text whose names are held at once.
+SLICE = 16 << 20
 LAST = (1 << 63) - 1
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -148,7 +150,7 @@ def _lists(row: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, th, pos) of an anchor whose name is new in the batch, or (th, done) with the repeated ones."""
-    for batch in batches:
+    for batch in (p for b in batches for p in slices(b, 1, most=SLICE)):
         by_text = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         th = np.array(list(by_text), dtype=np.int64)
         names, first, left, row, at = _flat(list(by_text.values()))
@@ -170,7 +172,7 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, h2, id, th, pos) of the first of equal windows in the batch, or (id, th, done) with the later ones."""
-    for batch in batches:
+    for batch in (p for b in batches for p in slices(b, 2, most=SLICE)):
         ids, th = (batch.column(k).to_numpy() for k in (0, 1))
         names, _, left, row, at = _flat(batch.column(2).to_pylist())
         marked = np.zeros(len(names) + 1, dtype=np.int64)
