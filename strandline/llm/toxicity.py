@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 MAX_LABELLED = 12_000
 MAX_LEXICON = 20_000
 EVIDENCE = 12.0
@@ -165,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     """The grammar learned from labelled rows whose crc32(doc_id) mod 5 is not 0."""
     key = F.col("doc_id").cast("string")
     chosen = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(key) % 5 != 0)).select("doc_id", F.col("toxic").alias("y")).dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64(key), "doc_id").limit(max_labelled)
+    chosen = bounded(chosen, key, max_labelled)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("y").cast("int").alias("y"))
     rows = rows.persist()
     try:
