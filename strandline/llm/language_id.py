@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MAX_DOCS, MAX_WORDS = 400, 200
 LETTERS = re.compile(r"[^\W\d_]+")
 HIDDEN, EMBED, PIECE, CACHE = 16, 12, 24, 300_000
@@ -187,8 +189,10 @@ def sample_words(docs: DataFrame, max_docs: int, max_words: int) -> list[tuple[s
     """(word, lang) of the documents to learn from."""
     key = F.col("doc_id").cast("string")
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key) % 4 != 2)).select("doc_id", "lang", F.xxhash64(key).alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = own.withColumn("nth", nth).filter(F.col("nth") <= max_docs).select("doc_id").distinct()
+    for group in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # a frequent language is thinned in parts first
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id"))
+        own = own.withColumn("nth", nth).filter(F.col("nth") <= max_docs).drop("nth")
+    chosen = own.select("doc_id").distinct()
     rows = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +214,7 @@ def identify(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WOR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(net) if net else None
         for batch in batches:
-            for k in range(0, batch.num_rows, group):
-                part = batch.slice(k, group)
+            for part in slices(batch, 1, group):
                 texts = part.column(1).to_pylist()
                 rows = list(reader.predict(texts)) if reader else [("und", 0.0)] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "lang_pred", "score"])
