@@ -38,22 +38,63 @@ BLOCK = {
 #: An open one of these ends where another of its kind starts or its parent ends.
 CLOSES = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "head", "dialog", "menu"}
-#: Words of class, id or role that mark menus, notices, adverts, sidebars and comments.
+#: Whole names of class, id or role that mark menus, adverts, sidebars and comments; some also as leading part.
 MARKS = re.compile(
-    r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|sidebar|menu|nav\w*|breadcrumbs?|footer|comments?|disqus|"
-    r"replies|related|recommended|share|social|widget|search|login|signup|toolbar|copyright|complementary|contentinfo|navigation)$"
+    r"^(?:ads?|sponsor\w*|banner|consent|popup|modal|newsletter|subscribe|sidebar|menu|nav|navigation|footer|comments|related|toolbar|copyright|complementary|contentinfo|"
+    r"header|masthead|site-(?:header|footer|navigation)|comments-(?:area|list|section)|ads?[-_](?:banner|box|container|slot|unit|wrapper)|"
+    r"(?:advert\w*|cookies?|breadcrumbs?|disqus|navbar)(?:[-_].*)?)$"
 )
+HEADER = {"header", "masthead", "site-header"}
+#: Whole names that stand on menus and on articles alike: their words have a learned weight of their own.
+HINTS = {"widget", "share", "social", "notice", "alert", "search", "login", "signup", "promo", "recommended", "replies", "comment"}
 CONTENT = {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|([^<]+|<)", re.DOTALL)
-MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 #: Weights where no labelled page speaks for a feature.
 WORD, TAG, BOILER = 1.0, -0.25, -2.0
 
 
+class Node:
+    """An element: what it inherits, and what it says of itself until the page is read."""
+
+    __slots__ = ("tag", "parent", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content")
+
+    def __init__(self, tag: str, parent: Node | None, names: list[str]) -> None:
+        self.tag, self.parent = tag, parent
+        up = parent or self
+        self.article = tag == "article" or (parent is not None and up.article)
+        self.main = tag == "main" or (parent is not None and up.main)
+        self.content = self.article or self.main
+        self.hard = (parent is not None and up.hard) or (tag in BOILERPLATE and tag != "form")
+        inside = parent is not None and up.content
+        named = any(MARKS.match(w) and not (inside and w in HEADER) for w in names)
+        self.soft = tag == "form" or (tag == "header" and not inside) or named
+        self.hint = next((w for w in names if w in HINTS), "")
+        self.exempt = tag in CONTENT or tag in ("html", "body")
+        self.holds = self.boiler = False
+
+    def settle(self) -> None:
+        """Boilerplate and hint, once it is known which elements hold the content."""
+        up = self.parent
+        self.exempt = self.exempt or self.holds
+        self.boiler = self.hard or (self.soft and not self.exempt) or (up is not None and up.boiler)
+        self.hint = "" if self.exempt else self.hint or (up.hint if up is not None else "")
+
+
+def names(attributes: str) -> list[str]:
+    """The names in class, id and role."""
+    return [w for key, *value in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id", "role") for w in "".join(value).lower().split()]
+
+
 def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """(kind, value, boilerplate, content, block): kind "tag" or the tag enclosing a text."""
-    stack: list[tuple[str, bool, bool]] = []
+    """(kind, value, boilerplate, content, block): kind "tag" or what encloses a text.
+
+    Names never make boilerplate of html, body, article, main or what holds a
+    main or an outer article, and neither does a form around them.
+    """
+    root = Node("", None, [])
+    nodes, stack, events = [root], [root], []  # events: ("tag" or "", value, node, block)
     pos, end = 0, len(html)
     while pos < end:
         m = TOKEN.match(html, pos)
@@ -63,35 +104,44 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             pos = nxt
             continue
         pos = m.end()
-        top = stack[-1] if stack else ("", False, False)
         if m[4] is not None:
-            yield top[0], m[4], top[1], top[2], False
+            events.append(("", m[4], stack[-1], False))
             continue
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            places = [i for i, s in enumerate(stack) if s[0] == tag]
+            events.append(("tag", "/" + tag, stack[-1], tag in BLOCK))
+            places = [i for i, s in enumerate(stack) if s.tag == tag]
             if places:
                 del stack[places[-1] :]
-            yield "tag", "/" + tag, top[1], top[2], tag in BLOCK
             continue
         if tag in RAW:
             stop = RAW_END[tag].search(html, pos)
             pos = stop.end() if stop else end
-            yield "tag", tag, True, top[2], tag in BLOCK
+            node = Node(tag, stack[-1], [])
+            node.hard = True
+            nodes.append(node)
+            events.append(("tag", tag, node, tag in BLOCK))
             continue
-        if tag in BLOCK and stack:  # a block ends an open paragraph and what is inside it
-            open_p = [i for i, s in enumerate(stack) if s[0] == "p" or (tag in CLOSES and s[0] == tag)]
-            if open_p and not any(s[0] in BLOCK - CLOSES for s in stack[open_p[-1] + 1 :]):
+        if tag in BLOCK:  # a block ends an open paragraph and what is inside it
+            open_p = [i for i, s in enumerate(stack) if s.tag == "p" or (tag in CLOSES and s.tag == tag)]
+            if open_p and not any(s.tag in BLOCK - CLOSES for s in stack[open_p[-1] + 1 :]):
                 del stack[open_p[-1] :]
-            top = stack[-1] if stack else ("", False, False)
-        marks = [w for a in MARKED.findall(m[3]) for w in re.split(r"[\s_-]+", "".join(a).lower())] if m[3] else []
-        boiler = top[1] or tag in BOILERPLATE or ((tag == "header" or "header" in marks) and not top[2]) or any(MARKS.match(w) for w in marks)
-        content = top[2] or tag in CONTENT
-        yield "tag", tag, boiler, content, tag in BLOCK
+        up = stack[-1]
+        node = Node(tag, up, names(m[3]) if m[3] else [])
+        if not up.hard and ((tag == "main" and not up.main) or (tag == "article" and not up.article)):
+            while up is not None and not up.holds:
+                up.holds = True
+                up = up.parent
+        nodes.append(node)
+        events.append(("tag", tag, node, tag in BLOCK))
         if tag not in VOID and not html.startswith("/>", pos - 2):
-            stack.append((tag, boiler, content))
+            stack.append(node)
+    for node in nodes:
+        node.settle()
+    for kind, value, node, block in events:
+        yield kind or ("." + node.hint if node.hint else node.tag), value, node.boiler, node.content, block
 
 
 def feature(kind: str, value: str, boiler: bool) -> str:

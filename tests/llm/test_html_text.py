@@ -38,3 +38,23 @@ def test_awkward(spark):
     found = html_text.extract(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in found) == [(0, 5), (1, 0), (1, 0), (2, 0), (3, 5000 * 4 - 1)]
     assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_names_around_articles():
+    """Names on what holds an article don't make it boilerplate, and parts of names mark nothing."""
+    text = "One two three four five six seven.\nEight nine ten."
+    inner = "<p>One two three four five six seven.</p><p>Eight nine ten.</p>"
+    for page in (
+        f'<body class="has-sidebar"><article>{inner}</article></body>',
+        f'<body class="no-sidebar has-header sidebar"><div>{inner}</div></body>',
+        f'<article class="post comments-open">{inner}</article>',
+        f'<div class="post comments-open">{inner}</div>',
+        f'<div class="elementor-widget elementor-widget-theme-post-content">{inner}</div>',
+        f'<div class="sidebar"><div id="related"><main class="banner">{inner}</main></div></div>',
+        f'<form id="page"><div data-role="banner" class="share notice"><article>{inner}</article></div></form>',
+    ):
+        assert html_text.main_text(page, {}) == text, page
+    for mark in ("sidebar", "post ads", "cookie-notice", "comments-area"):
+        assert html_text.main_text(f'<article>{inner}<div class="{mark}"><p>Not of it</p></div></article>', {}) == text
+    comments = '<div id="comments"><article class="comment"><p>I like it</p></article></div>'
+    assert html_text.main_text(f"<article>{inner}{comments}</article>", {}) == text
