@@ -38,6 +38,8 @@ BLOCK = {
 #: An open one of these ends where another of its kind starts or its parent ends.
 CLOSES = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "head", "dialog", "menu"}
+#: Blocks that are paragraphs of what holds them.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "li", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption"}
 #: Whole names of class, id or role that mark menus, adverts, sidebars and comments; some also as leading part.
 MARKS = re.compile(
     r"^(?:ads?|sponsor\w*|banner|consent|popup|modal|newsletter|subscribe|sidebar|menu|nav|navigation|footer|comments|related|toolbar|copyright|complementary|contentinfo|"
@@ -58,7 +60,7 @@ WORD, TAG, BOILER = 1.0, -0.25, -2.0
 class Node:
     """An element: what it inherits, and what it says of itself until the page is read."""
 
-    __slots__ = ("tag", "parent", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content")
+    __slots__ = ("tag", "parent", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content", "free", "words", "first", "last")
 
     def __init__(self, tag: str, parent: Node | None, names: list[str]) -> None:
         self.tag, self.parent = tag, parent
@@ -72,7 +74,8 @@ class Node:
         self.soft = tag == "form" or (tag == "header" and not inside) or named
         self.hint = next((w for w in names if w in HINTS), "")
         self.exempt = tag in CONTENT or tag in ("html", "body")
-        self.holds = self.boiler = False
+        self.holds = self.boiler = self.free = False
+        self.words, self.first, self.last = 0, -1, -1
 
     def settle(self) -> None:
         """Boilerplate and hint, once it is known which elements hold the content."""
@@ -87,11 +90,53 @@ def names(attributes: str) -> list[str]:
     return [w for key, *value in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id", "role") for w in "".join(value).lower().split()]
 
 
-def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """(kind, value, boilerplate, content, block): kind "tag" or what encloses a text.
+def enclose(nodes: list[Node], events: list[tuple[str, str, Node, bool]]) -> None:
+    """Frees boilerplate inside an article or main, and between two paragraphs of one parent.
+
+    A paragraph counts for its parent, and through sections for theirs; a block
+    with words of its own counts for itself and its parent.
+    """
+    for i, (kind, value, node, _) in enumerate(events):
+        if kind or node.boiler or not value.strip():
+            continue
+        node.words += 1
+        block = node
+        while block.parent is not None and block.tag not in BLOCK:
+            block = block.parent
+        holders = [] if block.tag in PROSE else [block]
+        up = block.parent
+        while up is not None and up.tag in PROSE:  # an item of a list, a cell of a table
+            up = up.parent
+        while up is not None:
+            holders.append(up)
+            up = up.parent if up.tag == "section" else None
+        for holder in holders:
+            holder.first = i if holder.first < 0 else holder.first
+            holder.last = i
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.words += node.words
+    at = {}
+    for i, (_, _, node, _) in enumerate(events):
+        at.setdefault(node, i)
+    for node in nodes:
+        up = node.parent
+        if not node.boiler or up is None:
+            continue
+        if up.boiler:
+            node.free = up.free
+            continue
+        while up.parent is not None and not up.words and not up.content:  # wraps boilerplate only
+            up = up.parent
+        node.free = up.content or up.first < at[node] < up.last
+
+
+def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
+    """(kind, value, boilerplate, content, block, free): kind "tag" or what encloses a text.
 
     Names never make boilerplate of html, body, article, main or what holds a
-    main or an outer article, and neither does a form around them.
+    main or an outer article, and neither does a form around them. Boilerplate
+    is free where the content goes on behind it.
     """
     root = Node("", None, [])
     nodes, stack, events = [root], [root], []  # events: ("tag" or "", value, node, block)
@@ -140,8 +185,9 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             stack.append(node)
     for node in nodes:
         node.settle()
+    enclose(nodes, events)
     for kind, value, node, block in events:
-        yield kind or ("." + node.hint if node.hint else node.tag), value, node.boiler, node.content, block
+        yield kind or ("." + node.hint if node.hint else node.tag), value, node.boiler, node.content, block, node.free
 
 
 def feature(kind: str, value: str, boiler: bool) -> str:
@@ -151,15 +197,18 @@ def feature(kind: str, value: str, boiler: bool) -> str:
 
 
 def count_page(html: str) -> Counter:
-    """Words and tags by feature and by whether they are content."""
+    """Words by feature and by whether they are inside the content; tags by whether they are of it."""
     out: Counter = Counter()
-    for kind, value, boiler, content, _ in read_page(html):
-        out[feature(kind, value, boiler), content and not boiler] += 1 if kind == "tag" else len(value.split())
+    for kind, value, boiler, content, *_ in read_page(html):
+        if kind == "tag":
+            out[feature(kind, value, boiler), content and not boiler] += 1
+        else:
+            out[feature(kind, value, boiler), content] += len(value.split())
     return out
 
 
 def learn_weights(pages: DataFrame, id_col: str, html_col: str, max_labelled: int = MAX_LABELLED) -> dict[str, float]:
-    """Log odds of each feature on the labelled pages; words score up to 2, tags below 0."""
+    """Log odds of each feature on the labelled pages; words score up to 2, tags below 0, boilerplate at most 0."""
     ids = bounded(pages.select(F.col(id_col).alias("_id")).filter("_id is not null"), F.col("_id").cast("string"), 2 * max_labelled)
     labelled = pages.filter(F.col(html_col).rlike("(?i)<(?:article|main)[\\s>]"))
     sample = labelled.select(F.col(html_col).alias("html"), F.col(id_col).alias("_id")).join(F.broadcast(ids.distinct()), "_id")
@@ -180,22 +229,22 @@ def learn_weights(pages: DataFrame, id_col: str, html_col: str, max_labelled: in
         if row.f.startswith("tag "):
             weights[row.f] = max(-3.0, min(-0.05, odds / 4 + TAG))
         elif row.f.startswith("in boilerplate "):
-            weights[row.f] = BOILER
+            weights[row.f] = max(BOILER, min(0.0, odds))
         else:
             weights[row.f] = max(-1.0, min(2.0, odds))
     return weights
 
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the best region, one line each."""
+    """The blocks of the best region, one line each; boilerplate enclosed in it costs nothing."""
     pieces = []  # (text or None for the end of a block, boilerplate, score)
-    for kind, value, boiler, _, block in read_page(html or ""):
+    for kind, value, boiler, _, block, free in read_page(html or ""):
         f = feature(kind, value, boiler)
         if kind == "tag":
-            score = weights.get(f, TAG)
+            score = 0.0 if free else weights.get(f, TAG)
             pieces.append((None if block else " " if value == "br" else "", boiler, score))
         else:
-            score = weights.get(f, BOILER if boiler else WORD) * len(value.split())
+            score = 0.0 if free else weights.get(f, BOILER if boiler else WORD) * len(value.split())
             pieces.append((value, boiler, score))
     best, best_from, best_to, run, start = 0.0, 0, 0, 0.0, 0
     for i, (_, _, score) in enumerate(pieces):

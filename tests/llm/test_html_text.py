@@ -58,3 +58,29 @@ def test_names_around_articles():
         assert html_text.main_text(f'<article>{inner}<div class="{mark}"><p>Not of it</p></div></article>', {}) == text
     comments = '<div id="comments"><article class="comment"><p>I like it</p></article></div>'
     assert html_text.main_text(f"<article>{inner}{comments}</article>", {}) == text
+
+
+def test_long_aside():
+    """Boilerplate inside an article costs neither the part before it nor the part behind it."""
+    words = lambda word, n: " ".join(f"{word}{k}" for k in range(n))
+    weights = {"in p": 1.0, "in boilerplate p": -2.0, "in boilerplate aside": -2.0}
+    for before, behind in ((500, 200), (200, 500), (40, 40)):
+        a, b = words("a", before), words("b", behind)
+        for aside in (f"<aside><p>{words('x', 300)}</p></aside>", f"<aside>{words('x', 900)}</aside>", f'<div><div class="sidebar"><p>{words("x", 300)}</p></div></div>', f"<form><p>{words('x', 300)}</p></form>"):
+            for page in (
+                f"<article><p>{a}</p>{aside}<p>{b}</p></article>",
+                f"<body><p>{a}</p>{aside}<p>{b}</p></body>",
+                f"<div><nav>{words('n', 50)}</nav><div><section><p>{a}</p></section>{aside}<section><ul><li>{b}</ul></section></div></div>",
+                f"<div><div>{a}</div>{aside}<div>{b}</div></div>",
+            ):
+                assert html_text.main_text(page, weights) == f"{a}\n{b}", page
+    # Boilerplate between the content and something else still separates them.
+    page = f"<body><div><p>Not of it</p></div><nav>{words('n', 50)}</nav><div><p>{words('a', 60)}</p></div></body>"
+    assert html_text.main_text(page, {}) == words("a", 60)
+
+
+def test_learned_boilerplate(spark):
+    page = "<body><nav>a b c d</nav><article><p>w w w</p><aside>x x x x</aside><p>w w</p></article><aside>y</aside></body>"
+    weights = html_text.learn_weights(spark.createDataFrame([(k, page) for k in range(9)], "page_id long, html string"), "page_id", "html")
+    assert weights["in boilerplate nav"] == -2.0
+    assert weights["in boilerplate aside"] == 0.0
