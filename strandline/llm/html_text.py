@@ -28,7 +28,8 @@ from .common import bounded
 
 MAX_LABELLED = 2000
 # Fixed values of HTML: elements whose content isn't text, elements without an end, and blocks.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "select", "button"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+INERT = {"noscript", "template", "svg", "object", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -52,6 +53,7 @@ HINTS = {"widget", "share", "social", "notice", "alert", "search", "login", "sig
 CONTENT = {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|([^<]+|<)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+INERT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(INERT))})(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.IGNORECASE)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 #: Weights where no labelled page speaks for a feature.
 WORD, TAG, BOILER = 1.0, -0.25, -2.0
@@ -60,7 +62,7 @@ WORD, TAG, BOILER = 1.0, -0.25, -2.0
 class Node:
     """An element: what it inherits, and what it says of itself until the page is read."""
 
-    __slots__ = ("tag", "parent", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content", "free", "words", "first", "last")
+    __slots__ = ("tag", "parent", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content", "inert", "loose", "free", "words", "first", "last")
 
     def __init__(self, tag: str, parent: Node | None, names: list[str]) -> None:
         self.tag, self.parent = tag, parent
@@ -69,12 +71,13 @@ class Node:
         self.main = tag == "main" or (parent is not None and up.main)
         self.content = self.article or self.main
         self.hard = (parent is not None and up.hard) or (tag in BOILERPLATE and tag != "form")
+        self.inert = tag in INERT or (parent is not None and up.inert)
         inside = parent is not None and up.content
         named = any(MARKS.match(w) and not (inside and w in HEADER) for w in names)
         self.soft = tag == "form" or (tag == "header" and not inside) or named
         self.hint = next((w for w in names if w in HINTS), "")
         self.exempt = tag in CONTENT or tag in ("html", "body")
-        self.holds = self.boiler = self.free = False
+        self.holds = self.boiler = self.loose = self.free = False
         self.words, self.first, self.last = 0, -1, -1
 
     def settle(self) -> None:
@@ -131,15 +134,31 @@ def enclose(nodes: list[Node], events: list[tuple[str, str, Node, bool]]) -> Non
         node.free = up.content or up.first < at[node] < up.last
 
 
+def ended(html: str) -> set[int]:
+    """Where the inert elements start that have an end tag."""
+    out: set[int] = set()
+    open_at: dict[str, list[int]] = {}
+    for m in INERT_TAG.finditer(html):
+        starts = open_at.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                starts.append(m.start())
+        elif starts:
+            out.add(starts.pop())
+    return out
+
+
 def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
     """(kind, value, boilerplate, content, block, free): kind "tag" or what encloses a text.
 
     Names never make boilerplate of html, body, article, main or what holds a
     main or an outer article, and neither does a form around them. Boilerplate
-    is free where the content goes on behind it.
+    is free where the content goes on behind it. An inert element without an end
+    tag ends where a block starts or its parent ends.
     """
     root = Node("", None, [])
     nodes, stack, events = [root], [root], []  # events: ("tag" or "", value, node, block)
+    whole: set[int] | None = None
     pos, end = 0, len(html)
     while pos < end:
         m = TOKEN.match(html, pos)
@@ -156,14 +175,18 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            events.append(("tag", "/" + tag, stack[-1], tag in BLOCK))
             places = [i for i, s in enumerate(stack) if s.tag == tag]
+            node = stack[-1]
+            if places and node.inert and not stack[places[-1]].inert:
+                node = stack[places[-1]]
+            events.append(("tag", "/" + tag, node, tag in BLOCK))
             if places:
                 del stack[places[-1] :]
             continue
+        closed = html.startswith("/>", pos - 2)
         if tag in RAW:
-            stop = RAW_END[tag].search(html, pos)
-            pos = stop.end() if stop else end
+            stop = None if closed and tag == "iframe" else RAW_END[tag].search(html, pos)
+            pos = stop.end() if stop else pos if tag == "iframe" else end
             node = Node(tag, stack[-1], [])
             node.hard = True
             nodes.append(node)
@@ -173,6 +196,9 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
             open_p = [i for i, s in enumerate(stack) if s.tag == "p" or (tag in CLOSES and s.tag == tag)]
             if open_p and not any(s.tag in BLOCK - CLOSES for s in stack[open_p[-1] + 1 :]):
                 del stack[open_p[-1] :]
+            loose = next((i for i, s in enumerate(stack) if s.loose), 0)
+            if loose:
+                del stack[loose:]
         up = stack[-1]
         node = Node(tag, up, names(m[3]) if m[3] else [])
         if not up.hard and ((tag == "main" and not up.main) or (tag == "article" and not up.article)):
@@ -181,13 +207,16 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
                 up = up.parent
         nodes.append(node)
         events.append(("tag", tag, node, tag in BLOCK))
-        if tag not in VOID and not html.startswith("/>", pos - 2):
+        if tag in INERT:
+            whole = ended(html) if whole is None else whole
+            node.hard, node.loose = True, m.start() not in whole
+        if tag not in VOID and not closed:
             stack.append(node)
     for node in nodes:
         node.settle()
     enclose(nodes, events)
     for kind, value, node, block in events:
-        yield kind or ("." + node.hint if node.hint else node.tag), value, node.boiler, node.content, block, node.free
+        yield kind or ("." + node.hint if node.hint else node.tag), value, node.boiler, node.content, block and not node.inert, node.free
 
 
 def feature(kind: str, value: str, boiler: bool) -> str:

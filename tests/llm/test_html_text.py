@@ -84,3 +84,15 @@ def test_learned_boilerplate(spark):
     weights = html_text.learn_weights(spark.createDataFrame([(k, page) for k in range(9)], "page_id long, html string"), "page_id", "html")
     assert weights["in boilerplate nav"] == -2.0
     assert weights["in boilerplate aside"] == 0.0
+
+
+def test_unclosed_and_self_closed():
+    """What has no end tag, or needs none, takes no text with it."""
+    for odd in ("<svg/>", '<svg viewBox="0 0 1 1" />', "<iframe src='x'/>", "<iframe src='x'>", "<object data='x'/>", "<svg><path d='M0'/><g></svg>", "<button/>", "<svg><svg/><title>x</title></svg>"):
+        assert html_text.main_text(f"<article><p>One two {odd}three</p><p>Four five</p></article>", {}) == "One two three\nFour five", odd
+    for odd in ("<button>Go", "<select><option>A<option>B", "<object data='x'>no", "<noscript>none", "<template>t", "<svg><path d='M0'>"):
+        for page in (f"<article><p>One two {odd}</p><p>Four five</p></article>", f"<article><p>One two</p>{odd}<p>Four five</p></article>", f"<div>One two <span>{odd}</span><p>Four five</div>"):
+            assert html_text.main_text(page, {}) == "One two\nFour five", page
+            assert html_text.main_text(page + "<footer><button>x</button><svg></svg></footer>", {}) == "One two\nFour five", page
+    page = "<article><p>One two</p><button><div>Share</div> it</button><noscript><p>none</p></noscript><p>Four five</p></article>"
+    assert html_text.main_text(page, {}) == "One two\nFour five"
