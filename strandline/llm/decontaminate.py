@@ -8,7 +8,11 @@
    term at item position p means alignment ``position - p``; intersecting the
    offset-adjusted lists leaves alignments on which two anchors agree.
 4. The words along each alignment are compared: runs of a whole window are exact
-   phrase matches. Proximity matches take alignments that agree within a slop.
+   phrase matches.
+5. Proximity matches need no equal window. Their anchors are the rarest words of
+   each window among those that do occur; where enough of a window's anchors
+   align within a slop, the item is near. One other word in a window, at any
+   place, loses no item of three words or more.
 
 Nulls: a null text has no words. Items and documents without words match
 nothing. An item shorter than the window is one window. Items are distinct
@@ -27,6 +31,7 @@ WINDOW = 10
 ANCHORS = 2
 SLOP = 12
 NEAR_SHARE = 0.6
+NEAR_ANCHORS = 3
 
 
 def _items(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -41,8 +46,8 @@ def _tokens(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*cols, F.posexplode("words").alias("pos", "term"))
 
 
-def anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFrame:
-    """(term, ikey, ipos): the rarest terms of each window that may occur."""
+def _rated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(ikey, w, r): the item's words as (n, ipos, term), n the count over all documents."""
     terms = stored(items.select("ikey", F.posexplode("iwords").alias("ipos", "term")), "terms")
     vocabulary = terms.select("term").distinct()
     kept = small(vocabulary, terms.count(), 100)
@@ -51,15 +56,30 @@ def anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFrame:
     rated = terms.join(counts, "term", "left").groupBy("ikey").agg(
         F.array_sort(F.collect_list(F.struct("ipos", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "term"))).alias("a")
     )
-    rated = rated.join(items.select("ikey", "w"), "ikey")
     by_count = F.transform("a", lambda x: F.struct(x["n"].alias("n"), x["ipos"].alias("ipos"), x["term"].alias("term")))
-    starts = F.sequence(F.lit(0), F.size("a") - F.col("w"))
-    rarest = F.transform(starts, lambda s: F.slice(F.array_sort(F.slice("r", s + 1, F.col("w"))), 1, per_window))
-    possible = F.filter(rarest, lambda x: x[0]["n"] > 0)
-    chosen = rated.withColumn("r", by_count).select("ikey", F.explode(F.array_distinct(F.flatten(possible))).alias("x"))
+    return rated.join(items.select("ikey", "w"), "ikey").select("ikey", "w", by_count.alias("r"))
+
+
+def _chosen(rated: DataFrame, rarest: Column) -> DataFrame:
+    chosen = rated.select("ikey", F.explode(F.array_distinct(F.flatten(rarest))).alias("x"))
     return stored(chosen.select(F.col("x.term").alias("term"), "ikey", F.col("x.ipos").alias("ipos")), "anchors")
 
 
+def _windows() -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("r") - F.col("w")), lambda s: F.slice("r", s + 1, F.col("w")))
+
+
+def anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFrame:
+    """(term, ikey, ipos): the rarest terms of each window that may occur."""
+    rarest = F.transform(_windows(), lambda x: F.slice(F.array_sort(x), 1, per_window))
+    return _chosen(_rated(docs, items), F.filter(rarest, lambda x: x[0]["n"] > 0))
+
+
+def near_anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFrame:
+    """(term, ikey, ipos): the rarest terms of each window among those that some document has."""
+    return _chosen(_rated(docs, items), F.transform(_windows(), lambda x: F.slice(F.array_sort(F.filter(x, lambda y: y["n"] > 0)), 1, per_window)))
+
+
 def index_postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """(doc, term, pos) of the given terms, stored: the positional index."""
     keys = small(terms.select("term").distinct(), n_terms, 100)
@@ -105,21 +125,66 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), word_array(F.col(text_col)).alias("words"))
 
 
+def near_items(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
+    """(id, th, item_id, n): n anchors of one window of the item align within ``slop``, enough of them.
+
+    Enough are NEAR_SHARE of the item's anchors in the window, of NEAR_ANCHORS or
+    the window's length if these are more, and two unless the window is one word.
+    """
+    anchor = near_anchors(docs, items, NEAR_ANCHORS)
+    n_anchors = anchor.count()
+    aligned = alignments(index_postings(docs, anchor, n_anchors), anchor, n_anchors)
+
+    # What a window asks for, by the place where it starts in the item.
+    placed = anchor.groupBy("ikey").agg(F.collect_list("ipos").alias("ap")).join(items.select("ikey", "item_id", "w", F.size("iwords").alias("len")), "ikey")
+    least = F.least(F.lit(NEAR_ANCHORS), F.col("w"))
+    asked = F.transform(
+        F.sequence(F.lit(0), F.col("len") - F.col("w")),
+        lambda s: F.greatest(F.least(F.lit(2), F.col("w")), F.ceil(NEAR_SHARE * F.greatest(least, F.size(F.filter("ap", lambda p: (p >= s) & (p < s + F.col("w")))))).cast("int")),
+    )
+    asked = stored(placed.select("ikey", "item_id", "w", asked.alias("need")), "asked")
+
+    # Alignments that agree within the slop meet in the cell of the least of them.
+    width = slop + 1
+    cell = F.floor(F.col("diag") / width)
+    hits = aligned.select("id", "th", "ikey", F.struct("diag", "ipos").alias("x"), F.explode(F.array(cell - 1, cell)).alias("cell"))
+    hits = hits.groupBy("id", "th", "ikey", "cell").agg(F.collect_set("x").alias("h"))
+    hits = hits.join(small(asked, n_anchors, 200), "ikey").filter(F.size("h") >= F.array_min("need"))
+    several = F.size(F.array_distinct(F.transform("h", lambda x: x["ipos"]))) >= F.array_min("need")
+    lows = F.filter(F.array_distinct(F.transform("h", lambda x: x["diag"])), lambda d: F.floor(d / width) == F.col("cell"))
+    first = F.greatest(F.array_min(F.transform("h", lambda x: x["ipos"])) - F.col("w") + 1, F.lit(0))
+    last = F.least(F.array_max(F.transform("h", lambda x: x["ipos"])), F.size("need") - 1)
+
+    def best(d: Column) -> Column:
+        """The most anchors of a window that are enough for it, aligned from ``d`` on."""
+        band = F.array_distinct(F.transform(F.filter("h", lambda x: (x["diag"] >= d) & (x["diag"] <= d + slop)), lambda x: x["ipos"]))
+        counts = F.transform(F.array(band), lambda b: F.transform(F.sequence(first, last), lambda s: F.struct(F.size(F.filter(b, lambda p: (p >= s) & (p < s + F.col("w")))).alias("n"), F.get("need", s).alias("need"))))
+        return F.array_max(F.transform(F.flatten(counts), lambda c: F.when(c["n"] >= c["need"], c["n"]).otherwise(0)))
+
+    near = hits.filter(several).select("id", "th", "item_id", "ikey", F.array_max(F.transform(lows, best)).alias("n")).filter("n > 0")
+    return near.groupBy("id", "th", "ikey", "item_id").agg(F.max("n").alias("n")).drop("ikey")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """(id, item_id, n_near): documents in which most anchors of an item align within ``slop``."""
-    prepared = _prepared(docs, id_col, text_col)
-    kept = _items(items, item_col, "text", window)
-    anchor = anchors(prepared, kept, ANCHORS)
-    n = anchor.count()
-    aligned = alignments(index_postings(prepared, anchor, n), anchor, n)
-    cell = F.floor(F.col("diag") / slop)
-    near = aligned.select("id", "th", "ikey", "ipos", F.explode(F.array(cell, cell + 1)).alias("cell"))
-    near = near.groupBy("id", "th", "ikey", "cell").agg(F.countDistinct("ipos").alias("n"))
-    need = anchor.groupBy("ikey").agg(F.count("*").alias("all"))
-    near = near.join(need, "ikey").filter((F.col("n") >= 2) & (F.col("n") >= F.col("all") * NEAR_SHARE)).join(kept.select("ikey", "item_id"), "ikey")
+    """(id, item_id, n_near): documents in which most anchors of a window of the item align within ``slop``."""
+    near = near_items(_prepared(docs, id_col, text_col), _items(items, item_col, "text", window), slop)
     return near.groupBy(F.col("id").alias(id_col), "item_id").agg(F.max("n").alias("n_near"))
 
 
+def near_report(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_words, n_near (most anchors of one window), n_near_items, their digest, near."""
+    prepared = _prepared(docs, "doc_id", "text")
+    found = near_items(prepared, _items(items, "item_id", "text", WINDOW), SLOP)
+    per_doc = stored(found.groupBy("id", "th").agg(F.max("n").alias("n"), F.collect_set("item_id").alias("items")), "near")
+    base = prepared.select("id", "th", F.size("words").cast("long").alias("n_words"))
+    same = base["id"].eqNullSafe(per_doc["id"]) & (base["th"] == per_doc["th"])
+    zero = F.lit(0).cast("long")
+    listed = F.coalesce(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), F.lit(""))
+    return base.join(per_doc, same, "left").select(
+        base["id"].alias("doc_id"), "n_words", F.coalesce(F.col("n").cast("long"), zero).alias("n_near"), F.coalesce(F.size("items").cast("long"), zero).alias("n_near_items"), F.sha2(listed, 256).alias("near_items_sha256"), F.col("n").isNotNull().alias("near")
+    )
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Per document: id, th, n_words, hits (covered positions) and items (their ids)."""
     prepared = _prepared(docs, id_col, text_col)

@@ -67,3 +67,71 @@ def test_awkward(awkward, nothing, spark, rows):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[1] is None or not ("quick" in r[1] or r[1] == "x"))
     assert decontaminate.report(nothing, items).count() == 0
     assert decontaminate.report(awkward, items.limit(0)).filter("contaminated").count() == 0
+
+
+def brute_near(docs, items, window=10, slop=12):
+    """{(doc id, item id): anchors}, straight from the definition."""
+    count = Counter(w for _, t in docs for w in words(t))
+    found = {}
+    for i, t in items:
+        iw = words(t)
+        w = min(window, len(iw))
+        starts = range(len(iw) - w + 1) if w else ()
+        anchors = {p for s in starts for _, p in sorted((count[iw[p]], p) for p in range(s, s + w) if count[iw[p]])[:3]}
+        for d, text in docs:
+            place = {}
+            for q, x in enumerate(words(text)):
+                place.setdefault(x, []).append(q)
+            hits = [(q - p, p) for p in anchors for q in place.get(iw[p], ())]
+            for s in starts:
+                inside = {p for p in anchors if s <= p < s + w}
+                for low, _ in hits:
+                    n = len({p for g, p in hits if low <= g <= low + slop and p in inside})
+                    if n >= min(2, w) and 5 * n >= 3 * max(len(inside), min(3, w)):
+                        found[d, i] = max(n, found.get((d, i), 0))
+    return found
+
+
+def near(spark, docs, items):
+    found = decontaminate.proximity_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r.n_near for r in found.collect()}
+
+
+def test_proximity_substituted(spark):
+    """An item of which every copy changes a word, at any place, in short and long items."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"r{rng.randrange(10**6)}" for _ in range(n)]
+    items, docs, copies = [], [], set()
+    for k, n in enumerate([3, 5, 10, 11, 12, 15, 40]):
+        own = fresh(n)
+        items.append((k, " ".join(own)))
+        for at in {0, n // 2, n - 1}:
+            other = [*own[:at], "changed", *own[at + 1 :]]
+            copies.add((len(docs), k))
+            docs.append((len(docs), " ".join([*fresh(20), *other, *fresh(20)])))
+    long = items[-1][1].split()
+    copies |= {(len(docs), 6)}  # a stretch of a long item, its middle word changed
+    docs.append((len(docs), " ".join([*fresh(30), *long[12:17], "changed", *long[18:24], *fresh(30)])))
+    items.append((7, " ".join(w if k != 6 else "never" for k, w in enumerate(fresh(13)))))  # "never" is in no document
+    copies |= {(len(docs), 7)}
+    docs.append((len(docs), items[7][1].replace("never", "instead")))
+    found = near(spark, docs, items)
+    assert set(found) == copies
+    assert found == brute_near(docs, items)
+
+
+def test_proximity_random(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(40)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, text(rng.randint(0, 25))) for k in range(12)] + [(100, "zebra"), (101, None), (102, "zebra lion")]
+    docs = [(k, text(rng.randint(0, 60))) for k in range(25)] + [(200, "a zebra"), (201, None), (202, "lion zebra"), (203, "w1 " * 300)]
+    found = near(spark, docs, items)
+    assert found and found == brute_near(docs, items)
+
+
+def test_proximity_query(spark, sf_dir):
+    rows = QUERIES["op3_proximity"](spark, sf_dir).collect()
+    exact = {r.doc_id: r.n_items for r in QUERIES["op3_decontaminate"](spark, sf_dir).collect()}
+    assert len(rows) == len(exact)
+    assert all(r.near == (r.n_near > 0) == (r.n_near_items > 0) and r.n_near_items >= exact[r.doc_id] for r in rows)
