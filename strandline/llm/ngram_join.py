@@ -21,6 +21,7 @@ rows (same id and text) share their result. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -255,14 +256,14 @@ def components(members: DataFrame) -> DataFrame:
     form one more, so that no part grows as the group does. Labels then go from
     nodes to parts and back; from the second round on a label that has itself a
     smaller label gives way to that, which halves long chains. Every round is
-    stored.
+    stored. Labels only fall, so rounds go on until none changes.
     """
     part = F.pmod(F.xxhash64("node"), F.lit(SPLIT)).cast("int")
     split = members.select("grp", "node", part.alias("part"))
     tops = split.groupBy("grp", "part").agg(F.min("node").alias("node")).select("grp", "node", F.lit(-1).alias("part"))
     rows = split.unionByName(tops).withColumn("label", F.col("node"))
     by_part, by_node = Window.partitionBy("grp", "part"), Window.partitionBy("node")
-    for turn in range(200):
+    for turn in itertools.count():
         rows = rows.withColumn("old", F.col("label"))
         for _ in range(2):
             rows = rows.withColumn("label", F.min("label").over(by_part)).withColumn("label", F.min("label").over(by_node))

@@ -85,6 +85,14 @@ def test_components(spark):
     assert found == {**dict.fromkeys(range(300), 0), 500: 500, 501: 501}
 
 
+def test_components_without_limit(spark, monkeypatch):
+    """No number of rounds ends the search before the labels are settled."""
+    monkeypatch.setattr(ng, "range", lambda n: range(min(n, 2)), raising=False)
+    chain = [(k, k) for k in range(120)] + [(k, k + 1) for k in range(119)]
+    found = {r.node: r.label for r in ng.components(spark.createDataFrame(chain, "grp long, node long")).collect()}
+    assert found == dict.fromkeys(range(120), 0)
+
+
 def test_posterior():
     least = dict(ng.least_matches(1e-6))
     assert all(0.3 * n < m < 0.8 * n for n, m in least.items() if n > 24)
