@@ -90,6 +90,16 @@ def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("a.n_name").alias("first"), F.col("b.n_name").alias("second"))
 
 
+@query("""
+SELECT a.o_orderkey AS first, b.o_orderkey AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_totalprice < b.o_totalprice
+""")
+def join_theta_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a table that grows: each order with the dearer ones of its customer."""
+    a, b = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").alias(x) for x in "ab")
+    both = a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_totalprice") < F.col("b.o_totalprice")))
+    return both.select(F.col("a.o_orderkey").alias("first"), F.col("b.o_orderkey").alias("second"))
+
+
 @query("""
 SELECT s_nationkey, count(*) AS n FROM part JOIN (SELECT s_nationkey, 900 + s_suppkey % 100 AS lo, 905 + s_suppkey % 100 AS hi FROM supplier)
 ON p_retailprice >= lo AND p_retailprice < hi GROUP BY s_nationkey

@@ -33,3 +33,11 @@ def test_range_join(spark):
 def test_unknown_format(spark):
     with pytest.raises(ValueError, match="none of"):
         formats.write(spark.range(1), scratch(spark, "x"), "xml")
+
+
+def test_theta_on_a_growing_table(spark, sf_dir):
+    from strandline.plans.registry import load
+
+    found = load()[0]["join_theta_orders"](spark, sf_dir)
+    assert any(f.endswith("/orders.parquet") for f in found.inputFiles())
+    assert found.count() > spark.read.parquet(f"{sf_dir}/orders.parquet").count()
