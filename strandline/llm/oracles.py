@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .pii import IBAN_LENGTH
+
 OP1 = """
 SELECT doc_id,
        max(doc_id) OVER w AS keep_id,
@@ -12,8 +14,15 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 WINDOW w AS (PARTITION BY t)
 """
 
+SECRETS = (
+    r"""(?:token|secret|api_key|apikey|access_key|password|passwd)["'']? {0,2}[=:] {0,2}["'']?[A-Za-z0-9_+/.-]{16,}={0,2}"""
+    r"|-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})\b"
+)
+
+# Account numbers are sought as runs of letters and digits and cut at their country's length.
 OP2 = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH iban_length(country, n) AS (VALUES LENGTHS),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 hits AS (
   SELECT doc_id, t, kind, k, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS i, g, m AS ms
   FROM (
@@ -26,43 +35,51 @@ hits AS (
     UNION ALL
     SELECT doc_id, t, 'phone', 4, regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][ ().0-9-]+[0-9]') FROM d
     UNION ALL
-    SELECT doc_id, t, 'iban', 5, regexp_extract_all(t, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b'),
-           string_split_regex(t, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b') FROM d
+    SELECT doc_id, t, 'iban', 5, regexp_extract_all(t, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+'), string_split_regex(t, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+') FROM d
+    UNION ALL
+    SELECT doc_id, t, 'secret', 7, regexp_extract_all(t, 'SECRETS'), string_split_regex(t, 'SECRETS') FROM d
     UNION ALL
     SELECT doc_id, t, 'ssn', 6, regexp_extract_all(t, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b'), string_split_regex(t, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b') FROM d)
 ),
 placed AS (
   SELECT doc_id, t, kind, k, m,
          list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda x: length(x))), 0) AS s,
-         regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS plain
-  FROM hits),
+         regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS plain, n,
+         list_filter(range(1, length(m) + 1), lambda j: m[j] <> ' ')[n] AS e,
+         CASE WHEN kind = 'secret' THEN regexp_extract(m, '([A-Za-z0-9_+/.-]{16,}={0,2}|-----BEGIN[A-Z ]+-----)$', 1) ELSE m END AS own
+  FROM hits LEFT JOIN iban_length ON kind = 'iban' AND country = m[1:2]),
 checked AS (
-  SELECT *, lower(t[greatest(s - 39, 1)::BIGINT:s::BIGINT]) AS near FROM placed
+  SELECT *, lower(t[greatest(s + length(m) - length(own) - 39, 1)::BIGINT:(s + length(m) - length(own))::BIGINT]) AS near FROM placed
   WHERE CASE kind
     WHEN 'email' THEN true
     WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda x: regexp_full_match(x, '0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])')))
     WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1),
         lambda j: (digits[length(digits) - j + 1]::INT * (2 - j % 2)) // 10 + (digits[length(digits) - j + 1]::INT * (2 - j % 2)) % 10)) % 10 = 0
     WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
-    WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0,
-        list_transform(string_split(plain[5:] || plain[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+    WHEN 'iban' THEN n <= length(plain) AND (n = length(plain) OR m[e + 1] = ' ') AND list_reduce(list_prepend(0,
+        list_transform(string_split(plain[5:n] || plain[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
         lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1
+    WHEN 'secret' THEN m LIKE '-----%' OR regexp_matches(own, '[0-9][^=:]*$')
     ELSE NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') END),
 kept AS (
-  SELECT doc_id, kind, k, s::BIGINT AS s, kind || ':' || s::BIGINT || ':' || (s + length(m))::BIGINT AS span FROM checked
+  SELECT doc_id, kind, k, s::BIGINT AS s, kind || ':' || (s + length(m) - length(own))::BIGINT || ':' || (s + CASE WHEN kind = 'iban' THEN e ELSE length(m) END)::BIGINT AS span FROM checked
   WHERE k <= 4
+     OR (kind = 'secret' AND 0.6 - CASE WHEN regexp_matches(near, 'example|sample|dummy|order no|part no|serial') THEN 0.3 ELSE 0 END
+                                + CASE WHEN regexp_matches(near, 'token|secret|key|passw') THEN 0.3 ELSE 0 END >= 0.5)
      OR (kind = 'iban' AND 0.9 - CASE WHEN regexp_matches(near, 'example|sample|dummy|order no|part no|serial') THEN 0.3 ELSE 0 END
                               + CASE WHEN regexp_matches(near, 'iban|account|bank|transfer') THEN 0.3 ELSE 0 END >= 0.5)
      OR (kind = 'ssn' AND 0.3 - CASE WHEN regexp_matches(near, 'example|sample|dummy|order no|part no|serial') THEN 0.3 ELSE 0 END
                              + CASE WHEN regexp_matches(near, '\bssn\b|social security|taxpayer') THEN 0.3 ELSE 0 END >= 0.5)),
 per AS (
   SELECT doc_id, count(*) FILTER (k = 1) AS e, count(*) FILTER (k = 2) AS i, count(*) FILTER (k = 3) AS c, count(*) FILTER (k = 4) AS p,
+         count(*) FILTER (k = 5) AS n5, count(*) FILTER (k = 6) AS n6, count(*) FILTER (k = 7) AS n7, count(*) AS n,
          string_agg(span, ',' ORDER BY k, s) FILTER (k <= 4) AS b, string_agg(span, ',' ORDER BY k, s) AS a
   FROM kept GROUP BY doc_id)
 SELECT d.doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone,
-       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans,
+       coalesce(n5, 0) AS n_iban, coalesce(n6, 0) AS n_ssn, coalesce(n7, 0) AS n_secret, coalesce(n, 0) AS n_spans
 FROM d LEFT JOIN per USING (doc_id)
-"""
+""".replace("LENGTHS", ", ".join(f"('{c}', {n})" for c, n in IBAN_LENGTH.items())).replace("SECRETS", SECRETS)
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
