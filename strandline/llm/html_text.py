@@ -10,6 +10,10 @@ smallest hashes.
 Nulls: null html is empty and gives empty text. Pages without words that score
 above zero give empty text. Repeated rows give repeated results; an empty table
 gives an empty one; broken, cut or unclosed markup is read as far as it goes.
+Of regions with equal sums the first counts. Very long and deeply nested pages
+are read whole, in time that grows with their length. Of the input's columns
+only the id, the html and those named in ``keep`` are read and returned; others,
+whatever their names, change nothing.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ BLOCK = {
 }
 #: An open one of these ends where another of its kind starts or its parent ends.
 CLOSES = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+WALLS = BLOCK - CLOSES
 BOILERPLATE = {"nav", "footer", "aside", "form", "head", "dialog", "menu"}
 #: Blocks that are paragraphs of what holds them.
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "li", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption"}
@@ -52,6 +57,8 @@ HEADER = {"header", "masthead", "site-header"}
 HINTS = {"widget", "share", "social", "notice", "alert", "search", "login", "signup", "promo", "recommended", "replies", "comment"}
 CONTENT = {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|([^<]+|<)", re.DOTALL)
+#: The same where no tag can end any more.
+LOOSE = re.compile(r"<!--.*|()()()([^<]+|<)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 INERT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(INERT))})(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>", re.IGNORECASE)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
@@ -62,11 +69,14 @@ WORD, TAG, BOILER = 1.0, -0.25, -2.0
 class Node:
     """An element: what it inherits, and what it says of itself until the page is read."""
 
-    __slots__ = ("tag", "parent", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content", "inert", "loose", "free", "words", "first", "last")
+    __slots__ = ("tag", "parent", "block", "above", "solid", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content", "inert", "loose", "free", "words", "first", "last")
 
     def __init__(self, tag: str, parent: Node | None, names: list[str]) -> None:
         self.tag, self.parent = tag, parent
         up = parent or self
+        self.block = self if parent is None or tag in BLOCK else up.block  # the nearest block
+        self.above = self if parent is None or tag not in PROSE else up.above  # the nearest that isn't a paragraph
+        self.solid = self
         self.article = tag == "article" or (parent is not None and up.article)
         self.main = tag == "main" or (parent is not None and up.main)
         self.content = self.article or self.main
@@ -103,35 +113,63 @@ def enclose(nodes: list[Node], events: list[tuple[str, str, Node, bool]]) -> Non
         if kind or node.boiler or not value.strip():
             continue
         node.words += 1
-        block = node
-        while block.parent is not None and block.tag not in BLOCK:
-            block = block.parent
+        block = node.block
         holders = [] if block.tag in PROSE else [block]
-        up = block.parent
-        while up is not None and up.tag in PROSE:  # an item of a list, a cell of a table
-            up = up.parent
-        while up is not None:
-            holders.append(up)
-            up = up.parent if up.tag == "section" else None
+        if block.parent is not None:  # past the item of a list, the cell of a table
+            holders.append(block.parent.above)
         for holder in holders:
             holder.first = i if holder.first < 0 else holder.first
             holder.last = i
     for node in reversed(nodes):
-        if node.parent is not None:
-            node.parent.words += node.words
+        up = node.parent
+        if up is None:
+            continue
+        up.words += node.words
+        if node.tag == "section" and node.first >= 0:
+            up.first = node.first if up.first < 0 else min(up.first, node.first)
+            up.last = max(up.last, node.last)
     at = {}
     for i, (_, _, node, _) in enumerate(events):
         at.setdefault(node, i)
     for node in nodes:
         up = node.parent
-        if not node.boiler or up is None:
-            continue
-        if up.boiler:
-            node.free = up.free
+        if up is None:
             continue
-        while up.parent is not None and not up.words and not up.content:  # wraps boilerplate only
-            up = up.parent
-        node.free = up.content or up.first < at[node] < up.last
+        node.solid = node if node.words or node.content else up.solid  # past what wraps boilerplate only
+        if node.boiler:
+            node.free = up.free if up.boiler else up.solid.content or up.solid.first < at[node] < up.solid.last
+
+
+class Stack:
+    """Open elements, with the places of each tag, so that none is searched for."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {"": [0]}
+        self.walls: list[int] = []  # blocks that an open paragraph doesn't end behind
+        self.loose: list[int] = []
+
+    def push(self, node: Node) -> None:
+        i = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(i)
+        if node.tag in WALLS:
+            self.walls.append(i)
+        if node.loose:
+            self.loose.append(i)
+
+    def cut(self, at: int) -> None:
+        """Closes all from place ``at`` on."""
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+        while self.walls and self.walls[-1] >= at:
+            self.walls.pop()
+        while self.loose and self.loose[-1] >= at:
+            self.loose.pop()
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, -1 if none."""
+        return places[-1] if (places := self.places.get(tag)) else -1
 
 
 def ended(html: str) -> set[int]:
@@ -157,49 +195,47 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
     tag ends where a block starts or its parent ends.
     """
     root = Node("", None, [])
-    nodes, stack, events = [root], [root], []  # events: ("tag" or "", value, node, block)
+    nodes, stack, events = [root], Stack(root), []  # events: ("tag" or "", value, node, block)
     whole: set[int] | None = None
     pos, end = 0, len(html)
+    last_close, endless = html.rfind(">"), set()
     while pos < end:
-        m = TOKEN.match(html, pos)
-        if m is None:  # a stray quote or an unfinished tag
-            nxt = html.find("<", pos + 1)
-            nxt = end if nxt < 0 else nxt
-            pos = nxt
-            continue
+        # Behind the last ">" no tag can end: no pattern needs to look for one.
+        m = TOKEN.match(html, pos) if pos < last_close else LOOSE.match(html, pos)
         pos = m.end()
         if m[4] is not None:
-            events.append(("", m[4], stack[-1], False))
+            events.append(("", m[4], stack.nodes[-1], False))
             continue
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            places = [i for i, s in enumerate(stack) if s.tag == tag]
-            node = stack[-1]
-            if places and node.inert and not stack[places[-1]].inert:
-                node = stack[places[-1]]
+            place = stack.last(tag)
+            node = stack.nodes[-1]
+            if place >= 0 and node.inert and not stack.nodes[place].inert:
+                node = stack.nodes[place]
             events.append(("tag", "/" + tag, node, tag in BLOCK))
-            if places:
-                del stack[places[-1] :]
+            if place >= 0:
+                stack.cut(place)
             continue
         closed = html.startswith("/>", pos - 2)
         if tag in RAW:
-            stop = None if closed and tag == "iframe" else RAW_END[tag].search(html, pos)
+            stop = None if tag in endless or (closed and tag == "iframe") else RAW_END[tag].search(html, pos)
+            if stop is None and not closed:
+                endless.add(tag)
             pos = stop.end() if stop else pos if tag == "iframe" else end
-            node = Node(tag, stack[-1], [])
+            node = Node(tag, stack.nodes[-1], [])
             node.hard = True
             nodes.append(node)
             events.append(("tag", tag, node, tag in BLOCK))
             continue
         if tag in BLOCK:  # a block ends an open paragraph and what is inside it
-            open_p = [i for i, s in enumerate(stack) if s.tag == "p" or (tag in CLOSES and s.tag == tag)]
-            if open_p and not any(s.tag in BLOCK - CLOSES for s in stack[open_p[-1] + 1 :]):
-                del stack[open_p[-1] :]
-            loose = next((i for i, s in enumerate(stack) if s.loose), 0)
-            if loose:
-                del stack[loose:]
-        up = stack[-1]
+            open_p = max(stack.last("p"), stack.last(tag) if tag in CLOSES else -1)
+            if open_p >= 0 and not (stack.walls and stack.walls[-1] > open_p):
+                stack.cut(open_p)
+            if stack.loose:
+                stack.cut(stack.loose[0])
+        up = stack.nodes[-1]
         node = Node(tag, up, names(m[3]) if m[3] else [])
         if not up.hard and ((tag == "main" and not up.main) or (tag == "article" and not up.article)):
             while up is not None and not up.holds:
@@ -211,7 +247,7 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
             whole = ended(html) if whole is None else whole
             node.hard, node.loose = True, m.start() not in whole
         if tag not in VOID and not closed:
-            stack.append(node)
+            stack.push(node)
     for node in nodes:
         node.settle()
     enclose(nodes, events)
@@ -264,6 +300,18 @@ def learn_weights(pages: DataFrame, id_col: str, html_col: str, max_labelled: in
     return weights
 
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(from, to) of the contiguous scores with the highest positive sum, the first of equal ones, in one scan."""
+    best, best_from, best_to, run, start = 0.0, 0, 0, 0.0, 0
+    for i, score in enumerate(scores):
+        if run <= 0:
+            run, start = 0.0, i
+        run += score
+        if run > best:
+            best, best_from, best_to = run, start, i + 1
+    return best_from, best_to
+
+
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best region, one line each; boilerplate enclosed in it costs nothing."""
     pieces = []  # (text or None for the end of a block, boilerplate, score)
@@ -275,13 +323,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
         else:
             score = 0.0 if free else weights.get(f, BOILER if boiler else WORD) * len(value.split())
             pieces.append((value, boiler, score))
-    best, best_from, best_to, run, start = 0.0, 0, 0, 0.0, 0
-    for i, (_, _, score) in enumerate(pieces):
-        if run <= 0:
-            run, start = 0.0, i
-        run += score
-        if run > best:
-            best, best_from, best_to = run, start, i + 1
+    best_from, best_to = best_region([score for _, _, score in pieces])
     lines, line = [], []
     for text, boiler, _ in [*pieces[best_from:best_to], (None, False, 0.0)]:
         if text is None:

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from strandline.llm import html_text
 
@@ -96,3 +98,53 @@ def test_unclosed_and_self_closed():
             assert html_text.main_text(page + "<footer><button>x</button><svg></svg></footer>", {}) == "One two\nFour five", page
     page = "<article><p>One two</p><button><div>Share</div> it</button><noscript><p>none</p></noscript><p>Four five</p></article>"
     assert html_text.main_text(page, {}) == "One two\nFour five"
+
+
+def test_scan_is_best():
+    """One scan finds what a search of all regions finds."""
+    rng = random.Random(5)
+    for _ in range(300):
+        scores = [rng.choice((-3, -2, -1, -0.5, 0, 1, 2)) for _ in range(rng.randrange(0, 40))]
+        start, end = html_text.best_region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        assert sum(scores[start:end]) == max(best, 0)
+
+
+def test_time_grows_with_length():
+    n = 60_000
+    for page in ("<div>" * n + "one two", "<b>x" * n, "<b></i>" * n, "<section><aside>a</aside>x y" * (n // 4), "<p><i>" * n, "<svg>" * n + "<p>a b", "<iframe>" * n, "<!" * n, "<div><nav>m</nav>" * (n // 4), "<li>" * n, "<a '" * n):
+        began = time.perf_counter()
+        html_text.main_text(page, {})
+        assert time.perf_counter() - began < 20, page[:20]
+
+
+MENU = "<nav><ul><li><a>Home page</a><li><a>About us here</a></ul></nav>"
+TAIL = "<footer><p>Copyright all rights to us</p></footer>"
+BODY = [f"Sentence number {k} of the text goes on for quite a while and then ends." for k in range(12)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in BODY)
+
+
+def layouts():
+    """Pages unlike the generated ones, all with the same article."""
+    half = len(BODY) // 2
+    first, second = ("".join(f"<p>{x}</p>" for x in part) for part in (BODY[:half], BODY[half:]))
+    aside = "<aside><p>" + "related story link " * 120 + "</p></aside>"
+    form = "<form class='newsletter'><label>Your mail</label><input><button>Send it now</button></form>"
+    comments = "<section id='comments'><h2>Replies</h2>" + "<div class='comment'><p>I agree with that</p></div>" * 6 + "</section>"
+    yield f"<body>{MENU}<main>{PARAGRAPHS}</main>{TAIL}"
+    yield f"<body><header><h1>Site</h1>{MENU}</header><article>{first}{aside}{second}</article>{comments}{TAIL}"
+    yield f"<body>{MENU}<div class='wrap'><div class='post'>{first}{form}{second}</div><div class='sidebar'><p>Most read now</p></div></div>{TAIL}"
+    yield f"<body>{MENU}<div id=content>{'<br><br>'.join(BODY)}</div>{comments}{TAIL}"
+    yield f"<body>{MENU}<table><tr><td>{PARAGRAPHS}</td></tr></table>{TAIL}"
+    yield f"<body>{MENU}<main><section>{first}</section><section>{second}</section>{aside}</main>{TAIL}"
+    yield f"<body class=has-sidebar>{MENU}<article class='entry social-history'>{first}<svg viewBox='0 0'/>{second}{comments}</article>{TAIL}"
+    yield f"<body><div role=banner>Our site</div>{MENU}<div><div><div>{PARAGRAPHS}</div></div></div><div class=ads>Buy this now</div>{TAIL}"
+    yield f"<body>{MENU}<blockquote>{first}</blockquote><ul>{''.join(f'<li>{x}' for x in BODY[half:])}</ul>{TAIL}"
+
+
+def test_other_layouts():
+    """Recall and precision of words over layouts that the test tables don't have."""
+    wanted = " ".join(BODY).split()
+    for page in layouts():
+        found = html_text.main_text(page, {}).split()
+        assert found == wanted, page[:200]
