@@ -1,19 +1,28 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Each word is a sequence of bytes between two spaces. A forward and a backward
-network (gated recurrent units) read it; at every position both states together
-give a distribution over languages. A document's probabilities are the mean over
-all positions of all its words. The network is trained in numpy by
-backpropagation through time, with a fixed seed.
-
-It learns from at most ``max_docs`` documents per language (those whose ids have
-the smallest hashes) and at most ``max_words`` words of each, spread evenly over
-the whole text. Prediction reads whole texts; a word that a task has read before
-isn't run again.
+A text is its lower-cased UTF-8 bytes: letters, digits, spaces and marks alike. A
+forward and a backward network (gated recurrent units) read them, and at every
+position both states together give a distribution over languages. A document's
+probabilities are the mean over all its positions. The network is trained in
+numpy by backpropagation through time, with a fixed seed.
+
+States run on from word to word. A text is read in pieces of PIECE bytes side by
+side; each piece is led in by the WARM bytes before it and, backwards, by the
+WARM bytes behind it, so that every position sees that much on both sides at
+least, whatever the text's length and whether or not it has spaces.
+
+It learns from at most ``max_docs`` documents in all, equally many of each
+language, and from at most ``max_langs`` languages (the most frequent): those
+whose ids have the smallest hashes, and at most ``max_parts`` stretches of STRETCH
+bytes of each, spread evenly over the whole text. Counts of languages cover all
+rows. Prediction reads whole texts.
 
 Nulls: a text that is null or has no letter is ``und`` with score 0. Null ids are
-never learned from and count as held out. With nothing to learn from, all is
-``und``. Repeated rows give repeated results; an empty table gives an empty one.
+never learned from and count as held out; null languages aren't learned. With
+nothing to learn from, all is ``und``. Ties go to the language first in order.
+Repeated rows give repeated results; an empty table gives an empty one. Only
+doc_id, text and lang are read; further columns, whatever their names, change
+nothing and aren't returned.
 """
 
 from __future__ import annotations
@@ -28,15 +37,22 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-MAX_DOCS, MAX_WORDS = 400, 200
-LETTERS = re.compile(r"[^\W\d_]+")
-HIDDEN, EMBED, PIECE, CACHE = 16, 12, 24, 300_000
+MAX_DOCS, MAX_LANGS, MAX_PARTS = 1600, 1000, 16
+LETTER = re.compile(r"[^\W\d_]")
+HIDDEN, EMBED = 8, 8
+#: Bytes read side by side, those that lead into them, pieces at once, and bytes of a stretch to learn from.
+PIECE, WARM, LANES, STRETCH = 992, 32, 1024, 48
+
 
+def plain(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
 
-def pieces(word: str) -> list[bytes]:
-    """The bytes of a word between spaces; long words in pieces of PIECE bytes."""
-    raw = word.encode("utf-8", "replace")
-    return [b" " + raw[k : k + PIECE] + b" " for k in range(0, len(raw), PIECE)]
+
+def stretches(raw: bytes, most: int) -> list[bytes]:
+    """At most ``most`` stretches of a text, evenly spread from its start to its end."""
+    n = max(1, min(most, len(raw) // STRETCH))
+    room = max(0, len(raw) - STRETCH)
+    return [raw[k : k + STRETCH] for k in (room * i // max(1, n - 1) for i in range(n))]
 
 
 def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +97,36 @@ class Network:
             h = out[t] = new
         return out, saved
 
-    def forward(self, grid: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Probabilities by step, word and language."""
-        both = np.concatenate([self.states(d, grid, mask)[0] for d in "fb"], axis=2)
-        return softmax(both @ self.w["out"] + self.w["bias"])
+    def evidence(self, d: str, grid: np.ndarray) -> np.ndarray:
+        """What one direction says by step, piece and language; all pieces start at step 0."""
+        w = self.w
+        table, out = w["embed"] @ w[f"{d}x"] + w[f"{d}b"], w["out"][:HIDDEN] if d == "f" else w["out"][HIDDEN:]
+        gate, candidate = (np.ascontiguousarray(x) for x in (w[f"{d}h"][:, : 2 * HIDDEN], w[f"{d}h"][:, 2 * HIDDEN :]))
+        h, states = np.zeros((grid.shape[1], HIDDEN), np.float32), np.empty((*grid.shape, HIDDEN), np.float32)
+        for t, row in enumerate(grid):
+            x = table.take(row, axis=0)
+            g = h @ gate
+            g += x[:, : 2 * HIDDEN]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            c = (g[:, HIDDEN:] * h) @ candidate
+            c += x[:, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            c -= h
+            c *= g[:, :HIDDEN]
+            c += h
+            h = states[t] = c
+        return states @ out
+
+    def positions(self, parts: list[bytes]) -> np.ndarray:
+        """Probabilities by step, piece and language; what is behind a piece's end means nothing."""
+        ahead, _ = padded(parts)
+        back, _ = padded([p[::-1] for p in parts])
+        steps, size = np.arange(len(ahead))[:, None], np.array([len(p) for p in parts])
+        turned = self.evidence("b", back)[np.maximum(size - 1 - steps, 0), np.arange(len(parts))]
+        return softmax(self.evidence("f", ahead) + turned + self.w["bias"])
 
     def gradient(self, grid: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the positions and its gradient, back through time."""
@@ -123,23 +165,25 @@ class Network:
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(-1, keepdims=True))
-    return e / e.sum(-1, keepdims=True)
+    e = np.exp(np.clip(x, -60, 25))
+    e /= e.sum(-1, keepdims=True)
+    return e
 
 
-def train(samples: list[tuple[str, str]], steps: int = 500, size: int = 384, rate: float = 0.02, seed: int = 7) -> Network | None:
-    """A network from (word, language) pairs, each language drawn equally often (Adam)."""
+def train(samples: list[tuple[bytes, str]], steps: int = 120, size: int = 192, rate: float = 0.03, seed: int = 7) -> Network | None:
+    """A network from (bytes, language) pairs, each language drawn equally often (Adam)."""
     langs = sorted({lang for _, lang in samples})
     if not langs:
         return None
     net, rng = Network(langs, seed), np.random.default_rng(seed)
-    by_lang = [[p for w, lang in samples if lang == x for p in pieces(w)] for x in langs]
+    by_lang = {x: [] for x in langs}
+    for raw, lang in samples:
+        by_lang[lang].append(raw)
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     for step in range(1, steps + 1):
         y = rng.integers(len(langs), size=size)
-        words = [by_lang[k][i] for k, i in zip(y, (rng.random(size) * [len(by_lang[k]) for k in y]).astype(int), strict=True)]
-        order = np.argsort([len(w) for w in words], kind="stable")
-        _, g = net.gradient(*padded([words[i] for i in order]), y[order])
+        drawn = [(own := by_lang[langs[k]])[int(u * len(own))] for k, u in zip(y, rng.random(size), strict=True)]
+        _, g = net.gradient(*padded(drawn), y)
         pace = rate * min(1, step / 30) * (1 - 0.9 * step / steps)
         for k, v in g.items():
             first[k] += 0.1 * (v - first[k])
@@ -148,75 +192,61 @@ def train(samples: list[tuple[str, str]], steps: int = 500, size: int = 384, rat
     return net
 
 
-class Reader:
-    """Predicts documents; keeps the result of at most CACHE words."""
-
-    def __init__(self, net: Network) -> None:
-        self.net = net
-        self.index: dict[str, int] = {}
-        self.sums = np.zeros((1 << 12, len(net.langs) + 1))  # by word: probabilities over its positions, and their number
-
-    def learn(self, words: list[str]) -> None:
-        cut = [(i, p) for i, w in enumerate(words, len(self.index)) for p in pieces(w)]
-        while len(self.sums) < len(self.index) + len(words):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        cut.sort(key=lambda x: len(x[1]))
-        for k in range(0, len(cut), 4096):
-            part = cut[k : k + 4096]
-            grid, mask = padded([p for _, p in part])
-            p = self.net.forward(grid, mask) * mask[:, :, None]
-            np.add.at(self.sums, [i for i, _ in part], np.c_[p.sum(0), mask.sum(0)])
-
-    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        if len(self.index) > CACHE:
-            self.index.clear()
-            self.sums[:] = 0
-        cut = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        if new := [w for w in dict.fromkeys(w for words in cut for w in words) if w not in self.index]:
-            self.learn(new)
-        index = self.index
-        for words in cut:
-            if not words:
-                yield "und", 0.0
-                continue
-            total = self.sums[[index[w] for w in words]].sum(0)
-            p = total[:-1] / total[-1]
-            yield self.net.langs[int(p.argmax())], float(p.max())
-
-
-def sample_words(docs: DataFrame, max_docs: int, max_words: int) -> list[tuple[str, str]]:
-    """(word, lang) of the documents to learn from."""
+def predict(net: Network, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    """(language, mean probability) of each text."""
+    raws = [plain(t) if t and LETTER.search(t) else b"" for t in texts]
+    cut = [(i, k, max(0, k - WARM), min(len(raw), k + PIECE + WARM)) for i, raw in enumerate(raws) for k in range(0, len(raw), PIECE)]
+    cut.sort(key=lambda c: c[3] - c[2])
+    total = np.zeros((len(raws), len(net.langs)))
+    lanes = max(16, min(LANES, 16 * LANES // len(net.langs)))  # memory holds a number for each language and position
+    for n in range(0, len(cut), lanes):
+        part = cut[n : n + lanes]
+        p = net.positions([raws[i][lo:hi] for i, _, lo, hi in part])
+        i, k, lo, _ = (np.array(x) for x in zip(*part, strict=True))
+        size = np.minimum([len(raws[j]) - x for j, x in zip(i, k, strict=True)], PIECE)
+        steps = np.arange(len(p))[:, None] - (k - lo)
+        p *= ((steps >= 0) & (steps < size))[:, :, None]
+        np.add.at(total, i, p.sum(0))
+    for raw, sums in zip(raws, total, strict=True):
+        if raw:
+            yield net.langs[int(sums.argmax())], min(1.0, float(sums.max() / len(raw)))
+        else:
+            yield "und", 0.0
+
+
+def sample(docs: DataFrame, max_docs: int, max_langs: int, max_parts: int) -> list[tuple[bytes, str]]:
+    """(bytes, lang) of the documents to learn from."""
     key = F.col("doc_id").cast("string")
-    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key) % 4 != 2)).select("doc_id", "lang", F.xxhash64(key).alias("h"))
-    for group in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # a frequent language is thinned in parts first
-        nth = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id"))
-        own = own.withColumn("nth", nth).filter(F.col("nth") <= max_docs).drop("nth")
-    chosen = own.select("doc_id").distinct()
-    rows = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key) % 4 != 2))
+    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    if not sizes:
+        return []
+    each, cells = max(1, max_docs // len(sizes)), 1 << 40
+    # A bound on the hash leaves some times as many as wanted, whatever a language's share of the rows.
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(cells * min(1.0, (4 * each + 16) / r["count"]))) for r in sizes], "lang string, share long")
+    h = F.pmod(F.xxhash64(key), F.lit(cells))
+    thin = own.select("lang", "text", h.alias("h"), F.xxhash64("text").alias("th")).join(F.broadcast(shares), "lang").filter("h < share")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "th"))
+    chosen = thin.withColumn("nth", nth).filter(F.col("nth") <= each).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = []
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = LETTERS.findall(text.lower())
-                pairs += [(w, lang) for w in words[:: max(1, -(-len(words) // max_words))]]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["word", "lang"])
+            pairs = [(p, lang) for text, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True) if LETTER.search(text) for p in stretches(plain(text), max_parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())], names=["part", "lang"])
 
-    return sorted((r.word, r.lang) for r in rows.select("text", "lang").mapInArrow(run, "word string, lang string").collect())
+    return sorted((bytes(r.part), r.lang) for r in chosen.mapInArrow(run, "part binary, lang string").collect())
 
 
-def identify(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, group: int = 512) -> DataFrame:
+def identify(docs: DataFrame, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS, max_parts: int = MAX_PARTS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score)."""
-    net = train(sample_words(docs, max_docs, max_words))
+    net = train(sample(docs, max_docs, max_langs, max_parts))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net) if net else None
         for batch in batches:
-            for part in slices(batch, 1, group):
+            for part in slices(batch, 1, 4096, 4 << 20):
                 texts = part.column(1).to_pylist()
-                rows = list(reader.predict(texts)) if reader else [("und", 0.0)] * len(texts)
+                rows = list(predict(net, texts)) if net else [("und", 0.0)] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
