@@ -32,7 +32,7 @@ def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.report_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,28 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Three transducers are composed. The first maps words to symbols: insults (with a
-learned weight), threats, intent, targets, negation and reported speech. The
-second reads the symbols of one clause and emits events: an insult that is
-plain, aimed at a target, negated or reported, or a threat. The third adds the
-events of a document into sums and densities. A logistic model turns these into
-a score; a lone insult word has no say except through its clause.
+Transducers are composed. The first maps words to symbols: insults (with a
+learned weight), threats, intent, targets, negation and reported speech. Five
+small machines then read the symbols of one clause side by side: insult, threat,
+target, negation and reported speech. Where the clause ends, their joint state
+says what the clause is as a whole: a threat, an insult aimed at somebody, several
+insults, a plain one, or one that is negated or reported. A clause counts once,
+with the weight of its strongest insult, however many words it has. The last
+transducer adds the clauses of a document by kind into sums and densities, and a
+logistic model turns these into a score; words have no say but through clauses.
 
 Which words and word beginnings are insults is learned from labelled rows: a
 feature enters the grammar if its log likelihood ratio is at least ``evidence``.
-At most ``max_labelled`` labelled rows serve for that (those whose ids have the
-smallest hashes), and at most ``max_lexicon`` features.
+At most ``max_labelled`` labelled texts serve for that (those with the smallest
+hashes), at most ``10 * max_lexicon`` features of toxic ones are weighed (the most
+frequent), and at most ``max_lexicon`` are kept.
 
 Nulls: a null text is empty and is scored like one. Null ids are never learned
-from and count as held out. Repeated rows give repeated results; with no labels
-the grammar has its fixed words only. An empty table gives an empty one.
+from and count as held out; null labels and labels other than 0 and 1 aren't
+learned. Of several labels of one document or text the largest counts. Repeated
+rows give repeated results; with no labels the grammar has its fixed words only.
+An empty table gives an empty one. Very long texts are read whole. Only the id
+and text columns are read by :func:`score`; further columns, whatever their
+names, change nothing.
 """
 
 from __future__ import annotations
@@ -42,26 +50,67 @@ REPORT = {"said", "says", "wrote", "reported", "quoted", "claimed", "alleged", "
 INTENT = {"will", "gonna", "going", "i'll", "we'll", "shall", "werde", "vais", "voy"}
 THREAT = {"kill", "hurt", "destroy", "murder", "beat", "shoot", "stab", "burn", "hang", "töten", "schlagen", "tuer", "frapper", "matar", "golpear"}
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]")
-EVENTS = ("plain", "targeted", "negated", "reported", "threat")
+EVENTS = ("plain", "several", "targeted", "negated", "reported", "threat")
+#: Sums, densities, and one of all kinds.
+FEATURES = 2 * len(EVENTS) + 1
+START = (0, 0, 0, 0, 0)
 
-#: The clause transducer: (state, symbol) -> (next state, event). A state lists what
-#: the clause has shown so far: t target, n negation, r reported speech, i intent.
-Arc = tuple[str, str | None]
 
+def insult(state: int, symbol: str) -> int:
+    """0, 1 or 2 and more insults so far."""
+    return min(2, state + 1) if symbol == "INSULT" else state
 
-def clause_arcs() -> dict[tuple[str, str], Arc]:
-    arcs: dict[tuple[str, str], Arc] = {}
-    flags = "tnri"
-    for mask in range(16):
-        state = "".join(f for k, f in enumerate(flags) if mask >> k & 1)
-        for symbol, flag in (("TARGET", "t"), ("NEGATION", "n"), ("REPORT", "r"), ("INTENT", "i")):
-            arcs[state, symbol] = ("".join(sorted({*state, flag}, key=flags.index)), None)
-        kind = "reported" if "r" in state else "negated" if "n" in state else "targeted" if "t" in state else "plain"
-        arcs[state, "INSULT"] = (state, kind)
-        threat = kind if kind in ("reported", "negated") else "threat" if "i" in state else None
-        arcs[state, "THREAT"] = (state, threat)
-        arcs[state, "END"] = ("", None)
-    return arcs
+
+def threat(state: int, symbol: str) -> int:
+    """1 after a word of intent, 2 after a threat that follows it."""
+    if symbol == "INTENT":
+        return max(1, state)
+    return 2 if symbol == "THREAT" and state else state
+
+
+def target(state: int, symbol: str) -> int:
+    """1 once somebody is meant."""
+    return 1 if symbol == "TARGET" else state
+
+
+def negation(state: int, symbol: str) -> int:
+    """1 after a negation, 2 if it covers what follows, 3 if something stood before any negation."""
+    if symbol == "NEGATION":
+        return max(1, state)
+    if symbol in ("INSULT", "THREAT"):
+        return (3, 2, 2, 3)[state]
+    return state
+
+
+def report(state: int, symbol: str) -> int:
+    """1 once the clause is somebody's words."""
+    return 1 if symbol == "REPORT" else state
+
+
+MACHINES = (insult, threat, target, negation, report)
+
+
+def outcome(state: tuple[int, ...]) -> str | None:
+    """What a clause is, from the joint state at its end."""
+    insults, threats, targets, negations, reports = state
+    if not insults and threats < 2:
+        return None
+    if reports:
+        return "reported"
+    if negations == 2:
+        return "negated"
+    if threats == 2:
+        return "threat"
+    return "targeted" if targets else "several" if insults == 2 else "plain"
+
+
+class Composed(dict):
+    """The product of the machines: (joint state, symbol) -> joint state, made as it is met."""
+
+    def __missing__(self, key: tuple[tuple[int, ...], str]) -> tuple[int, ...]:
+        state, symbol = key
+        self[key] = out = tuple(m(x, symbol) for m, x in zip(MACHINES, state, strict=True))
+        return out
 
 
 def fixed_symbols() -> dict[str, str]:
@@ -85,7 +134,7 @@ class Grammar:
 
     def __post_init__(self) -> None:
         self.symbols = fixed_symbols()
-        self.arcs = clause_arcs()
+        self.arcs = Composed()
         self.words: dict[str, tuple[str, float] | None] = {}
 
     def symbol(self, word: str) -> tuple[str, float] | None:
@@ -96,31 +145,37 @@ class Grammar:
             return "INSULT", best
         return None
 
-    def measure(self, text: str) -> tuple[list[float], int]:
-        """Third transducer: sums and densities of the events, and the clauses that matched."""
+    def clauses(self, text: str) -> tuple[dict[str, float], int, int]:
+        """Summed weights of the matched clauses by kind, how many matched, and the tokens."""
         sums = dict.fromkeys(EVENTS, 0.0)
         tokens = TOKEN.findall(text.lower())
-        known, state, matched, hit = self.words, "", 0, False
+        known, arcs, state, most, matched = self.words, self.arcs, START, 0.0, 0
         if len(known) > 500_000:
             known.clear()
-        for w in tokens:
+        for w in [*tokens, "."]:
             if w in known:
                 s = known[w]
             else:
                 s = known[w] = self.symbol(w)
             if s is None:
                 continue
-            if s[0] == "END":
-                matched, hit, state = matched + hit, False, ""
-                continue
-            state, event = self.arcs[state, s[0]]
-            if event:
-                sums[event] += s[1]
-                hit = True
-        total = list(sums.values())
-        n = len(tokens) or 1
+            if s[0] != "END":
+                state = arcs[state, s[0]]
+                if s[0] in ("INSULT", "THREAT"):
+                    most = max(most, s[1])
+            elif state is not START:
+                if event := outcome(state):
+                    sums[event] += most
+                    matched += 1
+                state, most = START, 0.0
+        return sums, matched, len(tokens)
+
+    def measure(self, text: str) -> tuple[list[float], int]:
+        """The features of a document: sums and densities of its clauses; and how many matched."""
+        sums, matched, n = self.clauses(text)
+        total, n = list(sums.values()), n or 1
         dense = [100 * x / n for x in total]
-        return [*np.log1p(total), *np.log1p(dense), float(np.log1p(100 * sum(total) / n / np.sqrt(n)))], matched + hit
+        return [*np.log1p(total), *np.log1p(dense), float(np.log1p(100 * sum(total) / n / np.sqrt(n)))], matched
 
     def score(self, text: str) -> tuple[float, int]:
         values, matched = self.measure(text)
@@ -166,15 +221,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int =
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, evidence: float = EVIDENCE, max_lexicon: int = MAX_LEXICON) -> Grammar:
     """The grammar learned from labelled rows whose crc32(doc_id) mod 5 is not 0."""
     key = F.col("doc_id").cast("string")
-    chosen = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(key) % 5 != 0)).select("doc_id", F.col("toxic").alias("y")).dropDuplicates(["doc_id"])
+    chosen = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(key) % 5 != 0)).select("doc_id", F.col("toxic").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = bounded(chosen, key, max_labelled)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("y").cast("int").alias("y"))
-    rows = rows.persist()
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    kept = rows.select("th").orderBy("th").limit(max_labelled)  # one id may have many texts
+    rows = rows.join(F.broadcast(kept), "th", "left_semi").select("text", "y").persist()
     try:
         sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
         bad, good = sizes.get(1, 0), sizes.get(0, 0)
         if not bad or not good:
-            return Grammar({}, [0.0] * 11 + [-2.0], [0.0] * 11, [1.0] * 11)
+            return Grammar({}, [0.0] * FEATURES + [-2.0], [0.0] * FEATURES, [1.0] * FEATURES)
         base = bad / (bad + good)
         found = _count(rows.filter("y = 1"), None).filter(F.col("n") >= 3).orderBy(F.desc("n"), "f").limit(10 * max_lexicon)
         pos = {r.f: r.n for r in found.collect()}
@@ -188,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                 lexicon[f] = float(rate * np.log(p))
         kept = sorted(lexicon.items(), key=lambda e: (-e[1], e[0]))[:max_lexicon]
         top = kept[0][1] if kept else 1.0
-        grammar = Grammar({f: v / top for f, v in kept}, [0.0] * 12, [0.0] * 11, [1.0] * 11)
+        grammar = Grammar({f: v / top for f, v in kept}, [0.0] * (FEATURES + 1), [0.0] * FEATURES, [1.0] * FEATURES)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -218,7 +275,8 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, n_clauses long")
 
 
-def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def report_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, n_clauses)."""
     scored = score(docs, learn(docs, labels))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses")

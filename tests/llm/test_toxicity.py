@@ -1,11 +1,14 @@
+import random
 import zlib
 
+import numpy as np
+
 from strandline.llm import toxicity
 
 
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    found = toxicity.report(docs, labels).join(labels, "doc_id").collect()
+    found = toxicity.report_scores(docs, labels).join(labels, "doc_id").collect()
     for r in found[:200]:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
@@ -15,27 +18,77 @@ def test_held_out_accuracy(spark):
     assert right > 0.97 and recall > 0.85
 
 
+def grammar():
+    n = toxicity.FEATURES
+    return toxicity.Grammar({"idiot": 1.0, "mor*": 0.5}, [0.0] * (n + 1), [0.0] * n, [1.0] * n)
+
+
 def test_grammar():
-    g = toxicity.Grammar({"idiot": 1.0, "mor*": 0.5}, [0.0] * 11 + [0.0], [0.0] * 11, [1.0] * 11)
-
-    def events(text):
-        return dict(zip(toxicity.EVENTS, g.measure(text)[0], strict=False))
-
-    assert events("An idiot.")["plain"] > 0
-    assert events("You idiot.")["targeted"] > 0 and events("You idiot.")["plain"] == 0
-    assert events("They are not an idiot.")["negated"] > 0
-    assert events("They said you idiot.")["reported"] > 0
-    assert events("I will kill.")["threat"] > 0 and events("They kill time.")["threat"] == 0
-    assert events("You. An idiot.")["targeted"] == 0
-    assert events("moron")["plain"] > 0 and sum(events("nothing here").values()) == 0
+    g = grammar()
+
+    def kinds(text):
+        return {k: v for k, v in g.clauses(text)[0].items() if v}
+
+    assert kinds("An idiot.") == {"plain": 1.0}
+    assert kinds("Idiot idiot moron idiot.") == {"several": 1.0}
+    assert kinds("You idiot.") == kinds("An idiot, you!") == {"targeted": 1.0}
+    assert kinds("They are not an idiot.") == {"negated": 1.0}
+    assert kinds("An idiot is not here.") == {"plain": 1.0}
+    assert kinds("They said you idiot.") == {"reported": 1.0}
+    assert kinds("I will kill.") == {"threat": 1.0} and kinds("I will not kill you.") == {"negated": 1.0}
+    assert kinds("They kill time.") == {} and kinds("nothing here") == {}
+    assert kinds("You. An idiot.") == {"plain": 1.0}
+    assert kinds("moron") == {"plain": 0.5}
     assert g.measure("An idiot. Fine. You idiot!")[1] == 2
 
 
+def interpreted(words):
+    """The kind of one clause, straight from the rules and without states."""
+    hot = [i for i, w in enumerate(words) if w in ("idiot", "moron")]
+    threats = [i for i, w in enumerate(words) if w == "kill" and "will" in words[:i]]
+    if not hot and not threats:
+        return None
+    if "said" in words:
+        return "reported"
+    first = min(i for i, w in enumerate(words) if w in ("idiot", "moron", "kill"))
+    if "not" in words[:first]:
+        return "negated"
+    if threats:
+        return "threat"
+    return "targeted" if "you" in words else "several" if len(hot) > 1 else "plain"
+
+
+def test_random_clauses():
+    rng, g = random.Random(3), grammar()
+    for _ in range(3000):
+        clauses = [[rng.choice(["idiot", "moron", "kill", "will", "you", "not", "said", "sky", "walk"]) for _ in range(rng.randrange(0, 7))] for _ in range(3)]
+        expected = dict.fromkeys(toxicity.EVENTS, 0.0)
+        for words in clauses:
+            if kind := interpreted(words):
+                expected[kind] += 1.0 if "idiot" in words or "kill" in words else 0.5
+        assert g.clauses(". ".join(" ".join(w) for w in clauses))[0] == expected, clauses
+
+
+def test_conflicting_labels(spark):
+    """The largest label counts, however the rows are dealt."""
+    docs = spark.createDataFrame([(i, f"some text number {i} " + ("idiot " if i % 2 else "")) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)] + [(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    one, many = (toxicity.learn(docs, labels.repartition(n)) for n in (1, 7))
+    assert one.lexicon == many.lexicon and "idiot" in one.lexicon
+    assert np.allclose(one.weights, many.weights)
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    docs = spark.createDataFrame([(7, f"text {i} idiot") for i in range(50)] + [(8, f"calm {i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.learn(docs, labels, max_labelled=20).weights
+
+
 def test_awkward(spark, awkward, nothing, rows):
     labels = spark.createDataFrame([(1, None, 1), (3, None, 0), (4, None, None), (None, None, 1)], "doc_id long, quality int, toxic int")
-    found = toxicity.report(awkward, labels).collect()
+    found = toxicity.report_scores(awkward, labels).collect()
     assert len(found) == len(rows)
     assert all(r.held_out for r in found if r.doc_id is None)
     kept = toxicity.drop_toxic(awkward, labels.limit(0))
     assert kept.columns == awkward.columns and kept.count() == len(rows)
-    assert toxicity.report(nothing, labels).count() == 0
+    assert toxicity.report_scores(nothing, labels).count() == 0
