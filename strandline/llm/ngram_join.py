@@ -8,15 +8,22 @@ between classes, and copies are never paired with each other.
    texts at 0.8 share none of 36 with probability 2e-5, more similar ones less.
 2. Classes that share a bucket are candidates; of buckets with equal members one
    is kept. A bucket is compared in blocks, so that no task holds more than two.
+   A pair belongs to the first bucket that it shares.
 3. Pairs are compared a few MinHash values at a time. With ``m`` of ``n`` equal,
    the similarity has the posterior Beta(m + 1, n - m + 1); a pair whose chance
-   of reaching the threshold is below ``tolerance`` is dropped.
-4. Groups connected by what is left are verified exactly on their shingles, again
-   in blocks. Tasks return counts of links and what they connect, never pairs.
+   of reaching the threshold is below ``tolerance`` is dropped. Classes with no
+   pair left leave their block.
+4. The pairs left are verified exactly on their shingles, in the same blocks: no
+   other pairs, even if links connect them. Tasks return counts of links and what
+   they connect, never pairs.
 
 Nulls: texts without words are linked to nothing. Texts of fewer than five words
 have one shingle, all their words. A null id comes after all others. Repeated
-rows (same id and text) share their result. An empty table gives an empty one.
+rows (same id and text) share their result. Of equal texts, and of a group, the
+smallest id stands for all. An empty table gives an empty one. Very long texts
+are read whole; a block holds fewer of them. Only the id and text columns are
+read by :func:`join_similar`; further columns, whatever their names, change
+nothing, and :func:`keep_one` returns them as they are.
 """
 
 from __future__ import annotations
@@ -38,9 +45,9 @@ BAND, BANDS = 6, 36
 HASHES = BAND * BANDS
 STEP = 24
 TOLERANCE = 1e-6
-BLOCK = 1024
+BLOCK = 2048
 #: Shingles of a block's texts, on average, beyond which blocks are smaller.
-HEAVY = 2000
+HEAVY = 1000
 #: Parts into which each group is split before nodes are connected.
 SPLIT = 64
 LAST = (1 << 63) - 1
@@ -137,7 +144,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["cls", "sh"])
 
 
-def survivors(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, least: list[tuple[int, int]], rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def survivors(sig: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, least: list[tuple[int, int]], rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that pass the size bound and all posterior checks, some rows of ``left`` at a time."""
     for k in range(0, len(left), rows):
         part = left[k : k + rows]
@@ -189,29 +196,42 @@ def _segments(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         start = end
 
 
-def _compare(t: pa.Table, least: list[tuple[int, int]], exact: bool) -> pa.Table:
-    """(grp, cls, links): what the pairs of each block connect; with ``exact`` the links of each class."""
-    cls, size = t["cls"].to_numpy(), t["n"].to_numpy().astype(np.int64)
+def _pairs(t: pa.Table, least: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of pairs that survive in their block pair, for pairs of the first bucket they share."""
+    size, kept, band = (t[c].to_numpy().astype(np.int64) for c in ("n", "kept", "band"))
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
-    sets = [np.asarray(x.values) for x in t["sh"]] if exact else []
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    cut, bits = sig.reshape(-1, BANDS, BAND), np.arange(BANDS)
     for order, left, right, same in _segments(t):
-        lo = min(left.min(initial=1 << 60), right.min(initial=1 << 60))
-        hi = max(left.max(initial=-1), right.max(initial=-1)) + 1
-        joined, links = Sets(int(hi - lo)), np.zeros(int(hi - lo), np.int64)
-        for a, b in survivors(sig, size, order[left], order[right], same, least):
-            if exact:
-                a, b = verified(a, b, sets, size)
-            back = np.empty(len(order), np.int64)
-            back[order[lo:hi]] = np.arange(hi - lo)
-            joined.join(back[a], back[b])
-            np.add.at(links, back[a], 1)
-            np.add.at(links, back[b], 1)
-        found = np.flatnonzero(links)
-        roots = np.array([joined.find(int(x)) for x in found], dtype=np.int64)
-        out.append((cls[order[lo + roots]], cls[order[lo + found]], links[found]))
-    cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
-    return pa.table({"grp": cols[0], "cls": cols[1], "links": cols[2]})
+        left, right = order[left], order[right]
+        own = band[(left if len(left) else right)[0]]
+        for a, b in survivors(sig, size, left, right, same, least):
+            shared = ((kept[a] & kept[b])[:, None] >> bits & 1).astype(bool) & (cut[a] == cut[b]).all(2)
+            keep = shared.argmax(1) == own
+            if keep.any():
+                yield a[keep], b[keep]
+
+
+def _prune(t: pa.Table, least: list[tuple[int, int]]) -> pa.Table:
+    """The rows of ``t`` that still have a pair in their block pair."""
+    alive = np.zeros(t.num_rows, bool)
+    for a, b in _pairs(t, least):
+        alive[a] = alive[b] = True
+    return t.select(PLACE).filter(pa.array(alive))
+
+
+def _verify(t: pa.Table, least: list[tuple[int, int]]) -> pa.Table:
+    """(grp, i, j, root, cls, links): the exact links of each class in a block pair, and what they connect."""
+    cls, size = t["cls"].to_numpy(), t["n"].to_numpy().astype(np.int64)
+    sets = [np.asarray(x.values) for x in t["sh"]]
+    joined, links = Sets(t.num_rows), np.zeros(t.num_rows, np.int64)
+    for a, b in _pairs(t, least):
+        a, b = verified(a, b, sets, size)
+        joined.join(a, b)
+        np.add.at(links, a, 1)
+        np.add.at(links, b, 1)
+    found = np.flatnonzero(links)
+    roots = np.array([joined.find(int(x)) for x in found], dtype=np.int64)
+    return t.select(["grp", "i", "j", "cls"]).take(pa.array(found)).append_column("root", pa.array(cls[roots])).append_column("links", pa.array(links[found]))
 
 
 def verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,23 +250,37 @@ def verified(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], size: np.ndar
     return a[keep], b[keep]
 
 
-def blocks(members: DataFrame, total: float, cols: list[str]) -> DataFrame:
-    """Rows (grp, size, cls, ...) spread over the pairs of blocks of their group.
+#: Where a class is compared: bucket, its band, blocks of the bucket, the class's block, and the pair of blocks.
+PLACE = ["grp", "band", "nb", "blk", "i", "j", "cls"]
 
-    ``size`` counts members, or what they weigh in members of ordinary length.
-    """
+
+def weight(n: str = "n") -> Column:
+    """What a class weighs in a block, in classes of ordinary length."""
+    return F.greatest(F.lit(1.0), F.col(n) / HEAVY)
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """PLACE of each class of a bucket (grp, band, size, cls): rows for all block pairs that it is in; ``size`` is in weights."""
     rows = members.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("blk", F.pmod(F.xxhash64(F.lit(5), "cls"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    few = max(1, int(total) // (2 * BLOCK))  # small groups share a task, each pair of blocks has its own
-    rows = rows.select("grp", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "nb", *cols)
-    task = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("grp"), F.lit(few))).otherwise(F.xxhash64("grp", "i", "j"))
-    return rows.withColumn("task", task).drop("nb")
+    return rows.select("grp", "band", "nb", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "cls")
+
+
+def in_tasks(rows: DataFrame, total: float) -> DataFrame:
+    """``rows`` with the task that compares them: small buckets share one, a pair of blocks has its own."""
+    few = max(1, int(total) // (2 * BLOCK))
+    return rows.withColumn("task", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("grp"), F.lit(few))).otherwise(F.xxhash64("grp", "i", "j")))
+
+
+def prune(rows: DataFrame, tolerance: float) -> DataFrame:
+    least = least_matches(tolerance)
+    return rows.groupBy("task").applyInArrow(lambda t: _prune(t, least), "grp long, band int, nb int, blk int, i int, j int, cls long")
 
 
-def compare(rows: DataFrame, exact: bool, tolerance: float) -> DataFrame:
+def verify(rows: DataFrame, tolerance: float) -> DataFrame:
     least = least_matches(tolerance)
-    return rows.groupBy("task").applyInArrow(lambda t: _compare(t, least, exact), "grp long, cls long, links long")
+    return rows.groupBy("task").applyInArrow(lambda t: _verify(t, least), "grp long, i int, j int, cls long, root long, links long")
 
 
 def components(members: DataFrame) -> DataFrame:
@@ -293,30 +327,30 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = stored(named.select("cls", "n", "sig", "keys").dropDuplicates(["cls"]), "signatures")
 
     # Buckets that several classes share, one of those with equal members.
-    banded = known.select(F.explode("keys").alias("grp"), "cls")
+    banded = known.select(F.posexplode("keys").alias("band", "grp"), "cls", "n")
     one, two = F.xxhash64("cls"), F.xxhash64(F.lit(1), "cls")
-    shared = banded.groupBy("grp").agg(F.count("*").alias("size"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).filter("size > 1")
-    shared = stored(shared.groupBy("size", "x", "y").agg(F.min("grp").alias("grp")).select("grp", "size"), "buckets")
-    n_members = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = attach_groups(banded, shared, "grp", "size", total * BANDS)
-    spread = blocks(members.join(known.select("cls", "n", "sig"), "cls"), n_members, ["cls", "n", "sig"])
-    left = stored(compare(spread, False, tolerance), "left")
-    near = components(left.select("grp", F.col("cls").alias("node")).distinct()).select(F.col("label").alias("grp"), F.col("node").alias("cls"))
-    close = stored(near.join(known.select("cls", "n", "sig"), "cls"), "close")
-
-    # What is left is verified on the shingles, read from one text of each class.
-    weight = F.sum(F.greatest(F.lit(1.0), F.col("n") / HEAVY))
-    n_close, w_close = close.agg(F.count("*"), F.coalesce(weight, F.lit(0.0))).first()
-    wanted = stored(close.join(reps, "cls").select("cls", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")), "wanted")
-    texts = plain.join(small(wanted, n_close, 48), ["id", "th"])
+    shared = banded.groupBy("grp").agg(F.min("band").alias("band"), F.count("*").alias("members"), F.sum(weight()).alias("size"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).filter("members > 1")
+    first = F.min(F.struct("grp", "band", "size")).alias("b")
+    shared = stored(shared.groupBy("members", "x", "y").agg(first).select("b.grp", F.col("b.band").alias("of"), "b.size", "members"), "buckets")
+    members = stored(attach_groups(banded, shared, "grp", "members", total * BANDS).select("grp", F.col("of").alias("band"), "size", "cls"), "members")
+    bits = F.bit_or(F.expr("shiftleft(1L, band)")).alias("kept")
+    described = stored(known.select("cls", "n", "sig").join(members.groupBy("cls").agg(bits), "cls"), "described")
+    spread = stored(blocks(members), "spread")
+    left = stored(prune(in_tasks(spread.join(described, "cls"), spread.count()), tolerance), "left")
+
+    # The pairs left are verified on the shingles, read from one text of each class.
+    wanted = stored(left.select("cls").distinct().join(reps, "cls").select("cls", F.col("rep.id").alias("id"), F.col("rep.th").alias("th")), "wanted")
+    n_wanted = wanted.count()
+    texts = plain.join(small(wanted, n_wanted, 48), ["id", "th"])
     sets = texts.select("cls", "text").mapInArrow(_shingle_rows, "cls long, sh array<long>").dropDuplicates(["cls"])
-    full = attach_groups(close, close.groupBy("grp").agg(weight.alias("size")), "grp", "size", n_close).join(sets, "cls")
-    linked = stored(compare(blocks(full, w_close, ["cls", "n", "sig", "sh"]), True, tolerance), "linked")
-    clusters = components(linked.select("grp", F.col("cls").alias("node")).distinct()).select(F.col("label").alias("cluster"), F.col("node").alias("cls"))
+    full = left.join(described.join(sets, "cls"), "cls")
+    heavy = left.join(described.select("cls", "n"), "cls").agg(F.coalesce(F.sum(weight()), F.lit(0.0))).first()[0]
+    linked = stored(verify(in_tasks(full, heavy), tolerance), "linked")
+    clusters = components(linked.select(F.xxhash64("grp", "i", "j", "root").alias("grp"), F.col("cls").alias("node")).distinct()).select(F.col("label").alias("cluster"), F.col("node").alias("cls"))
     clusters = stored(clusters.join(linked.groupBy("cls").agg(F.sum("links").alias("n_links")), "cls").join(reps.select("cls", F.col("rep.id").alias("own")), "cls"), "clusters")
 
-    first = clusters.groupBy("cluster").agg(F.min("own").alias("class_id"), F.count("*").alias("size"))
-    grouped = attach_groups(clusters.select("cls", "n_links", "cluster"), first, "cluster", "size", n_close).select("cls", "n_links", "class_id")
+    heads = clusters.groupBy("cluster").agg(F.min("own").alias("class_id"), F.count("*").alias("size"))
+    grouped = attach_groups(clusters.select("cls", "n_links", "cluster"), heads, "cluster", "size", n_wanted).select("cls", "n_links", "class_id")
     of_class = reps.select("cls", F.col("rep.id").alias("copy_of"), "n_copies").join(grouped, "cls", "left").filter("n_copies > 1 or class_id is not null")
     found = attach_groups(rows.select("id", "th", "cls"), of_class, "cls", "n_copies", total, "left")
     own = F.coalesce("copy_of", "id")

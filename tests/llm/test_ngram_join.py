@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from strandline.llm import ngram_join as ng
 from strandline.llm.oracles import ORACLES
@@ -72,6 +73,38 @@ def test_blocks(spark, monkeypatch):
     assert result(ng.report(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
 
+def test_chain_verifies_candidates_only(monkeypatch):
+    """In a chain of 3,000 classes only neighbours are verified, each pair once, and no link is lost."""
+    rng = random.Random(9)
+    stream = [b"w%d" % rng.randrange(10**6) for _ in range(3000 * 5 + 110)]
+    sets = [ng.shingles(stream[k * 5 : k * 5 + 104]) for k in range(3000)]
+    values = np.concatenate([ng.minhashes(sets[k : k + 250]) for k in range(0, 3000, 250)])
+    keys, sig = ng.band_keys(values).view(np.int64), ng.signature(values)
+    buckets = {}
+    for c in range(3000):
+        for band in range(ng.BANDS):
+            buckets.setdefault((int(keys[c, band]), band), []).append(c)
+    rows = [(g, band, c) for (g, band), own in buckets.items() if len(own) > 1 for c in own]
+    kept = [sum(1 << b for b in range(ng.BANDS) if len(buckets[int(keys[c, b]), b]) > 1) for c in range(3000)]
+    n = len(rows)
+    table = pa.table({
+        "grp": [r[0] for r in rows], "band": [r[1] for r in rows], "nb": [1] * n, "blk": [0] * n, "i": [0] * n, "j": [0] * n, "cls": [r[2] for r in rows], "n": [len(sets[r[2]]) for r in rows],
+        "sig": [sig[r[2]].tobytes() for r in rows], "kept": [kept[r[2]] for r in rows], "sh": [np.sort(sets[r[2]].view(np.int64)) for r in rows],
+    })
+    compared = []
+    real = ng.verified
+    monkeypatch.setattr(ng, "verified", lambda a, b, *rest: (compared.extend(zip(table["cls"].take(pa.array(a)).to_pylist(), table["cls"].take(pa.array(b)).to_pylist(), strict=True)), real(a, b, *rest))[1])
+    found = ng._verify(table, ng.least_matches())
+    links = Counter()
+    for c, k in zip(found["cls"].to_pylist(), found["links"].to_pylist(), strict=True):
+        links[c] += k
+    near = sum(9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b])) for a in range(20, 40) for b in range(3000) if a != b)
+    assert sum(links[c] for c in range(20, 40)) == near == 20 * 4
+    assert len(compared) == len({frozenset(p) for p in compared}) < 3000 * 8
+    alive = ng._prune(table, ng.least_matches())
+    assert set(alive["cls"].to_pylist()) == set(range(3000)) and alive.num_rows <= n
+
+
 def test_stage(awkward, nothing):
     kept = ng.keep_one(awkward)
     assert kept.columns == awkward.columns
