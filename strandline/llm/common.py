@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +18,6 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 #: A broadcast side must be proven smaller than this; beyond it the join shuffles.
 MAX_BROADCAST_BYTES = 64 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -30,30 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     Cuts the lineage: a lost executor costs only the reading of files that
-    outlive it. The files go when the driver ends.
+    outlive it. The files go by ``clear_scratch``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored() -> None:
-    """Removes what :func:`stored` wrote."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            sc = spark.sparkContext
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has gone; its folder is the cluster's to clear
-            return
-
-
-atexit.register(drop_stored)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` is the fast way where all is ASCII."""
     text = F.coalesce(text, F.lit(""))

@@ -1,17 +1,24 @@
 """Licence scans: Aho-Corasick finds tags and phrases, shunting-yard reads expressions.
 
-One automaton holds all notice phrases as word sequences; a text is brought to
-lower-cased words with single spaces and read once. Behind an identifier tag the
-rest of the line is an expression; the shunting-yard algorithm orders its AND,
-OR and WITH, and its value is the set of licences and how freely they permit use.
+One automaton finds identifier tags in the lower-cased text, another holds all
+notice phrases as word sequences and reads the text's words with single spaces.
+What follows a tag, up to the line's end, the comment's end or the next tag, is
+an expression; the shunting-yard algorithm orders its AND, OR and WITH, and its
+value is the set of licences and how freely they permit use. Identifiers belong
+to families, told by their beginnings.
 
 Nulls: a null text is empty. A text without words has no places and score 0.
 Repeated rows give repeated results; an empty table gives an empty one. An
-expression that doesn't parse counts for its known licences alone.
+expression that doesn't parse counts for its known licences alone. Of several
+expressions the last one that names a licence sets the freedom. Labels are
+sorted, so there are no ties. Very long texts are read whole, in time that grows
+with their length. Only the id and text columns are read; further columns,
+whatever their names, change nothing and aren't returned.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -41,15 +48,24 @@ ADDED = {
     "the unlicense": "unlicense",
     "all rights reserved": "proprietary",
 }
-#: Identifiers of expressions with their labels, and how freely a label permits use.
-IDS = {
-    "mit": "mit", "mit-0": "mit", "apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-sa-4.0": "cc-by-sa", "cc-by-4.0": "cc-by", "cc0-1.0": "cc0",
-    "agpl-3.0": "agpl", "agpl-3.0-only": "agpl", "agpl-3.0-or-later": "agpl", "gpl-2.0": "gpl", "gpl-2.0-only": "gpl", "gpl-2.0-or-later": "gpl", "gpl-3.0": "gpl",
-    "gpl-3.0-only": "gpl", "gpl-3.0-or-later": "gpl", "lgpl-2.1": "lgpl", "lgpl-3.0": "lgpl", "mpl-2.0": "mpl", "bsd-2-clause": "bsd", "bsd-3-clause": "bsd",
-    "epl-2.0": "epl", "bsl-1.0": "bsl", "unlicense": "unlicense",
+#: Beginnings of identifiers with the label of their family; the longest that fits counts, up to a version.
+FAMILIES = {
+    "mit": "mit", "apache": "apache-2", "apache-1": "apache-1", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "zlib": "zlib", "x11": "mit", "ncsa": "ncsa", "postgresql": "postgresql", "psf": "psf", "python": "psf",
+    "bsl": "bsl", "busl": "busl", "unlicense": "unlicense", "wtfpl": "wtfpl", "cc0": "cc0", "pddl": "pddl", "cc-pddc": "cc0",
+    "cc-by": "cc-by", "cc-by-sa": "cc-by-sa", "cc-by-nd": "cc-by-nd", "cc-by-nc": "cc-by-nc", "cc-by-nc-sa": "cc-by-nc-sa", "cc-by-nc-nd": "cc-by-nc-nd",
+    "gpl": "gpl", "agpl": "agpl", "lgpl": "lgpl", "gfdl": "gfdl", "mpl": "mpl", "epl": "epl", "eupl": "eupl", "cddl": "cddl", "cpl": "epl", "osl": "osl", "afl": "afl", "artistic": "artistic", "ms-pl": "ms-pl", "ms-rl": "ms-rl",
+    "cecill": "cecill", "odbl": "odbl", "odc-by": "odc-by", "ofl": "ofl", "lppl": "lppl", "sspl": "sspl", "elastic": "elastic", "ruby": "ruby", "php": "php", "vim": "vim", "curl": "mit", "w3c": "w3c", "unicode": "unicode",
+    "licenseref-proprietary": "proprietary", "proprietary": "proprietary", "unlicensed": "proprietary",
 }
-FREEDOM = {"mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "bsl": 1.0, "cc0": 1.0, "unlicense": 1.0, "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "proprietary": 0.0}
-TAG = b"spdx-license-identifier:"
+#: How freely a label permits use.
+FREEDOM = {
+    "mit": 1.0, "apache-2": 1.0, "apache-1": 1.0, "bsd": 1.0, "isc": 1.0, "zlib": 1.0, "ncsa": 1.0, "postgresql": 1.0, "psf": 1.0, "bsl": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "cc0": 1.0, "pddl": 1.0, "unicode": 1.0, "w3c": 1.0, "afl": 1.0,
+    "cc-by": 0.9, "odc-by": 0.9, "artistic": 0.8, "ruby": 0.8, "php": 0.8, "vim": 0.8, "ofl": 0.8, "lppl": 0.8, "ms-pl": 0.8, "mpl": 0.7, "epl": 0.7, "cddl": 0.7, "ms-rl": 0.7, "lgpl": 0.6, "eupl": 0.5, "cecill": 0.5, "osl": 0.5, "cc-by-sa": 0.5, "odbl": 0.5, "gfdl": 0.5,
+    "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.3, "cc-by-nc": 0.2, "cc-by-nc-sa": 0.2, "busl": 0.2, "elastic": 0.2, "sspl": 0.2, "cc-by-nc-nd": 0.1, "proprietary": 0.0,
+}
+#: What announces an expression.
+TAGS = ("spdx-license-identifier:", "license-expression:", '"license":', "license =", "license:")
+ENDS = re.compile(rb"\*/|-->")
 #: Weight of evidence: a tag's known licence, a base phrase, an added phrase.
 TAG_WEIGHT, BASE_WEIGHT, ADDED_WEIGHT = 0.95, 0.8, 0.6
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -58,6 +74,16 @@ EXPRESSION = re.compile(r"[A-Za-z0-9.+-]+|[()]")
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+@functools.cache
+def label(identifier: str) -> str | None:
+    """The label of an identifier's family: its longest beginning that ends at a hyphen or a version."""
+    parts = identifier.rstrip("+").split("-")
+    for k in range(len(parts), 0, -1):
+        if found := FAMILIES.get("-".join(parts[:k])):
+            return found
+    return None
+
+
 def to_postfix(tokens: list[str]) -> list[str] | None:
     """Shunting-yard: operands and operators in postfix order; None if it doesn't parse."""
     out, stack, operand_next = [], [], True
@@ -98,7 +124,8 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     left side, which can only permit more (half of what was missing).
     """
     tokens = EXPRESSION.findall(expression.lower())
-    known = {IDS[t.rstrip("+")] for t in tokens if t.rstrip("+") in IDS}
+    named = [t for k, t in enumerate(tokens) if not k or tokens[k - 1] != "with"]  # else it is an exception
+    known = {x for t in named if (x := label(t))}
     postfix = to_postfix(tokens)
     if postfix is None:
         return known, min((FREEDOM[x] for x in known), default=0.0)
@@ -108,10 +135,31 @@ def evaluate(expression: str) -> tuple[set[str], float]:
             right, left = stack.pop(), stack.pop()
             stack.append({"or": max(left, right), "and": min(left, right), "with": left + (1 - left) / 2}[t])
         else:
-            stack.append(FREEDOM.get(IDS.get(t.rstrip("+"), ""), 0.0))
+            stack.append(FREEDOM.get(label(t) or "", 0.0))
     return known, stack[0]
 
 
+def tag_automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for tag in TAGS:
+        a.add_word(tag, len(tag))
+    a.make_automaton()
+    return a
+
+
+def expressions(low: bytes, tags: ahocorasick.Automaton) -> Iterator[str]:
+    """What follows each tag on its line, up to the end of a comment or the next tag."""
+    found = sorted((end - size + 1, end + 1) for end, size in tags.iter(low.decode("latin-1")))
+    line = -1  # the end of the line last looked at
+    for k, (_, start) in enumerate(found):
+        if line < start:
+            line = low.find(b"\n", start)
+            line = len(low) if line < 0 else line
+        end = min(line, found[k + 1][0]) if k + 1 < len(found) else line
+        if end > start:
+            yield ENDS.split(low[start:end], maxsplit=1)[0].decode("utf-8", "replace")
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for phrases, base in ((BASE, True), (ADDED, False)):
@@ -121,31 +169,28 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def scan(text: str | None, phrases: ahocorasick.Automaton) -> tuple:
+def scan(text: str | None, phrases: ahocorasick.Automaton, tags: ahocorasick.Automaton) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, freedom)."""
     low = (text or "").encode("utf-8", "replace").lower()
     words = low.translate(SPACED).split()
     plain = " " + b" ".join(words).decode("latin-1") + " "
     starts, base, labels, evidence = [], set(), set(), {}
     at = before = 0  # words before a place, counted onwards from the last one
-    for end, (size, label, is_base) in phrases.iter(plain):
+    for end, (size, name, is_base) in phrases.iter(plain):
         start = end - size - 1
-        labels.add(label)
-        evidence[label] = max(evidence.get(label, 0.0), BASE_WEIGHT if is_base else ADDED_WEIGHT)
+        labels.add(name)
+        evidence[name] = max(evidence.get(name, 0.0), BASE_WEIGHT if is_base else ADDED_WEIGHT)
         if is_base:
             before, at = (before + plain.count(" ", at, start), start) if start >= at else (plain.count(" ", 0, start), start)
             starts.append(before)
-            base.add(label)
+            base.add(name)
     freedom = min((FREEDOM[x] for x in labels), default=0.0)
-    place = low.find(TAG)
-    while place >= 0:
-        line = low[place + len(TAG) :].split(b"\n", 1)[0].decode("utf-8", "replace").split("*/")[0]
-        found, free = evaluate(line)
+    for expression in expressions(low, tags):
+        found, free = evaluate(expression)
         if found:
             freedom = free
         labels |= found
-        evidence |= {x: TAG_WEIGHT for x in found}
-        place = low.find(TAG, place + len(TAG))
+        evidence |= dict.fromkeys(found, TAG_WEIGHT)
     doubt = 1.0
     for x in sorted(evidence):
         doubt *= 1 - evidence[x]
@@ -159,9 +204,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "freedom"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = automaton()
+        phrases, tags = automaton(), tag_automaton()
         for batch in batches:
-            rows = [scan(t.as_py(), phrases) for t in batch.column(1)]
+            rows = [scan(t.as_py(), phrases, tags) for t in batch.column(1)]
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, *names])
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from collections import Counter
 
 from strandline.llm import licenses
@@ -24,9 +26,9 @@ def test_query(spark, sf_dir):
 
 
 def test_places():
-    a = licenses.automaton()
+    a, tags = licenses.automaton(), licenses.tag_automaton()
     for text in ("CC-BY-NC cc by nc, under the MIT license: Apache License, Version 2.0", "under the mit license under the mit license", "xcc by nc", "cc by ncé", "É cc/by\nnc", "", None, "cc " * 1000):
-        assert licenses.scan(text, a)[:5] == brute(text)
+        assert licenses.scan(text, a, tags)[:5] == brute(text)
 
 
 def test_expressions():
@@ -37,10 +39,100 @@ def test_expressions():
     assert licenses.evaluate("MIT OR GPL-3.0-only") == ({"mit", "gpl"}, 1.0)
     assert licenses.evaluate("MIT AND GPL-3.0-only") == ({"mit", "gpl"}, 0.4)
     assert licenses.evaluate("GPL-2.0+ WITH Classpath-exception-2.0") == ({"gpl"}, 0.7)
-    found = licenses.scan("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND MPL-2.0\ncode", licenses.automaton())
+    found = licenses.scan("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND MPL-2.0\ncode", licenses.automaton(), licenses.tag_automaton())
     assert found[5] == "apache-2,mit,mpl" and found[7] == 0.7
 
 
+def value(tokens):
+    """The freedom of an expression by recursive descent."""
+    def either(i):
+        left, i = both(i)
+        while i < len(tokens) and tokens[i] == "or":
+            right, i = both(i + 1)
+            left = max(left, right)
+        return left, i
+
+    def both(i):
+        left, i = excepted(i)
+        while i < len(tokens) and tokens[i] == "and":
+            right, i = excepted(i + 1)
+            left = min(left, right)
+        return left, i
+
+    def excepted(i):
+        if tokens[i] == "(":
+            left, i = either(i + 1)
+            i += 1
+        else:
+            left, i = licenses.FREEDOM.get(licenses.label(tokens[i]) or "", 0.0), i + 1
+        while i < len(tokens) and tokens[i] == "with":
+            left, i = left + (1 - left) / 2, i + 2
+        return left, i
+
+    return either(0)[0]
+
+
+def test_random_expressions():
+    rng = random.Random(8)
+    names = ["mit", "gpl-3.0-only", "mpl-2.0", "cc-by-nc-sa-4.0", "foo-1.0", "agpl-3.0+"]
+
+    def made(depth):
+        kind = rng.randrange(4) if depth else 0
+        if kind == 0:
+            return [rng.choice(names)]
+        if kind == 1:
+            return ["(", *made(depth - 1), ")"]
+        if kind == 2:
+            return [*made(0), "with", "classpath-exception-2.0"]
+        return [*made(depth - 1), rng.choice(["and", "or"]), *made(depth - 1)]
+
+    for _ in range(500):
+        tokens = made(4)
+        assert licenses.evaluate(" ".join(tokens).upper())[1] == value(tokens), tokens
+
+
+def all_labels(text):
+    """Labels and score by plain searches."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    w = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)) + " "
+    weight = {}
+    for phrases, by in ((licenses.ADDED, licenses.ADDED_WEIGHT), (licenses.BASE, licenses.BASE_WEIGHT)):
+        for phrase, name in phrases.items():
+            if f" {phrase} " in w:
+                weight[name] = max(weight.get(name, 0), by)
+    for m in re.finditer("|".join(map(re.escape, licenses.TAGS)), low):
+        rest = re.split(r"\n|\*/|-->|" + "|".join(map(re.escape, licenses.TAGS)), low[m.end() :])[0]
+        before = ""
+        for t in re.findall(r"[a-z0-9.+-]+|[()]", rest):
+            if before != "with" and licenses.label(t):
+                weight[licenses.label(t)] = licenses.TAG_WEIGHT
+            before = t
+    doubt = 1.0
+    for name in sorted(weight):
+        doubt *= 1 - weight[name]
+    return ",".join(sorted(weight)), round(1 - doubt, 6)
+
+
+def test_labels_and_score(spark, sf_dir):
+    parts = ["/* SPDX-License-Identifier: ISC */", "SPDX-License-Identifier: CC-BY-NC-SA-4.0\n", "license: MIT", "License-Expression: (Apache-2.0 OR 0BSD)\n", " and ", "under the MIT license", "Mozilla Public License", '"license": "BSD-3-Clause"\n', "GPL-2.0 WITH Linux-syscall-note", "\n", "all rights reserved"]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    a, tags = licenses.automaton(), licenses.tag_automaton()
+    for t in texts:
+        assert licenses.scan(t, a, tags)[5:7] == all_labels(t), t[:300]
+    assert licenses.scan("SPDX-License-Identifier: ISC", a, tags)[5] == "isc"
+    assert licenses.scan("SPDX-License-Identifier: CC-BY-NC-SA-4.0", a, tags)[5] == "cc-by-nc,cc-by-nc-sa"  # the first by its base phrase
+
+
+def test_many_tags():
+    a, tags = licenses.automaton(), licenses.tag_automaton()
+    for text in ("SPDX-License-Identifier: MIT " * 60_000, "SPDX-License-Identifier: MIT\n" * 60_000, "( " * 10**6, "license: " + "(" * 10**6):
+        began = time.perf_counter()
+        licenses.scan(text, a, tags)
+        assert time.perf_counter() - began < 20
+
+
 def test_awkward(awkward, nothing, rows):
     assert Counter((r.doc_id, r.n_words) for r in licenses.scan_licenses(awkward).collect()) == Counter((r[0], brute(r[1])[0]) for r in rows)
     assert licenses.scan_licenses(nothing).count() == 0
