@@ -21,14 +21,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     :func:`clear_scratch` or, stopped session or not, when the driver's JVM ends.
     """
     at = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {KEY} to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(KEY, at)
-    key = spark.sparkContext.applicationId, at
+    key = spark.sparkContext.applicationId, at or ""
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {KEY} to a folder that all executors share")
     if key not in _roots:
-        root = f"{at}/strandline-{uuid.uuid4().hex}"
+        root = f"{at or 'file://' + tempfile.mkdtemp(prefix='spark-')}/strandline-{uuid.uuid4().hex}"
         files, place = _place(spark, root)
         files.mkdirs(place)
         files.deleteOnExit(place)

@@ -6,7 +6,7 @@ import sys
 import tempfile
 
 from strandline.plans.registry import load
-from strandline.sources.scratch import KEY, clear_scratch, scratch
+from strandline.sources.scratch import clear_scratch, scratch
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 AFTER_STOP = """
@@ -23,22 +23,15 @@ spark.stop()
 
 
 def test_clear(spark, sf_dir):
-    at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    before = spark.conf.get(KEY, None)
-    spark.conf.set(KEY, "file://" + at)
-    try:
-        assert load()[0]["source_csv"](spark, sf_dir).count() > 0
-        assert len(os.listdir(at)) == 1
-        clear_scratch(spark)
-        assert os.listdir(at) == []
-        assert scratch(spark, "x") != scratch(spark, "x")
-        clear_scratch(spark)
-        assert os.listdir(at) == []
-    finally:
-        if before is None:
-            spark.conf.unset(KEY)
-        else:
-            spark.conf.set(KEY, before)
+    df = load()[0]["source_csv"](spark, sf_dir)
+    assert df.count() > 0
+    files = [f.removeprefix("file://") for f in df.inputFiles()]
+    assert all(os.path.exists(f) for f in files)
+    one, two = scratch(spark, "x"), scratch(spark, "x")
+    assert one != two and os.path.dirname(one) == os.path.dirname(two)
+    clear_scratch(spark)
+    assert not any(os.path.exists(f) for f in files)
+    clear_scratch(spark)
 
 
 def test_gone_after_stop(sf_dir):
