@@ -17,7 +17,12 @@
 Nulls: a null text has no words. Items and documents without words match
 nothing. An item shorter than the window is one window. Items are distinct
 (id, text) pairs, so repeated items count once; repeated documents each get
-their row. Null ids are ids like others, but a null item id is not listed.
+their row. Null ids are ids like others, but a null item id is not listed. Of
+equally rare terms the first in the item is the anchor. An empty table of
+documents gives an empty result, one of items contaminates nothing. Very long
+texts are read whole. Of the documents only the id and text columns are read;
+further columns, whatever their names, change nothing, and
+:func:`drop_contaminated` returns them as they are.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, word_array
+from .common import MAX_BROADCAST_BYTES, small, stored, word_array
 
 WINDOW = 10
 ANCHORS = 2
 SLOP = 12
 NEAR_SHARE = 0.6
 NEAR_ANCHORS = 3
+#: Parts into which the rows of one item are dealt where items don't fit a broadcast.
+SALT = 32
 
 
 def _items(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -60,6 +67,20 @@ def _rated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return rated.join(items.select("ikey", "w"), "ikey").select("ikey", "w", by_count.alias("r"))
 
 
+def _with_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``rows`` joined with ``items`` on ikey, however many rows one item has.
+
+    Items proven to fit are broadcast. Larger ones meet in a shuffle, each in SALT
+    copies, so that the rows of one item are dealt to as many tasks.
+    """
+    words = [c for c in items.columns if c == "iwords"]
+    size = F.lit(64) + (F.aggregate(words[0], F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16) if words else 0)
+    if (items.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST_BYTES:
+        return rows.join(F.broadcast(items), "ikey")
+    salted = items.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALT)).cast("int")).join(salted, ["ikey", "_salt"]).drop("_salt")
+
+
 def _chosen(rated: DataFrame, rarest: Column) -> DataFrame:
     chosen = rated.select("ikey", F.explode(F.array_distinct(F.flatten(rarest))).alias("x"))
     return stored(chosen.select(F.col("x.term").alias("term"), "ikey", F.col("x.ipos").alias("ipos")), "anchors")
@@ -95,7 +116,7 @@ def alignments(postings: DataFrame, anchor: DataFrame, n_anchors: int) -> DataFr
 def exact_phrases(docs: DataFrame, items: DataFrame, aligned: DataFrame, per_window: int) -> DataFrame:
     """(id, th, item_id, covered): document positions inside occurrences of the item's windows."""
     kept = aligned.groupBy("id", "th", "ikey", "diag").agg(F.count("*").alias("n"))
-    kept = kept.join(items.select("ikey", "w", F.size("iwords").alias("len")), "ikey")
+    kept = _with_items(kept, items.select("ikey", "w", F.size("iwords").alias("len")))
     kept = kept.filter(F.col("n") >= F.least(F.lit(per_window), F.col("w")))
     by_doc = kept.groupBy("id", "th").agg(F.collect_set(F.struct("ikey", "diag", "len")).alias("c"))
     by_doc = stored(by_doc, "candidates")
@@ -110,7 +131,7 @@ def exact_phrases(docs: DataFrame, items: DataFrame, aligned: DataFrame, per_win
         ),
     )
     pairs = docs.join(by_doc, same).select(docs["id"], docs["th"], F.explode(along).alias("x")).select("id", "th", "x.*").distinct()
-    pairs = pairs.join(items, "ikey")
+    pairs = _with_items(pairs, items)
     skip = F.greatest(-F.col("diag"), F.lit(0))
     equal = F.transform("dwords", lambda d, i: d.eqNullSafe(F.get("iwords", i + skip)))
     pairs = pairs.withColumn("eq", equal).filter(F.size("eq") >= F.col("w"))

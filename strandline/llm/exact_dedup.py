@@ -5,11 +5,17 @@ of 32,768 slots, three slots a hash) and keeps the slots that were hit twice.
 Pass two probes each row: only where all three slots were hit twice may the text
 be a repeat, and only those rows are shuffled. The others pass straight through.
 
+Where the filter of all rows is too large to broadcast, pass one counts hashes
+instead of slots (a row a distinct hash and task moves, no text) and the filter
+is made of the repeated ones alone; rows probe it all the same. So texts and
+further columns of unsuspected rows move at no size, unless the repeated hashes
+by themselves outgrow a broadcast: four bytes for each of them.
+
 Ids are integers. Nulls: a null text counts as empty. A null id is never the
 largest unless every id of the group is null. Repeated rows (same id and text) form a group; one of
-them stays. An empty table gives an empty result. Further columns of the input
-are carried along, but for those named like a result column, which it replaces;
-names that start with an underscore are reserved.
+them stays. An empty table gives an empty result. Very long texts are hashed whole.
+Further columns of the input are carried along, but for those named like a result
+column in any case, which it replaces; names that start with an underscore are reserved.
 """
 
 from __future__ import annotations
@@ -33,12 +39,27 @@ def _slots(sha: Column, blocks: int) -> tuple[Column, list[Column]]:
     return block, [(F.shiftrightunsigned(bits, 15 * i).bitwiseAND(BLOCK - 1) + 1).cast("long") for i in range(3)]
 
 
-def repeat_filter(hashes: DataFrame, sha: str, blocks: int) -> DataFrame:
-    """(``_block``, ``_bits``): the slots that at least two rows hit."""
+def hit_filter(hashes: DataFrame, sha: str, blocks: int, least: int = 2) -> DataFrame:
+    """(``_block``, ``_bits``): the slots that at least ``least`` rows hit."""
     block, slots = _slots(F.col(sha), blocks)
     hit = hashes.select(block.alias("_block"), F.explode(F.array_distinct(F.array(*slots))).alias("_slot"))
-    twice = hit.groupBy("_block", "_slot").count().filter("count > 1")
-    return twice.groupBy("_block").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    often = hit.groupBy("_block", "_slot").count().filter(F.col("count") >= least)
+    return often.groupBy("_block").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+
+
+def _blocks(rows: int) -> int:
+    return max(1, -(-rows * BITS_PER_ROW // BLOCK))
+
+
+def _fits(blocks: int, most: int) -> bool:
+    return blocks * (BLOCK // 8 + 64) <= most
+
+
+def _split(df: DataFrame, bits: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose hash may be in the filter, and the others."""
+    probed = df.withColumn("_block", _slots(F.col("_sha"), blocks)[0]).join(bits, "_block", "left")
+    maybe = _maybe_repeated(F.col("_sha"), blocks)
+    return probed.filter(maybe).select(*df.columns), probed.filter(~maybe).select(*df.columns)
 
 
 def _maybe_repeated(sha: Column, blocks: int) -> Column:
@@ -59,9 +80,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with keep_id, group_size, kept and text_sha256.
 
     Of equal texts the row with the largest id is kept. A filter of more than
-    ``max_filter_bytes`` isn't broadcast; then all rows take the shuffled way.
+    ``max_filter_bytes`` isn't broadcast.
     """
-    columns = [c for c in docs.columns if c not in RESULTS and not (drop_text and c == text_col)]
+    columns = [c for c in docs.columns if c.lower() not in RESULTS and not (drop_text and c == text_col)]
     base = docs.select(*[F.col(c) for c in columns], F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
     if drop_text and columns == [id_col]:
         base = stored(base, "hashes")
@@ -69,21 +90,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         narrow = stored(base.select("_id", "_sha"), "hashes")
     total = narrow.count()
-    blocks = max(1, -(-total * BITS_PER_ROW // BLOCK))
-    fits = blocks * (BLOCK // 8 + 64) <= max_filter_bytes
-    if fits:
-        bits = F.broadcast(stored(repeat_filter(narrow, "_sha", blocks), "filter"))
-
-        def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-            cols = df.columns
-            probed = df.withColumn("_block", _slots(F.col("_sha"), blocks)[0]).join(bits, "_block", "left")
-            maybe = _maybe_repeated(F.col("_sha"), blocks)
-            return probed.filter(maybe).select(*cols), probed.filter(~maybe).select(*cols)
-
-        suspects, single = split(base)
-        named = split(narrow)[0]
+    blocks, hashes, least = _blocks(total), narrow, 2
+    if not _fits(blocks, max_filter_bytes):
+        hashes, least = stored(narrow.groupBy("_sha").count().filter("count > 1").select("_sha"), "repeated"), 1
+        blocks = _blocks(hashes.count())
+    if _fits(blocks, max_filter_bytes):
+        bits = F.broadcast(stored(hit_filter(hashes, "_sha", blocks, least), "filter"))
+        named = _split(narrow, bits, blocks)[0]
+        suspects, single = _split(base, bits, blocks)
     else:
-        suspects, single, named = base, None, narrow
+        named, suspects, single = narrow, base, None
     groups = named.groupBy("_sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
     decided = attach_groups(named.distinct(), groups, "_sha", "group_size", total)
     # One exchange for the suspects, on (_sha, _id), which is as good as unique.

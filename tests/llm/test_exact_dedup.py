@@ -34,6 +34,23 @@ def test_awkward(awkward, rows):
     assert result(exact_dedup.exact_dedup(awkward, max_filter_bytes=0)) == brute(plain)
 
 
+def test_filter_of_repeated_hashes(spark, awkward, rows):
+    """Where the filter of all rows is too large, one of the repeated hashes serves, and only suspects move."""
+    many = [(i, f"t{i if i % 50 else 0}") for i in range(20_000)]
+    docs = spark.createDataFrame(many, "doc_id long, text string")
+    one_block = exact_dedup.BLOCK // 8 + 64
+    found = exact_dedup.exact_dedup(docs, max_filter_bytes=one_block)
+    assert result(found) == brute(many)
+    assert "Union" in found._jdf.queryExecution().executedPlan().toString()  # the unsuspected pass by
+    assert result(exact_dedup.exact_dedup(awkward, max_filter_bytes=one_block)) == brute([(r[0], r[1]) for r in rows])
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 5, "x"), (2, "a", 6, "y")], "doc_id long, text string, Kept int, KEEP_ID string")
+    found = exact_dedup.exact_dedup(docs)
+    assert found.filter("kept").select("doc_id", "keep_id").collect() == [(2, 2)]
+
+
 def test_stage(awkward, nothing, rows):
     kept = exact_dedup.drop_exact_copies(awkward)
     assert kept.columns == awkward.columns
