@@ -1,27 +1,37 @@
 """Long repeated passages across documents, by recompression.
 
-Words get 64-bit names. Two rounds then recompress every text: tokens of runs
-are named as run symbols and stay apart; of the others, a symbol with a "left"
-coin followed by one with a "right" coin is named as a pair. Names and coins
-depend on content alone, so all tasks name alike and equal substrings are cut
-alike inside: of a window of 20 words, every cut from the 5th to the 15th word is
-decided by words of the window, and one of those is a cut since pairs of pairs
-have at most four words. The cut whose following six words have the smallest
-name within 11 places is an anchor: two equal windows share one.
-
-1. Anchors with the same name in two different texts, or twice in one, are
-   repeated. Repeats within a batch are settled before the shuffle, so a name
-   that a third of all texts have shuffles one row a batch.
-2. Windows around repeated anchors get a name of 96 bits (names of 1, 2, 4, 8, 16
-   and 20 words, each a pair of shorter ones). Of equal windows all but the first
-   are removed; again a batch settles its own repeats first.
+Words get 64-bit names. Rounds then recompress every text: tokens of runs are
+named as run symbols and stay apart; of the others, a symbol with a "left" coin
+followed by one with a "right" coin is named as a pair. Names and coins follow
+from content alone, so that all tasks name alike without a dictionary to share.
+
+Each symbol keeps its context: the words that settle, whatever surrounds them,
+that it exists. A pair needs the contexts of both halves; a symbol that stays
+alone that of the neighbour which could have taken it. Equal passages therefore
+hold the same symbols wherever their contexts lie inside. A symbol whose context
+has at most ten words lies, context and all, in each of the eleven windows of 20
+words that start up to ten words before it; of the symbols that start so, a window
+takes one of the highest round, there the one with the smallest name. Two equal
+windows take the same. A symbol of round 0, a word with its neighbours, always is
+there, so no window is without one.
+
+1. First exchange: symbols that some window has taken, by name. A name in two
+   different texts, or twice in one, reveals a repeat. Repeats within a batch are
+   settled before, so a name that a third of all texts have moves one row a batch.
+2. Second exchange: windows that took a repeated symbol are verified by a name of
+   96 bits (names of 1, 2, 4, 8, 16 and 20 words, each a pair of shorter ones). Of
+   equal windows all but the first are removed; again a batch settles its own
+   repeats first.
 3. Each text is cut down to the words that no removed window covers.
 
 Copies of a whole text are found by their hash and skip the first two steps.
 
 Nulls: a null text has no words. A null id comes after all others. Repeated rows
 (same id and text) are one document and get the same result. A text of fewer
-than 20 words has no window. An empty table gives an empty one.
+than 20 words has no window. Of equal windows that of the smallest id, there the
+earliest, stays. An empty table gives an empty one. Very long texts are read whole.
+Only the id and text columns are read; further columns, whatever their names,
+change nothing and aren't returned.
 """
 
 from __future__ import annotations
@@ -38,9 +48,10 @@ from pyspark.sql import functions as F
 from .common import attach_groups, slices, stored
 
 SPAN = 20
-#: Words of an anchor's name, the first place in a window from which cuts are safe, and places to choose from.
-KEY, SAFE, CHOICE = 6, 4, 11
-ROUNDS = 2
+#: Places of a window at which the context of its symbol may start, and so the context's longest.
+CHOICE = 11
+CONTEXT = SPAN - CHOICE + 1
+ROUNDS = 3
 #: Bytes of text whose names are held at once.
 SLICE = 16 << 20
 LAST = (1 << 63) - 1
@@ -61,23 +72,41 @@ def word_names(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def recompress(names: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Places at which the symbols begin after ROUNDS rounds; ``first`` marks the first word of each text."""
-    place = np.arange(len(names))
-    same = np.zeros(len(names), dtype=bool)  # equal to the word before
+def recompress(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(symbols, start and end of their contexts) of each round from 0 on, runs in round 0 only.
+
+    ``first`` marks the first word of each text; what lies at a text's border has
+    a context beyond it.
+    """
+    n = len(names)
+    place = np.arange(n)
+    same = np.zeros(n, dtype=bool)  # equal to the word before
     same[1:] = (names[1:] == names[:-1]) & ~first[1:]
-    run = same.copy()
-    run[:-1] |= same[1:]
+    again = np.zeros(n, dtype=bool)  # equal to the word behind
+    again[:-1] = same[1:]
+    run = same | again
+    # An equal word behind settles a run; else both neighbours are needed.
+    lo, hi = np.where(again, place, place - 1), place + 2
     sym, joined = np.where(run, pair(names, np.array([B])), names), ~first
-    for r in range(ROUNDS):
+    yield sym, lo, hi
+    for r in range(rounds):
         right = (pair(sym, np.array([r + 1], np.uint64)) & np.uint64(1)).astype(bool)
         merge = np.zeros(len(sym), dtype=bool)  # of a symbol with the one before
         merge[1:] = joined[1:] & right[1:] & ~right[:-1] & ~run[1:] & ~run[:-1]
-        into = np.flatnonzero(merge) - 1
-        sym[into] = pair(sym[into], sym[into + 1])
+        alone = ~run & ~merge
+        alone[:-1] &= ~merge[1:]
+        sym, low, high = sym.copy(), lo.copy(), hi.copy()
+        x = np.flatnonzero(alone & right)  # the one before didn't take it
+        y = np.maximum(x - 1, 0)
+        low[x], high[x] = np.where(x > 0, np.minimum(lo[x], lo[y]), -1), np.maximum(hi[x], hi[y])
+        x = np.flatnonzero(alone & ~right)  # it didn't take the one behind
+        y = np.minimum(x + 1, len(sym) - 1)
+        low[x], high[x] = np.minimum(lo[x], lo[y]), np.where(x + 1 < len(sym), np.maximum(hi[x], hi[y]), n + 1)
+        x = np.flatnonzero(merge) - 1
+        low[x], high[x], sym[x] = np.minimum(lo[x], lo[x + 1]), np.maximum(hi[x], hi[x + 1]), pair(sym[x], sym[x + 1])
         keep = ~merge
-        sym, run, joined, place = sym[keep], run[keep], joined[keep], place[keep]
-    return place
+        sym, run, joined, lo, hi = sym[keep], run[keep], joined[keep], low[keep], high[keep]
+        yield sym[~run], lo[~run], hi[~run]
 
 
 def spread(x: np.ndarray, width: int, best, back: bool) -> np.ndarray:
@@ -100,19 +129,34 @@ def spread(x: np.ndarray, width: int, best, back: bool) -> np.ndarray:
     return out
 
 
-def anchors(names: np.ndarray, first: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, names) of the anchors; ``left`` counts the words from each place to its text's end."""
+def taken(names: np.ndarray, first: np.ndarray, left: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """By place: the name of the best symbol whose context starts there, and of the one that a window from there takes.
+
+    ``left`` counts the words from each place to its text's end. Names of higher
+    rounds are smaller, and contain the words of the context.
+    """
     n = len(names)
-    if n < SPAN:
-        return np.zeros(0, int), np.zeros(0, np.uint64)
-    two = pair(names[:-1], names[1:])
-    six = pair(pair(two[:-4], two[2:-2]), two[4:])
     key = np.full(n, NEVER)
-    cut = recompress(names, first)
-    cut = cut[left[cut] >= KEY]
-    key[cut] = six[cut]
-    least = spread(key, CHOICE, np.minimum, back=False)
-    chosen = cut[spread(least, CHOICE, np.maximum, back=True)[cut] == key[cut]]
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(n + 1, A))
+        undo = np.cumprod(np.full(n + 1, np.uint64(pow(int(A), -1, 1 << 64))))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(names * power[:n])])
+        for r, (sym, lo, hi) in enumerate(recompress(names, first, rounds)):
+            fits = (hi - lo <= CONTEXT) & (lo >= 0) & (hi <= n)
+            fits[fits] = (hi - lo)[fits] <= left[lo[fits]]
+            sym, lo, hi = sym[fits], lo[fits], hi[fits]
+            words = (sums[hi] - sums[lo]) * undo[lo]
+            key[lo] = (pair(sym, words) >> np.uint64(3)) | np.uint64((rounds - r) << 61)
+    return key, spread(key, CHOICE, np.minimum, back=False)
+
+
+def anchors(names: np.ndarray, first: np.ndarray, left: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(places, names) of the symbols that windows take."""
+    if len(names) < SPAN:
+        return np.zeros(0, int), np.zeros(0, np.uint64)
+    key, least = taken(names, first, left, rounds)
+    of_windows = np.where(left >= SPAN, least, np.uint64(0))
+    chosen = np.flatnonzero((key != NEVER) & (spread(of_windows, CHOICE, np.maximum, back=True) == key))
     return chosen, key[chosen]
 
 
@@ -174,16 +218,16 @@ def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(h, h2, id, th, pos) of the first of equal windows in the batch, or (id, th, done) with the later ones."""
     for batch in (p for b in batches for p in slices(b, 2, most=SLICE)):
         ids, th = (batch.column(k).to_numpy() for k in (0, 1))
-        names, _, left, row, at = _flat(batch.column(2).to_pylist())
-        marked = np.zeros(len(names) + 1, dtype=np.int64)
-        start = np.flatnonzero(at == 0)
-        by_row = dict(zip(row[start].tolist(), start.tolist(), strict=True))
+        names, first, left, row, at = _flat(batch.column(2).to_pylist())
+        repeated = np.zeros(len(names), dtype=bool)
+        begin = np.searchsorted(row, np.arange(batch.num_rows))
         for r, places in enumerate(batch.column(3)):
-            if r in by_row:
-                p = np.asarray(places.values) + by_row[r]
-                np.add.at(marked, np.maximum(p - (SAFE + CHOICE - 1), by_row[r]), 1)
-                np.add.at(marked, np.maximum(p - SAFE + 1, by_row[r]), -1)
-        w = np.flatnonzero((np.cumsum(marked[:-1]) > 0) & (left >= SPAN)) if len(names) >= SPAN else np.zeros(0, int)
+            repeated[np.asarray(places.values) + begin[r]] = True
+        if len(names) >= SPAN:  # windows that took a repeated symbol
+            key, least = taken(names, first, left)
+            w = np.flatnonzero((spread(np.where(repeated, key, NEVER), CHOICE, np.minimum, back=False) == least) & (left >= SPAN))
+        else:
+            w = np.zeros(0, int)
         one, two = windows(names) if len(w) else (np.zeros(0, np.uint64),) * 2
         h, h2, wid = one[w], two[w].astype(np.uint32).view(np.int32), ids[row[w]]
         order = np.lexsort((at[w], wid, h2, h))

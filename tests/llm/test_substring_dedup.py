@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from strandline.llm import substring_dedup as sub
 from strandline.llm.oracles import ORACLES
 from strandline.llm.queries import QUERIES
@@ -61,9 +63,47 @@ def test_equal_windows_share_an_anchor():
             for s in range(len(w) - 19):
                 windows.setdefault(tuple(w[s : s + 20]), []).append((d, s))
         for places in windows.values():
-            shared = [{(p - s, k) for p, k in own[d].items() if s + sub.SAFE <= p < s + sub.SAFE + sub.CHOICE} for d, s in places]
+            shared = [{(p - s, k) for p, k in own[d].items() if s <= p < s + sub.CHOICE} for d, s in places]
             assert len(places) == 1 or set.intersection(*shared)
 
 
+def test_symbols_follow_from_their_contexts():
+    """Wherever a symbol's context occurs, the symbol does; so equal passages hold equal symbols."""
+    rng = random.Random(5)
+    for _ in range(40):
+        letters = [b"%d" % i for i in range(rng.choice([2, 3, 6]))]
+        docs = [b" ".join(rng.choice(letters) for _ in range(rng.randint(0, 60))).decode() for _ in range(30)]
+        names, first, left, _, _ = sub._flat(docs)
+        text = np.cumsum(first)
+        for sym, lo, hi in sub.recompress(names, first, 4):
+            inside = [(x, a, b) for x, a, b in zip(sym.tolist(), lo.tolist(), hi.tolist(), strict=True) if a >= 0 and b <= len(names) and text[a] == text[b - 1]]
+            by_context = {}
+            for x, a, b in inside:
+                by_context.setdefault(names[a:b].tobytes(), set()).add(x)
+            seen = {(x, a, b) for x, a, b in inside}
+            for a in range(len(names)):
+                for b in range(a + 1, min(a + 13, len(names) + 1)):
+                    if text[a] == text[b - 1]:
+                        assert all((x, a, b) in seen for x in by_context.get(names[a:b].tobytes(), ()))
+
+
+def test_rounds_matter(monkeypatch):
+    """Without a round other symbols are taken: matching rests on them."""
+    rng = random.Random(6)
+    doc = " ".join(f"v{rng.randrange(3000)}" for _ in range(4000))
+    names, first, left, _, _ = sub._flat([doc])
+    taken = [set(zip(*(x.tolist() for x in sub.anchors(names, first, left, rounds)), strict=True)) for rounds in range(4)]
+    assert all(len(a & b) < 0.1 * len(a) for a in taken for b in taken if a is not b)
+    keys = np.array([k for _, k in taken[3]], dtype=np.uint64)
+    assert (keys >> np.uint64(61) == 0).mean() > 0.95  # nearly all windows take a symbol of the last round
+    assert len(taken[3]) < len(names) / 6
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(2, text, 1, "a"), (1, text, 2, "b")], "doc_id long, text string, id int, th string")
+    assert {(r.doc_id, r.n_removed) for r in sub.remove_repeats(docs).collect()} == {(1, 0), (2, 30)}
+
+
 def test_empty(nothing):
     assert sub.remove_repeats(nothing).count() == 0
