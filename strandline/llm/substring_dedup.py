@@ -53,7 +53,7 @@ CHOICE = 11
 CONTEXT = SPAN - CHOICE + 1
 ROUNDS = 3
 #: Bytes of text whose names are held at once.
-SLICE = 16 << 20
+SLICE = 8 << 20
 LAST = (1 << 63) - 1
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -79,7 +79,7 @@ def recompress(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> It
     a context beyond it.
     """
     n = len(names)
-    place = np.arange(n)
+    place = np.arange(n, dtype=np.int32)
     same = np.zeros(n, dtype=bool)  # equal to the word before
     same[1:] = (names[1:] == names[:-1]) & ~first[1:]
     again = np.zeros(n, dtype=bool)  # equal to the word behind
