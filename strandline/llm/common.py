@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +94,22 @@ def bounded(df: DataFrame, key: Column, most: int, spare: int = 4) -> DataFrame:
     return kept.orderBy(F.pmod(h, F.lit(cells)), key).limit(most)
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow that gives free memory back when a task ends, as workers live on for other stages."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int = 1 << 20, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``rows`` rows and ``most`` bytes of text, or a single longer text."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

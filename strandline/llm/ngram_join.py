@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_groups, slices, small, stored
+from .common import attach_groups, released, slices, small, stored
 
 WORDS, SIMILARITY = 5, 0.8
 BAND, BANDS = 6, 36
@@ -320,7 +320,7 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = stored(plain.mapInArrow(_describe, "id long, th long, cls long, n int, sig binary, keys array<long>"), "minhash")
+    rows = stored(plain.mapInArrow(released(_describe), "id long, th long, cls long, n int, sig binary, keys array<long>"), "minhash")
     total = rows.count()
     named = rows.filter("cls is not null")
     reps = stored(named.groupBy("cls").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("n_copies")), "classes")

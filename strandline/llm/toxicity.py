@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded
+from .common import bounded, released
 
 MAX_LABELLED = 12_000
 MAX_LEXICON = 20_000
@@ -150,7 +150,7 @@ class Grammar:
         sums = dict.fromkeys(EVENTS, 0.0)
         tokens = TOKEN.findall(text.lower())
         known, arcs, state, most, matched = self.words, self.arcs, START, 0.0, 0
-        if len(known) > 500_000:
+        if len(known) > 150_000:
             known.clear()
         for w in [*tokens, "."]:
             if w in known:
@@ -272,7 +272,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
             rows = [g.score(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())], names=[id_col, "score", "n_clauses"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, n_clauses long")
+    return docs.select(id_col, text_col).mapInArrow(released(run), f"`{id_col}` {id_type}, score double, n_clauses long")
 
 
 def report_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,4 +293,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([g.score(x.as_py() or "")[0] < 0.5 for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
