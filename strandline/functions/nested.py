@@ -48,3 +48,29 @@ SELECT conv_id, count(*) AS turns, arg_max(role, turn) AS last_role, string_agg(
 def nested_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]), ">")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("role", "turn").alias("last_role"), path.alias("path"))
+
+
+@query("""
+SELECT user_id, count(DISTINCT event_type) AS n_types, count(*) FILTER (event_type = 'click') AS clicks, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types
+FROM events GROUP BY user_id
+""")
+def nested_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map from event type to count for each user, and what it holds."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    zero = F.lit(0).cast("long")
+    return maps.select("user_id", F.size("m").cast("long").alias("n_types"), F.coalesce(F.try_element_at("m", F.lit("click")), zero).alias("clicks"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("types"))
+
+
+@query("""
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding, b.embedding) / sqrt(list_dot_product(a.embedding, a.embedding)) / sqrt(list_dot_product(b.embedding, b.embedding)), 3) AS similarity
+FROM embeddings AS a JOIN embeddings AS b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+""")
+def nested_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine similarity of each hundredth vector with all others of its label."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+
+    known = vectors.select("vec_id", "label", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("size"))
+    few = known.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("a"), "label", F.col("v").alias("va"), F.col("size").alias("sa"))
+    pairs = few.join(known, "label").filter(F.col("a") != F.col("vec_id"))
+    return pairs.select("a", F.col("vec_id").alias("b"), F.round(dot(F.col("va"), F.col("v")) / F.col("sa") / F.col("size"), 3).alias("similarity"))

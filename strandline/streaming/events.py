@@ -13,7 +13,10 @@ from ..sources.tables import table
 def event_stream(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
     """The events as a stream with a watermark on ``at``."""
     schema = table(spark, sf_dir, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return timed(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir), late)
+
+
+def timed(files: DataFrame, late: str = "1 hour") -> DataFrame:
     return files.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 
 
@@ -44,3 +47,22 @@ def stream_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each user, kept once by the state store."""
     first = event_stream(spark, sf_dir).dropDuplicates(["user_id"]).select("user_id", F.lit(True).alias("seen"))
     return run_to_files(first, "users")
+
+
+@query("""
+WITH m AS (SELECT epoch_us(max(ts)) - 3600000000 AS mark FROM events)
+SELECT epoch_us(date_trunc('day', ts)) AS started, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events, m
+GROUP BY 1, 2, mark HAVING epoch_us(date_trunc('day', ts)) + 86400000000 <= mark
+""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, then the first tenth of them once more: these come after their windows closed and change nothing."""
+    events = table(spark, sf_dir, "events")
+    place = scratch(spark, "arrivals")
+    events.coalesce(1).write.parquet(f"{place}/batch=1")
+    mark = events.select(F.percentile_approx("event_id", 0.1)).first()[0]
+    events.filter("false").coalesce(1).write.parquet(f"{place}/batch=2")  # late rows are told by the watermark of one batch before
+    events.filter(F.col("event_id") <= mark).coalesce(1).write.parquet(f"{place}/batch=3")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/batch=*")
+    days = timed(arriving).groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    done = run_to_files(days.select(F.col("w.start").alias("start"), "event_type", "n", "value"), "late")
+    return done.select(F.unix_micros("start").alias("started"), "event_type", "n", F.round("value", 2).alias("value"))
