@@ -135,3 +135,13 @@ def test_proximity_query(spark, sf_dir):
     exact = {r.doc_id: r.n_items for r in QUERIES["op3_decontaminate"](spark, sf_dir).collect()}
     assert len(rows) == len(exact)
     assert all(r.near == (r.n_near > 0) == (r.n_near_items > 0) and r.n_near_items >= exact[r.doc_id] for r in rows)
+
+
+def test_items_beyond_a_broadcast(spark, monkeypatch):
+    """Items that don't fit a broadcast meet their rows in salted copies, with the same result."""
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 7 : i % 7 + 25])) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words[5:20])), (2, "other words")], "item_id long, text string")
+    one = {tuple(r) for r in decontaminate.report(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", -1)
+    assert {tuple(r) for r in decontaminate.report(docs, items).collect()} == one and sum(r[5] for r in one) == 60

@@ -45,3 +45,21 @@ def test_stages_keep_columns(awkward, spark, tmp_path):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, awkward, str(tmp_path)).columns == awkward.columns, name
+
+
+def _folder(spark, at, docs):
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, "word " * 12)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return str(at)
+
+
+def test_empty_table(spark, nothing, tmp_path):
+    found = corpus_pipeline.run(spark, _folder(spark, tmp_path, nothing))
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and found.count() == 0
+
+
+def test_nulls_and_repeated_rows(spark, awkward, tmp_path):
+    """Null ids and texts, repeated rows, a very long text that a benchmark item is in, and clashing columns go through all stages."""
+    found = corpus_pipeline.run(spark, _folder(spark, tmp_path, awkward.unionAll(awkward)))
+    assert Counter(r.doc_id for r in found.collect()) == Counter([2, 5, 6, None, 9, 10])
