@@ -16,22 +16,24 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list
     Rows are dealt by key and time cell of length ``cell``, so that a hot key is
     spread; a cell that starts without a right row takes the last one of the
     cells before it, found on one row per key and cell. With ``strict`` the right
-    row must be earlier. Null keys and times match nothing; among right rows of
-    one time the greatest values win.
+    row must be earlier. Null keys and times match nothing, and such rows are
+    dealt by all their columns; among right rows of one time the greatest values win.
     """
     own = F.struct(at, *values)
     mixed = left.select(*left.columns, F.lit(None).cast(right.select(own.alias("x")).schema["x"].dataType).alias("_r"))
     other = right.filter(F.col(by).isNotNull() & F.col(at).isNotNull()).select(by, at, own.alias("_r"))
     rows = mixed.withColumn("_left", F.lit(1)).unionByName(other.withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    rows = rows.withColumn("_cell", F.floor(F.col(at) / cell))
+    timed = F.col(by).isNotNull() & F.col(at).isNotNull()
+    dealt = F.xxhash64(*[c for c, kind in left.dtypes if "map<" not in kind])
+    rows = rows.withColumn("_cell", F.when(timed, F.floor(F.col(at) / cell)).otherwise(dealt))
     order = [F.col(at), (F.col("_left") * (-1 if strict else 1)).alias("_o"), F.col("_r").asc_nulls_last()]
     inside = Window.partitionBy(by, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = rows.withColumn("_hit", F.last("_r", ignorenulls=True).over(inside)).filter("_left = 1")
-    last = rows.groupBy(by, "_cell").agg(F.max("_r").alias("_last"))
+    last = rows.filter(timed).groupBy(by, "_cell").agg(F.max("_r").alias("_last"))
     before = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(F.col(by).alias("_k"), F.col("_cell").alias("_c"), F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     joined = found.join(carried, (F.col(by) == F.col("_k")) & (F.col("_cell") == F.col("_c")), "left")
-    best = F.coalesce("_hit", "_carry")
+    best = F.when(timed, F.coalesce("_hit", "_carry"))
     return joined.select(*left.columns, best[at].alias(f"{at}_right"), *[best[v].alias(v) for v in values])
 
 

@@ -1,9 +1,13 @@
-"""Event streams: watermarks, windowed sums and deduplication."""
+"""Event streams: watermarks, windowed sums, sessions, deduplication and state of one's own."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.registry import query
 from ..sources.scratch import scratch
@@ -66,3 +70,53 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = timed(arriving).groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     done = run_to_files(days.select(F.col("w.start").alias("start"), "event_type", "n", "value"), "late")
     return done.select(F.unix_micros("start").alias("started"), "event_type", "n", F.round("value", 2).alias("value"))
+
+
+@query("""
+WITH m AS (SELECT epoch_us(max(ts)) - 3600000000 AS mark FROM events),
+w AS (SELECT epoch_us(date_trunc('day', ts)) - k * 43200000000 + 43200000000 * (hour(ts) // 12) AS started FROM events, (VALUES (0), (1)) t(k))
+SELECT started, count(*) AS n FROM w, m WHERE started + 86400000000 <= mark GROUP BY started
+""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that start every twelve hours, closed by the watermark."""
+    days = event_stream(spark, sf_dir).groupBy(F.window("at", "1 day", "12 hours").alias("w")).agg(F.count("*").alias("n"))
+    return run_to_files(days.select(F.col("w.start").alias("start"), "n"), "sliding").select(F.unix_micros("start").alias("started"), "n")
+
+
+@query("""
+WITH m AS (SELECT epoch_us(max(ts)) - 3600000000 AS mark FROM events),
+g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
+SELECT user_id, min(epoch_us(ts)) AS started, count(*) AS n FROM s, m GROUP BY user_id, sid, mark HAVING max(epoch_us(ts)) + 21600000000 <= mark
+""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that six hours without an event and the watermark have closed."""
+    grouped = event_stream(spark, sf_dir).groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    done = run_to_files(grouped.select("user_id", F.col("w.start").alias("start"), "n"), "sessions")
+    return done.select("user_id", F.unix_micros("start").alias("started"), "n")
+
+
+MILESTONE = 5
+
+
+def milestones(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One row each time a user's events reach another multiple of MILESTONE; the state is their count."""
+    before = state.get[0] if state.exists else 0
+    now = before + sum(len(b) for b in batches)
+    state.update((now,))
+    yield pd.DataFrame([(key[0], k * MILESTONE) for k in range(before // MILESTONE + 1, now // MILESTONE + 1)], columns=["user_id", "reached"])
+
+
+@query("""
+WITH c AS (SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT user_id, unnest(range(5, n + 1, 5)) AS reached FROM c
+""")
+def stream_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of one's own: counts per user, kept over the micro-batches in which the events come."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id").filter("user_id is not null")
+    place = scratch(spark, "portions")
+    events.withColumn("batch", F.pmod(F.xxhash64("event_id"), F.lit(3))).write.partitionBy("batch").parquet(place)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/batch=*")
+    user = events.schema["user_id"].dataType.simpleString()
+    reached = arriving.groupBy("user_id").applyInPandasWithState(milestones, f"user_id {user}, reached long", "n long", "append", GroupStateTimeout.NoTimeout)
+    return run_to_files(reached, "milestones")
