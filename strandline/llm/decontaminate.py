@@ -9,10 +9,12 @@
    offset-adjusted lists leaves alignments on which two anchors agree.
 4. The words along each alignment are compared: runs of a whole window are exact
    phrase matches.
-5. Proximity matches need no equal window. Their anchors are the rarest words of
-   each window among those that do occur; where enough of a window's anchors
-   align within a slop, the item is near. One other word in a window, at any
-   place, loses no item of three words or more.
+5. Proximity matches need no equal window. An item is near where all but a fifth
+   of a window's words (all but one in windows of three to nine words, all in
+   shorter ones) stand in the document, each shifted against the others by at most
+   a slop. Such a window keeps all but as many of its anchors, here the rarest words
+   of each window among those that do occur: where these align within the slop, the
+   words around are counted. No near item is lost.
 
 Nulls: a null text has no words. Items and documents without words match
 nothing. An item shorter than the window is one window. Items are distinct
@@ -35,8 +37,7 @@ from .common import MAX_BROADCAST_BYTES, small, stored, word_array
 WINDOW = 10
 ANCHORS = 2
 SLOP = 12
-NEAR_SHARE = 0.6
-NEAR_ANCHORS = 3
+NEAR_ANCHORS = 5
 #: Parts into which the rows of one item are dealt where items don't fit a broadcast.
 SALT = 32
 
@@ -90,6 +91,11 @@ def _windows() -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("r") - F.col("w")), lambda s: F.slice("r", s + 1, F.col("w")))
 
 
+def _other(w: Column) -> Column:
+    """How many words of a near window may be missing."""
+    return F.when(w < 3, 0).otherwise(F.greatest(F.lit(1), F.floor(w / 5).cast("int")))
+
+
 def anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFrame:
     """(term, ikey, ipos): the rarest terms of each window that may occur."""
     rarest = F.transform(_windows(), lambda x: F.slice(F.array_sort(x), 1, per_window))
@@ -97,8 +103,10 @@ def anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFrame:
 
 
 def near_anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFrame:
-    """(term, ikey, ipos): the rarest terms of each window among those that some document has."""
-    return _chosen(_rated(docs, items), F.transform(_windows(), lambda x: F.slice(F.array_sort(F.filter(x, lambda y: y["n"] > 0)), 1, per_window)))
+    """(term, ikey, ipos): of each window that may be near, the rarest terms that some document has."""
+    present = F.transform(_windows(), lambda x: F.filter(x, lambda y: y["n"] > 0))
+    present = F.filter(present, lambda x: F.size(x) >= F.col("w") - _other(F.col("w")))
+    return _chosen(_rated(docs, items), F.transform(present, lambda x: F.slice(F.array_sort(x), 1, per_window)))
 
 
 def index_postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -146,54 +154,72 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), word_array(F.col(text_col)).alias("words"))
 
 
-def near_items(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
-    """(id, th, item_id, n): n anchors of one window of the item align within ``slop``, enough of them.
+def near_candidates(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
+    """(id, th, c), stored: per document the (ikey, base, len) where anchors of one window align within ``slop``.
 
-    Enough are NEAR_SHARE of the item's anchors in the window, of NEAR_ANCHORS or
-    the window's length if these are more, and two unless the window is one word.
+    The words of a near window stand on alignments from ``base`` to ``base + 3 * slop``.
     """
     anchor = near_anchors(docs, items, NEAR_ANCHORS)
     n_anchors = anchor.count()
     aligned = alignments(index_postings(docs, anchor, n_anchors), anchor, n_anchors)
 
-    # What a window asks for, by the place where it starts in the item.
-    placed = anchor.groupBy("ikey").agg(F.collect_list("ipos").alias("ap")).join(items.select("ikey", "item_id", "w", F.size("iwords").alias("len")), "ikey")
-    least = F.least(F.lit(NEAR_ANCHORS), F.col("w"))
-    asked = F.transform(
-        F.sequence(F.lit(0), F.col("len") - F.col("w")),
-        lambda s: F.greatest(F.least(F.lit(2), F.col("w")), F.ceil(NEAR_SHARE * F.greatest(least, F.size(F.filter("ap", lambda p: (p >= s) & (p < s + F.col("w")))))).cast("int")),
-    )
-    asked = stored(placed.select("ikey", "item_id", "w", asked.alias("need")), "asked")
-
     # Alignments that agree within the slop meet in the cell of the least of them.
     width = slop + 1
     cell = F.floor(F.col("diag") / width)
     hits = aligned.select("id", "th", "ikey", F.struct("diag", "ipos").alias("x"), F.explode(F.array(cell - 1, cell)).alias("cell"))
     hits = hits.groupBy("id", "th", "ikey", "cell").agg(F.collect_set("x").alias("h"))
-    hits = hits.join(small(asked, n_anchors, 200), "ikey").filter(F.size("h") >= F.array_min("need"))
-    several = F.size(F.array_distinct(F.transform("h", lambda x: x["ipos"]))) >= F.array_min("need")
+    need = F.least(F.lit(NEAR_ANCHORS), F.col("w")) - _other(F.col("w"))
+    hits = _with_items(hits, items.select("ikey", "w", F.size("iwords").alias("len"))).withColumn("need", need).filter(F.size("h") >= F.col("need"))
     lows = F.filter(F.array_distinct(F.transform("h", lambda x: x["diag"])), lambda d: F.floor(d / width) == F.col("cell"))
-    first = F.greatest(F.array_min(F.transform("h", lambda x: x["ipos"])) - F.col("w") + 1, F.lit(0))
-    last = F.least(F.array_max(F.transform("h", lambda x: x["ipos"])), F.size("need") - 1)
+    bands = F.transform(lows, lambda d: F.array_sort(F.array_distinct(F.transform(F.filter("h", lambda x: (x["diag"] >= d) & (x["diag"] <= d + slop)), lambda x: x["ipos"]))))
+    close = F.exists(
+        F.filter(bands, lambda b: F.size(b) >= F.col("need")),
+        lambda b: F.exists(F.sequence(F.lit(0), F.size(b) - F.col("need")), lambda k: F.get(b, k + F.col("need") - 1) - F.get(b, k) < F.col("w")),
+    )
+    found = hits.filter(close).select("id", "th", F.struct("ikey", (F.col("cell") * width - slop).cast("int").alias("base"), "len").alias("x"))
+    return stored(found.groupBy("id", "th").agg(F.collect_set("x").alias("c")), "near_candidates")
+
+
+def near_items(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
+    """(id, th, item_id, n): n words of one window of the item, enough of them, stand within ``slop`` of one alignment."""
+    by_doc = near_candidates(docs, items, slop)
+    same = docs["id"].eqNullSafe(by_doc["id"]) & (docs["th"] == by_doc["th"])
+    around = F.transform(
+        "c",
+        lambda x: F.struct(
+            x["ikey"].alias("ikey"),
+            x["base"].alias("base"),
+            F.slice("words", F.greatest(x["base"] + 1, F.lit(1)), F.greatest(x["len"] + 3 * slop + F.least(x["base"], F.lit(0)), F.lit(0))).alias("dwords"),
+        ),
+    )
+    pairs = docs.join(by_doc, same).select(docs["id"], docs["th"], F.explode(around).alias("x")).select("id", "th", "x.*").distinct()
+    pairs = _with_items(pairs, items)
+
+    # For each word of the item the shifts, from base on, at which the document has it.
+    skip = F.least(F.col("base"), F.lit(0))
+    shifts = F.transform("iwords", lambda x, p: F.filter(F.sequence(F.lit(0), F.lit(3 * slop)), lambda k: F.get("dwords", p + skip + k) == x))
+    starts = F.sequence(F.lit(0), F.size("iwords") - F.col("w"))
 
-    def best(d: Column) -> Column:
-        """The most anchors of a window that are enough for it, aligned from ``d`` on."""
-        band = F.array_distinct(F.transform(F.filter("h", lambda x: (x["diag"] >= d) & (x["diag"] <= d + slop)), lambda x: x["ipos"]))
-        counts = F.transform(F.array(band), lambda b: F.transform(F.sequence(first, last), lambda s: F.struct(F.size(F.filter(b, lambda p: (p >= s) & (p < s + F.col("w")))).alias("n"), F.get("need", s).alias("need"))))
-        return F.array_max(F.transform(F.flatten(counts), lambda c: F.when(c["n"] >= c["need"], c["n"]).otherwise(0)))
+    def most(met: Column) -> Column:
+        """The largest number of words of one window that are met."""
+        return F.array_max(F.transform(starts, lambda s: F.size(F.filter(F.slice(met, s + 1, F.col("w")), lambda x: x))))
 
-    near = hits.filter(several).select("id", "th", "item_id", "ikey", F.array_max(F.transform(lows, best)).alias("n")).filter("n > 0")
+    enough = F.col("w") - _other(F.col("w"))
+    pairs = pairs.withColumn("at", shifts).filter(most(F.transform("at", lambda a: F.size(a) > 0)) >= enough)
+    lows = F.filter(F.array_distinct(F.flatten("at")), lambda k: k <= 2 * slop)
+    best = F.array_max(F.transform(lows, lambda g: most(F.transform("at", lambda a: F.exists(a, lambda k: (k >= g) & (k <= g + slop))))))
+    near = pairs.select("id", "th", "item_id", "ikey", best.alias("n"), enough.alias("enough")).filter("n >= enough")
     return near.groupBy("id", "th", "ikey", "item_id").agg(F.max("n").alias("n")).drop("ikey")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """(id, item_id, n_near): documents in which most anchors of a window of the item align within ``slop``."""
+    """(id, item_id, n_near): documents that have n_near words of a window of the item, all but a few, within ``slop`` of one alignment."""
     near = near_items(_prepared(docs, id_col, text_col), _items(items, item_col, "text", window), slop)
     return near.groupBy(F.col("id").alias(id_col), "item_id").agg(F.max("n").alias("n_near"))
 
 
 def near_report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_near (most anchors of one window), n_near_items, their digest, near."""
+    """Per document: doc_id, n_words, n_near (most words of one window), n_near_items, their digest, near."""
     prepared = _prepared(docs, "doc_id", "text")
     found = near_items(prepared, _items(items, "item_id", "text", WINDOW), SLOP)
     per_doc = stored(found.groupBy("id", "th").agg(F.max("n").alias("n"), F.collect_set("item_id").alias("items")), "near")

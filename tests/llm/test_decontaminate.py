@@ -70,24 +70,19 @@ def test_awkward(awkward, nothing, spark, rows):
 
 
 def brute_near(docs, items, window=10, slop=12):
-    """{(doc id, item id): anchors}, straight from the definition."""
-    count = Counter(w for _, t in docs for w in words(t))
+    """{(doc id, item id): words}, straight from the definition, without anchors."""
     found = {}
     for i, t in items:
         iw = words(t)
         w = min(window, len(iw))
-        starts = range(len(iw) - w + 1) if w else ()
-        anchors = {p for s in starts for _, p in sorted((count[iw[p]], p) for p in range(s, s + w) if count[iw[p]])[:3]}
+        enough = w if w < 3 else w - max(1, w // 5)
         for d, text in docs:
-            place = {}
-            for q, x in enumerate(words(text)):
-                place.setdefault(x, []).append(q)
-            hits = [(q - p, p) for p in anchors for q in place.get(iw[p], ())]
-            for s in starts:
-                inside = {p for p in anchors if s <= p < s + w}
-                for low, _ in hits:
-                    n = len({p for g, p in hits if low <= g <= low + slop and p in inside})
-                    if n >= min(2, w) and 5 * n >= 3 * max(len(inside), min(3, w)):
+            hits = [(q - p, p) for q, x in enumerate(words(text)) for p, y in enumerate(iw) if x == y]
+            for low in {g for g, _ in hits}:
+                met = {p for g, p in hits if low <= g <= low + slop}
+                for s in range(len(iw) - w + 1):
+                    n = sum(p in met for p in range(s, s + w))
+                    if n >= enough:
                         found[d, i] = max(n, found.get((d, i), 0))
     return found
 
@@ -121,13 +116,25 @@ def test_proximity_substituted(spark):
 
 
 def test_proximity_random(spark):
+    """Stretches of items with words changed, dropped, moved and put between, over few words and many."""
     rng = random.Random(8)
-    vocabulary = [f"w{k}" for k in range(40)]
-    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(k, text(rng.randint(0, 25))) for k in range(12)] + [(100, "zebra"), (101, None), (102, "zebra lion")]
-    docs = [(k, text(rng.randint(0, 60))) for k in range(25)] + [(200, "a zebra"), (201, None), (202, "lion zebra"), (203, "w1 " * 300)]
+    items, docs = [(100, "zebra"), (101, None), (102, "zebra lion"), (103, "zebra lion bear")], []
+    for size in (30, 400):
+        vocabulary = [f"w{k}" for k in range(size)]
+        text = lambda n: [rng.choice(vocabulary) for _ in range(n)]  # noqa: B023, E731
+        for _ in range(12):
+            own = text(rng.randint(0, 25))
+            items.append((len(items), " ".join(own)))
+            for _ in range(3):
+                copy = own[rng.randint(0, 3) :]
+                for _ in range(rng.randint(0, 5)):
+                    at = rng.randint(0, len(copy))
+                    copy[at : at + rng.randint(0, 2)] = text(rng.randint(0, 6))
+                docs.append((len(docs), " ".join([*text(rng.randint(0, 15)), *copy, *text(rng.randint(0, 15))])))
+    docs += [(200, "a zebra"), (201, None), (202, "lion zebra"), (203, "w1 " * 300), (204, "bear x y lion")]
     found = near(spark, docs, items)
-    assert found and found == brute_near(docs, items)
+    brute = brute_near(docs, items)
+    assert found == brute and len(brute) > 30 and len(brute) < len(docs) * len(items) / 2
 
 
 def test_proximity_query(spark, sf_dir):
