@@ -9,12 +9,12 @@
    offset-adjusted lists leaves alignments on which two anchors agree.
 4. The words along each alignment are compared: runs of a whole window are exact
    phrase matches.
-5. Proximity matches need no equal window. An item is near where all but a fifth
-   of a window's words (all but one in windows of three to nine words, all in
-   shorter ones) stand in the document, each shifted against the others by at most
-   a slop. Such a window keeps all but as many of its anchors, here the rarest words
-   of each window among those that do occur: where these align within the slop, the
-   words around are counted. No near item is lost.
+5. Proximity matches need no equal window. An item is near where all but
+   one of a window's words (all in windows of one or two) stand in the document, each
+   shifted against the others by at most a slop. Such a window keeps all but one of
+   its anchors, here the four rarest words of each window among those that do occur:
+   where these align within the slop, the words around are counted. No near item is
+   lost.
 
 Nulls: a null text has no words. Items and documents without words match
 nothing. An item shorter than the window is one window. Items are distinct
@@ -37,7 +37,7 @@ from .common import MAX_BROADCAST_BYTES, small, stored, word_array
 WINDOW = 10
 ANCHORS = 2
 SLOP = 12
-NEAR_ANCHORS = 5
+NEAR_ANCHORS = 4
 #: Parts into which the rows of one item are dealt where items don't fit a broadcast.
 SALT = 32
 
@@ -93,7 +93,7 @@ def _windows() -> Column:
 
 def _other(w: Column) -> Column:
     """How many words of a near window may be missing."""
-    return F.when(w < 3, 0).otherwise(F.greatest(F.lit(1), F.floor(w / 5).cast("int")))
+    return F.when(w < 3, 0).otherwise(1)
 
 
 def anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFrame:
@@ -172,11 +172,16 @@ def near_candidates(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     hits = _with_items(hits, items.select("ikey", "w", F.size("iwords").alias("len"))).withColumn("need", need).filter(F.size("h") >= F.col("need"))
     lows = F.filter(F.array_distinct(F.transform("h", lambda x: x["diag"])), lambda d: F.floor(d / width) == F.col("cell"))
     bands = F.transform(lows, lambda d: F.array_sort(F.array_distinct(F.transform(F.filter("h", lambda x: (x["diag"] >= d) & (x["diag"] <= d + slop)), lambda x: x["ipos"]))))
-    close = F.exists(
-        F.filter(bands, lambda b: F.size(b) >= F.col("need")),
-        lambda b: F.exists(F.sequence(F.lit(0), F.size(b) - F.col("need")), lambda k: F.get(b, k + F.col("need") - 1) - F.get(b, k) < F.col("w")),
-    )
-    found = hits.filter(close).select("id", "th", F.struct("ikey", (F.col("cell") * width - slop).cast("int").alias("base"), "len").alias("x"))
+
+    def close(places: Column) -> Column:
+        """Whether some of the lists of places hold enough of one window."""
+        return F.exists(
+            F.filter(places, lambda b: F.size(b) >= F.col("need")),
+            lambda b: F.exists(F.sequence(F.lit(0), F.size(b) - F.col("need")), lambda k: F.get(b, k + F.col("need") - 1) - F.get(b, k) < F.col("w")),
+        )
+
+    every = F.array(F.array_sort(F.array_distinct(F.transform("h", lambda x: x["ipos"]))))
+    found = hits.filter(close(every) & close(bands)).select("id", "th", F.struct("ikey", (F.col("cell") * width - slop).cast("int").alias("base"), "len").alias("x"))
     return stored(found.groupBy("id", "th").agg(F.collect_set("x").alias("c")), "near_candidates")
 
 
@@ -202,7 +207,9 @@ def near_items(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
 
     def most(met: Column) -> Column:
         """The largest number of words of one window that are met."""
-        return F.array_max(F.transform(starts, lambda s: F.size(F.filter(F.slice(met, s + 1, F.col("w")), lambda x: x))))
+        # In an array of its own, so that it isn't worked out again for each start.
+        counts = F.transform(F.array(met), lambda m: F.transform(starts, lambda s: F.size(F.filter(F.slice(m, s + 1, F.col("w")), lambda x: x))))
+        return F.array_max(F.get(counts, F.lit(0)))
 
     enough = F.col("w") - _other(F.col("w"))
     pairs = pairs.withColumn("at", shifts).filter(most(F.transform("at", lambda a: F.size(a) > 0)) >= enough)

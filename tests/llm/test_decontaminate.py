@@ -75,7 +75,7 @@ def brute_near(docs, items, window=10, slop=12):
     for i, t in items:
         iw = words(t)
         w = min(window, len(iw))
-        enough = w if w < 3 else w - max(1, w // 5)
+        enough = w if w < 3 else w - 1
         for d, text in docs:
             hits = [(q - p, p) for q, x in enumerate(words(text)) for p, y in enumerate(iw) if x == y]
             for low in {g for g, _ in hits}:
