@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 
@@ -45,3 +45,10 @@ def clear_scratch(spark: SparkSession) -> None:
     for key in [k for k in _roots if k[0] == spark.sparkContext.applicationId]:
         files, place = _place(spark, _roots.pop(key))
         files.delete(place, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch path and read again: cuts the lineage, and what it holds is computed once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
