@@ -133,4 +133,14 @@ SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(c.c, d.doc_i
 FROM d LEFT JOIN c ON c.w = d.w LEFT JOIN cluster ON cluster.c = c.c LEFT JOIN deg ON deg.c = c.c
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op2_pii": OP2, "op3_decontaminate": OP3, "op6_substring_dedup": OP6, "op9_ngram_join": OP9}
+OP13 = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+line AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM d),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op2_pii": OP2, "op3_decontaminate": OP3, "op6_substring_dedup": OP6, "op9_ngram_join": OP9, "op13_line_dedup": OP13}
