@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, line_dedup, merkle, ngram_join, pii, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, html_text, language_id, licenses, line_dedup, merkle, ngram_join, pii, spelling, substring_dedup, toxicity
 from .common import read
 
 
@@ -59,6 +59,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(read(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(read(spark, sf_dir, "documents"))
 
@@ -67,4 +71,4 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_decontaminate, op3_proximity, op4_toxicity, op5_html_text, op6_substring_dedup, op7_licenses, op8_language_id, op9_ngram_join, op10_bpe, op12_merkle_manifest, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_decontaminate, op3_proximity, op4_toxicity, op5_html_text, op6_substring_dedup, op7_licenses, op8_language_id, op9_ngram_join, op10_bpe, op11_spelling, op12_merkle_manifest, op13_line_dedup)}
