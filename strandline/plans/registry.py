@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their counterparts."""
     from ..functions import nested, scalar, user_defined  # noqa: F401
-    from ..operators import aggregates, joins, running, sets, temporal, windows  # noqa: F401
+    from ..operators import aggregates, dominance, intervals, joins, running, sets, skew, temporal, windows  # noqa: F401
     from ..sources import formats  # noqa: F401
     from ..streaming import events  # noqa: F401
 
