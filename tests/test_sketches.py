@@ -1,0 +1,105 @@
+"""Sketches against exact counts and ranks, exact quantiles in rounds."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from strandline.functions import sketches
+from strandline.functions.sketches import Frequent, Ranks, heavy_hitters, ranked_values
+from strandline.operators.quantiles import exact_quantiles
+
+
+def merged(make, parts):
+    first, *others = [make() for _ in parts]
+    for sketch, part in zip([first, *others], parts, strict=True):
+        for at in range(0, len(part), 500):
+            sketch.add(pd.Series(part[at : at + 500]))
+    for other in others:
+        first.merge(other)
+    return first
+
+
+@pytest.mark.parametrize("size", [3, 20, 200])
+def test_frequent(size):
+    rng = np.random.default_rng(size)
+    parts = [rng.zipf(1.4, 3000) for _ in range(7)]
+    own = merged(lambda: Frequent(size), parts)
+    exact = Counter(np.concatenate(parts).tolist())
+    assert own.n == sum(exact.values())
+    assert own.lost <= own.n / (size + 1)
+    assert len(own.counts) <= size
+    assert all(exact[i] - own.lost <= own.counts.get(i, 0) <= exact[i] for i in exact)
+
+
+@pytest.mark.parametrize("size", [8, 64, 512])
+def test_ranks(size):
+    rng = np.random.default_rng(size)
+    parts = [rng.normal(size=n).round(2) for n in (1, 4000, 9000, 3)]
+    own, values = merged(lambda: Ranks(size), parts), np.sort(np.concatenate(parts))
+    assert own.n == len(values)
+    assert own.error <= own.n * (np.log2(own.n / size) + 2) / size
+    assert sum(map(len, own.levels)) <= size * len(own.levels)
+    for rank in (1, 2, 100, len(values) // 2, len(values)):
+        low, high = own.bracket(rank)
+        assert low <= values[rank - 1] <= high
+        assert np.searchsorted(values, high, "right") - np.searchsorted(values, low, "left") <= len(values) * 0.4 + 8 or size == 8
+
+
+def rows():
+    rng = random.Random(5)
+    return [(rng.choice(["a", "b", "hot", "hot", None]), rng.choice([None, float("nan"), 1.0, rng.gauss(0, 1), rng.expovariate(1) * 1e6]), rng.choice(["x", "y", None, str(rng.randrange(400))])) for _ in range(6000)]
+
+
+def grouped(own, k):
+    out = {}
+    for r in own:
+        out.setdefault(r[0], []).append(r[k])
+    return out
+
+
+def test_heavy_hitters(spark):
+    own = rows()
+    df = spark.createDataFrame(own, "k string, v double, w string")
+    want = {(k, w, n) for k, ws in grouped(own, 2).items() for w, n in Counter(ws).items() if w and n * 20 > len(ws)}
+    assert {tuple(r) for r in heavy_hitters(df, ["k"], "w", 20).collect()} == want
+    total = Counter(r[2] for r in own)
+    assert {tuple(r) for r in heavy_hitters(df, [], "w", 20).collect()} == {(w, n) for w, n in total.items() if w and n * 20 > len(own)}
+
+
+@pytest.mark.parametrize("size", [16, 512])
+def test_ranked_values(spark, size, monkeypatch):
+    own = rows()
+    shares = [0.0, 0.1, 0.5, 1.0]
+    found = {(r.k, r.share): r.v for r in ranked_values(spark.createDataFrame(own, "k string, v double, w string"), ["k"], "v", shares, size).collect()}
+    for k, vs in grouped(own, 1).items():
+        vs = sorted(v for v in vs if v is not None and v == v)
+        for s in shares:
+            assert found[k, s] == vs[max(1, int(np.ceil(round(s * len(vs), 9)))) - 1]
+
+
+def test_partial_rows_are_bounded(spark, monkeypatch):
+    """A task sends a row a group, however many rows it reads."""
+    df = spark.range(50_000).selectExpr("id % 7 as k", "id as v").coalesce(3)
+    part = df.mapInArrow(sketches._partial(["k"], "v", lambda: Ranks(32)), "k long, _part int, _state binary")
+    assert part.count() == 3 * 7
+
+
+@pytest.mark.parametrize("least", [0, 1500, 1_000_000])
+def test_exact_quantiles(spark, least):
+    own = [*rows(), *[("one", 3.5, "")] * 40, ("single", -1e300, ""), *[("wide", v, "") for v in (-1.7e308, -1.0, 0.0, 5e-324, 1.7e308)], ("none", None, "")]
+    shares = [0.0, 0.25, 0.5, 0.999, 1.0]
+    found = {(r.k, r.share): r.quantile for r in exact_quantiles(spark.createDataFrame(own, "k string, v double, w string"), ["k"], "v", shares, least).collect()}
+    want = {}
+    for k, vs in grouped(own, 1).items():
+        vs = np.sort([v for v in vs if v is not None and v == v])
+        for s in shares if len(vs) else []:
+            at = s * (len(vs) - 1)
+            a, b = vs[int(at)], vs[min(len(vs) - 1, int(at) + 1)]
+            want[k, s] = a if at == int(at) else a * (1 - (at - int(at))) + b * (at - int(at))
+    assert found.keys() == want.keys()
+    assert all(found[k] == pytest.approx(want[k], rel=1e-9, abs=1e-300) for k in want)
