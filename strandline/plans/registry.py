@@ -28,6 +28,6 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
     from ..functions import nested, scalar, sketches, user_defined  # noqa: F401
     from ..operators import aggregates, dominance, intervals, joins, quantiles, running, sets, skew, temporal, windows  # noqa: F401
     from ..sources import formats  # noqa: F401
-    from ..streaming import events  # noqa: F401
+    from ..streaming import events, state  # noqa: F401
 
     return QUERIES, ORACLES

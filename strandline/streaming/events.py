@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,21 @@ def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_in_steps(build: Callable[[DataFrame], DataFrame], steps: list[DataFrame], name: str) -> DataFrame:
+    """Runs one stream over rows that arrive step by step, each step in as many files as Spark writes, and reads what it wrote.
+
+    ``build`` makes the stream from its source. All runs share checkpoint and
+    state, so what a step brings meets the watermark that the steps before it left.
+    """
+    spark = steps[0].sparkSession
+    arriving, out, state = (scratch(spark, f"{name}-{x}") for x in ("arriving", "out", "state"))
+    for step in steps:
+        step.write.mode("append").parquet(arriving)
+        stream = build(spark.readStream.schema(steps[0].schema).parquet(arriving))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 @query("""
 WITH m AS (SELECT epoch_us(max(ts)) - 3600000000 AS mark FROM events)
 SELECT epoch_us(date_trunc('day', ts)) AS started, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events, m
@@ -61,14 +76,13 @@ GROUP BY 1, 2, mark HAVING epoch_us(date_trunc('day', ts)) + 86400000000 <= mark
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events, then the first tenth of them once more: these come after their windows closed and change nothing."""
     events = table(spark, sf_dir, "events")
-    place = scratch(spark, "arrivals")
-    events.coalesce(1).write.parquet(f"{place}/batch=1")
     mark = events.select(F.percentile_approx("event_id", 0.1)).first()[0]
-    events.filter("false").coalesce(1).write.parquet(f"{place}/batch=2")  # late rows are told by the watermark of one batch before
-    events.filter(F.col("event_id") <= mark).coalesce(1).write.parquet(f"{place}/batch=3")
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/batch=*")
-    days = timed(arriving).groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
-    done = run_to_files(days.select(F.col("w.start").alias("start"), "event_type", "n", "value"), "late")
+
+    def days(source: DataFrame) -> DataFrame:
+        grouped = timed(source).groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+        return grouped.select(F.col("w.start").alias("start"), "event_type", "n", "value")
+
+    done = run_in_steps(days, [events, events.filter(F.col("event_id") <= mark)], "late")
     return done.select(F.unix_micros("start").alias("started"), "event_type", "n", F.round("value", 2).alias("value"))
 
 
