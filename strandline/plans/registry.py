@@ -25,9 +25,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their counterparts."""
-    from ..functions import nested, scalar, sketches, user_defined  # noqa: F401
-    from ..operators import aggregates, dominance, intervals, joins, quantiles, running, sets, skew, temporal, windows  # noqa: F401
-    from ..sources import formats  # noqa: F401
+    from ..functions import nested, scalar, sketches, user_defined, variants  # noqa: F401
+    from ..operators import aggregates, dominance, graphs, intervals, joins, patterns, quantiles, running, sets, skew, temporal, windows  # noqa: F401
+    from ..sources import buckets, formats  # noqa: F401
     from ..streaming import events, state  # noqa: F401
 
     return QUERIES, ORACLES
