@@ -7,14 +7,21 @@ target, negation and reported speech. Where the clause ends, their joint state
 says what the clause is as a whole: a threat, an insult aimed at somebody, several
 insults, a plain one, or one that is negated or reported. A clause counts once,
 with the weight of its strongest insult, however many words it has. The last
-transducer adds the clauses of a document by kind into sums and densities, and a
-logistic model turns these into a score; words have no say but through clauses.
-
-Which words and word beginnings are insults is learned from labelled rows: a
-feature enters the grammar if its log likelihood ratio is at least ``evidence``.
-At most ``max_labelled`` labelled texts serve for that (those with the smallest
-hashes), at most ``10 * max_lexicon`` features of toxic ones are weighed (the most
-frequent), and at most ``max_lexicon`` are kept.
+transducer adds the clauses of a document by kind, and a logistic model turns the
+sums into a score; words have no say but through clauses.
+
+What a kind can do is fixed, how much is learned. Aimed, several and threatening
+clauses raise the score; of plain ones only those after the first do, as a single
+word aimed at nobody may be used of a thing; negated and reported clauses never
+raise it. A ridge pulls the weights to ``PRIOR``, so a kind that no labelled text
+has counts as stated there and not as nothing. The density is per token over
+``SHORT`` tokens more than there are, so that a short text isn't dense by being short.
+
+Which words are insults is learned from labelled rows: at most ``max_labelled``
+texts serve (those with the smallest hashes), a third of them only to confirm. A
+word enters the grammar if its log likelihood ratio on the others is at least
+``evidence`` and most of its confirming uses are toxic; a beginning, of five to eight
+letters, must also cover three insults or more and add to each of them. Of a text, three uses count.
 
 Nulls: a null text is empty and is scored like one. Null ids are never learned
 from and count as held out; null labels and labels other than 0 and 1 aren't
@@ -28,7 +35,6 @@ names, change nothing.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +46,12 @@ from pyspark.sql import functions as F
 from .common import bounded, released
 
 MAX_LABELLED = 12_000
-MAX_LEXICON = 20_000
 EVIDENCE = 12.0
-PREFIXES = range(3, 9)
+PREFIXES = range(5, 9)
+#: Uses of a feature that count in one text.
+USES = 3
+#: Tokens added to a text's own when clauses are set against them.
+SHORT = 100
 # Small closed classes of the grammar.
 TARGET = {"you", "your", "yours", "u", "he", "she", "him", "her", "they", "them", "their", "du", "dich", "dir", "ihr", "sie", "tu", "te", "toi", "vous", "tú", "ti", "usted", "ustedes"}
 NEGATION = {"not", "never", "no", "nobody", "isn't", "aren't", "don't", "wasn't", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "ni"}
@@ -51,8 +60,11 @@ INTENT = {"will", "gonna", "going", "i'll", "we'll", "shall", "werde", "vais", "
 THREAT = {"kill", "hurt", "destroy", "murder", "beat", "shoot", "stab", "burn", "hang", "töten", "schlagen", "tuer", "frapper", "matar", "golpear"}
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]")
 EVENTS = ("plain", "several", "targeted", "negated", "reported", "threat")
-#: Sums, densities, and one of all kinds.
-FEATURES = 2 * len(EVENTS) + 1
+#: Weights before any text is seen, of the sums in the order of EVENTS, of the density, and of nothing at all.
+PRIOR = (8.0, 8.0, 8.0, 0.0, 0.0, 8.0, 0.0, -3.0)
+#: What may raise (1) or only lower (-1) the score, in the same order; the last is free.
+SIGNS = (1, 1, 1, -1, -1, 1, 1, 0)
+FEATURES = len(EVENTS) + 1
 START = (0, 0, 0, 0, 0)
 
 
@@ -62,10 +74,12 @@ def insult(state: int, symbol: str) -> int:
 
 
 def threat(state: int, symbol: str) -> int:
-    """1 after a word of intent, 2 after a threat that follows it."""
+    """1 after a word of intent, 2 after a threat that follows it, 3 once somebody is named after that."""
     if symbol == "INTENT":
         return max(1, state)
-    return 2 if symbol == "THREAT" and state else state
+    if symbol == "THREAT":
+        return max(2, state) if state else 0
+    return 3 if symbol == "TARGET" and state >= 2 else state
 
 
 def target(state: int, symbol: str) -> int:
@@ -93,13 +107,13 @@ MACHINES = (insult, threat, target, negation, report)
 def outcome(state: tuple[int, ...]) -> str | None:
     """What a clause is, from the joint state at its end."""
     insults, threats, targets, negations, reports = state
-    if not insults and threats < 2:
+    if not insults and threats < 3:
         return None
     if reports:
         return "reported"
     if negations == 2:
         return "negated"
-    if threats == 2:
+    if threats == 3:
         return "threat"
     return "targeted" if targets else "several" if insults == 2 else "plain"
 
@@ -129,8 +143,6 @@ class Grammar:
 
     lexicon: dict[str, float]
     weights: list[float]
-    mean: list[float]
-    scale: list[float]
 
     def __post_init__(self) -> None:
         self.symbols = fixed_symbols()
@@ -171,54 +183,73 @@ class Grammar:
         return sums, matched, len(tokens)
 
     def measure(self, text: str) -> tuple[list[float], int]:
-        """The features of a document: sums and densities of its clauses; and how many matched."""
+        """The features of a document: sums of its clauses by kind and their density; and how many matched."""
         sums, matched, n = self.clauses(text)
-        total, n = list(sums.values()), n or 1
-        dense = [100 * x / n for x in total]
-        return [*np.log1p(total), *np.log1p(dense), float(np.log1p(100 * sum(total) / n / np.sqrt(n)))], matched
+        sums["plain"] = max(0.0, sums["plain"] - 1)
+        dense = 100 * sum(sums[e] for e in ("plain", "several", "targeted", "threat")) / (n + SHORT)
+        return [*np.log1p(list(sums.values())), float(np.log1p(dense))], matched
 
     def score(self, text: str) -> tuple[float, int]:
         values, matched = self.measure(text)
-        z = self.weights[-1] + sum(w * (v - m) / s for w, v, m, s in zip(self.weights, values, self.mean, self.scale, strict=False))
+        z = self.weights[-1] + sum(w * v for w, v in zip(self.weights, values, strict=False))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), matched
 
 
-def _document_features(text: str) -> set[str]:
-    return {f for w in set(TOKEN.findall(text.lower())) if len(w) > 2 for f in features(w)}
-
-
-def _count(rows: DataFrame, only: set[str] | None) -> DataFrame:
-    """(f, n): rows with the feature; restricted to ``only`` if given."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for x in batch.column(0):
-                found = _document_features(x.as_py())
-                total.update(found & only if only is not None else found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
-
-    return rows.select("text").mapInArrow(run, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 40) -> tuple[list[float], list[float], list[float]]:
-    """Weights (intercept last) of a ridge logistic model on scaled columns, by Newton steps."""
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    penalty = np.full(len(w), ridge * len(x) / 10)
-    penalty[-1] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + penalty * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-6), grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, sweeps: int = 500) -> list[float]:
+    """Weights of a logistic model, each within its sign, drawn to PRIOR by ``ridge``: Newton steps by coordinate."""
+    x, prior = np.c_[x, np.ones(len(x))], np.array(PRIOR)
+    w, z = prior.copy(), x @ prior
+    for _ in range(sweeps):
+        moved = 0.0
+        for j, sign in enumerate(SIGNS):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            slope = x[:, j] @ (p - y) + ridge * (w[j] - prior[j])
+            step = np.clip(slope / ((x[:, j] ** 2) @ (p * (1 - p)) + ridge), -2, 2)
+            new = w[j] - step
+            new = max(0.0, new) if sign > 0 else min(0.0, new) if sign < 0 else new
+            z += x[:, j] * (new - w[j])
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved < 1e-6:
             break
-    return w.tolist(), mean.tolist(), scale.tolist()
-
-
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, evidence: float = EVIDENCE, max_lexicon: int = MAX_LEXICON) -> Grammar:
+    return w.tolist()
+
+
+def count_features(rows: DataFrame) -> DataFrame:
+    """(f, words, p, n, p_more, n_more) from (text, y, more): uses in toxic and other texts, and in those that confirm.
+
+    ``words`` are the distinct words of toxic texts under a beginning.
+    """
+    letters = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}++(?:['’]\p{L}++)?"), F.lit(0))
+    used = rows.select("y", "more", F.col("th"), F.explode(letters).alias("w")).filter(F.char_length("w") > 2).groupBy("th", "y", "more", "w").agg(F.count("*").alias("uses"))
+    stars = [F.when(F.char_length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in PREFIXES]
+    each = used.select("th", "y", "more", "w", "uses", F.explode(F.array_compact(F.array("w", *stars))).alias("f"))
+    texts = each.groupBy("f", "th", "y", "more").agg(F.least(F.sum("uses"), F.lit(USES)).alias("uses"), F.collect_set(F.when(F.col("y") == 1, F.col("w"))).alias("ws"))
+    sums = [F.sum(F.when(F.col("y") == y, F.col("uses")).otherwise(0)).alias(c) for y, c in ((1, "p"), (0, "n"))]
+    more = [F.sum(F.when((F.col("y") == y) & F.col("more"), F.col("uses")).otherwise(0)).alias(f"{c}_more") for y, c in ((1, "p"), (0, "n"))]
+    counted = texts.groupBy("f").agg(*sums, *more).filter(F.col("p") >= USES)
+    held = texts.filter("y = 1").select("f", F.explode("ws").alias("w")).distinct().groupBy("f").agg(F.count("*").alias("words"))
+    return counted.join(held, "f").select("f", "words", "p", "n", "p_more", "n_more")
+
+
+def choose_lexicon(counted: DataFrame, bad: int, good: int, evidence: float) -> dict[str, float]:
+    """Insults and their weights, from what :func:`count_features` gives and the numbers of toxic and other texts to learn from."""
+    base = bad / (bad + good)
+    p, n = F.col("p") - F.col("p_more"), F.col("n") - F.col("n_more")
+    rate = (p + 0.1) / (p + n + 0.2)
+    ratio = p * F.log(rate / base) + n * F.log((1 - rate) / (1 - base))
+    confirmed = (F.col("p_more") > 0) & (F.col("p_more") >= F.col("n_more"))
+    broad = ~F.col("f").endswith("*") | (F.col("words") >= 3)
+    found = counted.filter((rate > 0.6) & (ratio >= evidence) & confirmed & broad).select("f", "p", "n").collect()
+    uses = {r.f: (r.p, r.n) for r in found}
+    out = {}
+    for f, (a, b) in uses.items():
+        best = max((uses[w][0] for w in uses if not w.endswith("*") and w.startswith(f[:-1])), default=0) if f.endswith("*") else 0
+        if not f.endswith("*") or a > 1.2 * best:
+            out[f] = float(np.clip(np.log((a + 0.5) / (b + 0.5) * good / bad) / 5, 0.05, 1))
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, evidence: float = EVIDENCE) -> Grammar:
     """The grammar learned from labelled rows whose crc32(doc_id) mod 5 is not 0."""
     key = F.col("doc_id").cast("string")
     chosen = labels.filter(F.col("toxic").isin(0, 1) & (F.crc32(key) % 5 != 0)).select("doc_id", F.col("toxic").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -226,36 +257,22 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("y").cast("int").alias("y"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     kept = rows.select("th").orderBy("th").limit(max_labelled)  # one id may have many texts
-    rows = rows.join(F.broadcast(kept), "th", "left_semi").select("text", "y").persist()
+    rows = rows.join(F.broadcast(kept), "th", "left_semi").select("text", "y", "th", (F.pmod(F.xxhash64(F.lit("more"), "th"), F.lit(3)) == 0).alias("more")).persist()
     try:
         sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
         bad, good = sizes.get(1, 0), sizes.get(0, 0)
         if not bad or not good:
-            return Grammar({}, [0.0] * FEATURES + [-2.0], [0.0] * FEATURES, [1.0] * FEATURES)
-        base = bad / (bad + good)
-        found = _count(rows.filter("y = 1"), None).filter(F.col("n") >= 3).orderBy(F.desc("n"), "f").limit(10 * max_lexicon)
-        pos = {r.f: r.n for r in found.collect()}
-        neg = {r.f: r.n for r in _count(rows.filter("y = 0"), set(pos)).collect()} if pos else {}
-        lexicon = {}
-        for f, p in pos.items():
-            n = neg.get(f, 0)
-            rate = (p + 0.1) / (p + n + 0.2)
-            ratio = p * np.log(rate / base) + n * np.log((1 - rate) / (1 - base))
-            if rate > 0.6 and ratio >= evidence:
-                lexicon[f] = float(rate * np.log(p))
-        kept = sorted(lexicon.items(), key=lambda e: (-e[1], e[0]))[:max_lexicon]
-        top = kept[0][1] if kept else 1.0
-        grammar = Grammar({f: v / top for f, v in kept}, [0.0] * (FEATURES + 1), [0.0] * FEATURES, [1.0] * FEATURES)
+            return Grammar({}, list(PRIOR))
+        grammar = Grammar(choose_lexicon(count_features(rows), bad, good, evidence), list(PRIOR))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 values = [grammar.measure(x.as_py())[0] for x in batch.column(0)]
                 yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-        fitted = rows.mapInArrow(run, "x array<double>, y int").collect()
+        fitted = rows.select("text", "y").mapInArrow(run, "x array<double>, y int").collect()
         fitted.sort(key=lambda r: (r.x, r.y))
-        x, y = np.array([r.x for r in fitted]), np.array([r.y for r in fitted], dtype=float)
-        grammar.weights, grammar.mean, grammar.scale = fit_logistic(x, y)
+        grammar.weights = fit_logistic(np.array([r.x for r in fitted]), np.array([r.y for r in fitted], dtype=float))
         return grammar
     finally:
         rows.unpersist()
@@ -264,10 +281,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_clauses): the score of each text and how many clauses matched."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    lexicon, weights, mean, scale = grammar.lexicon, grammar.weights, grammar.mean, grammar.scale
+    lexicon, weights = grammar.lexicon, grammar.weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Grammar(lexicon, weights, mean, scale)
+        g = Grammar(lexicon, weights)
         for batch in batches:
             rows = [g.score(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())], names=[id_col, "score", "n_clauses"])
@@ -285,11 +302,11 @@ def report_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text scores 0.5 or more."""
     grammar = learn(docs, labels)
-    lexicon, weights, mean, scale = grammar.lexicon, grammar.weights, grammar.mean, grammar.scale
+    lexicon, weights = grammar.lexicon, grammar.weights
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = Grammar(lexicon, weights, mean, scale)
+        g = Grammar(lexicon, weights)
         for batch in batches:
             yield batch.filter(pa.array([g.score(x.as_py() or "")[0] < 0.5 for x in batch.column(at)], pa.bool_()))
 
