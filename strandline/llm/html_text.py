@@ -2,10 +2,12 @@
 
 A page is read as words and tags. A word scores by what encloses it, a tag costs;
 one linear scan finds the contiguous region of the highest sum, and its blocks
-are the text. The weights are log odds counted on labelled pages: those with an
-``article`` or ``main`` element, whose inside is the content. At most
-``max_labelled`` of them serve, from the twice as many pages whose ids have the
-smallest hashes.
+are the text. Inside an ``article`` or ``main`` nothing costs and each word scores
+above zero, so lists of links, pictures and empty cells there end no region; between
+two paragraphs of one parent nothing costs either. The weights are log odds counted
+on labelled pages: those with an ``article`` or ``main`` element, whose inside is the
+content; tags of boilerplate, which is known by its names, are left out of them. At
+most ``max_labelled`` pages serve, from the twice as many whose ids have the smallest hashes.
 
 Nulls: null html is empty and gives empty text. Pages without words that score
 above zero give empty text. Repeated rows give repeated results; an empty table
@@ -48,11 +50,11 @@ BOILERPLATE = {"nav", "footer", "aside", "form", "head", "dialog", "menu"}
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "li", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption"}
 #: Whole names of class, id or role that mark menus, adverts, sidebars and comments; some also as leading part.
 MARKS = re.compile(
-    r"^(?:ads?|sponsor\w*|banner|consent|popup|modal|newsletter|subscribe|sidebar|menu|nav|navigation|footer|comments|related|toolbar|copyright|complementary|contentinfo|"
-    r"header|masthead|site-(?:header|footer|navigation)|comments-(?:area|list|section)|ads?[-_](?:banner|box|container|slot|unit|wrapper)|"
-    r"(?:advert\w*|cookies?|breadcrumbs?|disqus|navbar)(?:[-_].*)?)$"
+    r"^(?:ads?|adsbygoogle|sponsor\w*|banner|consent|popup|modal|newsletter|subscribe|sidebar|menu|nav|navigation|footer|related|toolbar|copyright|complementary|contentinfo|"
+    r"header|masthead|(?:site|page)[-_](?:header|footer|navigation)|ads?[-_](?:banner|box|container|slot|unit|wrapper)|respond|commentlist|comments?[-_](?:area|block|box|container|feed|form|list|respond|section|thread|wrapper)|"
+    r"(?:(?!has|no|with|show|hide)[a-z0-9]+[-_])*comments|(?:advert\w*|cookies?|breadcrumbs?|disqus|gdpr|navbar)(?:[-_].*)?)$"
 )
-HEADER = {"header", "masthead", "site-header"}
+HEADER = {"header", "masthead", "site-header", "page-header"}
 #: Whole names that stand on menus and on articles alike: their words have a learned weight of their own.
 HINTS = {"widget", "share", "social", "notice", "alert", "search", "login", "signup", "promo", "recommended", "replies", "comment"}
 CONTENT = {"article", "main"}
@@ -64,12 +66,16 @@ INERT_TAG = re.compile(rf"<(/?)({'|'.join(sorted(INERT))})(?=[\s/>])(?:[^<>\"']|
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 #: Weights where no labelled page speaks for a feature.
 WORD, TAG, BOILER = 1.0, -0.25, -2.0
+#: The least that a word of an article scores.
+INSIDE = 0.1
+#: Words that a block which isn't a paragraph must have of its own to be one of its parent's.
+OWN_WORDS = 8
 
 
 class Node:
     """An element: what it inherits, and what it says of itself until the page is read."""
 
-    __slots__ = ("tag", "parent", "block", "above", "solid", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content", "inert", "loose", "free", "words", "first", "last")
+    __slots__ = ("tag", "parent", "block", "above", "solid", "hard", "soft", "hint", "article", "main", "exempt", "holds", "boiler", "content", "inert", "loose", "free", "words", "own", "first", "last", "reach")
 
     def __init__(self, tag: str, parent: Node | None, names: list[str]) -> None:
         self.tag, self.parent = tag, parent
@@ -88,7 +94,7 @@ class Node:
         self.hint = next((w for w in names if w in HINTS), "")
         self.exempt = tag in CONTENT or tag in ("html", "body")
         self.holds = self.boiler = self.loose = self.free = False
-        self.words, self.first, self.last = 0, -1, -1
+        self.words, self.own, self.first, self.last, self.reach = 0, 0, -1, -1, -1
 
     def settle(self) -> None:
         """Boilerplate and hint, once it is known which elements hold the content."""
@@ -104,18 +110,22 @@ def names(attributes: str) -> list[str]:
 
 
 def enclose(nodes: list[Node], events: list[tuple[str, str, Node, bool]]) -> None:
-    """Frees boilerplate inside an article or main, and between two paragraphs of one parent.
+    """Frees boilerplate inside an article or main, and finds how far the paragraphs of a parent reach.
 
-    A paragraph counts for its parent, and through sections for theirs; a block
-    with words of its own counts for itself and its parent.
+    A paragraph counts for its parent, and through sections for theirs; another
+    block with enough words of its own counts for itself and its parent, and so
+    does an outer article.
     """
-    for i, (kind, value, node, _) in enumerate(events):
-        if kind or node.boiler or not value.strip():
+    texts = [(i, node, len(value.split())) for i, (kind, value, node, _) in enumerate(events) if not kind and not node.boiler]
+    for _, node, n in texts:
+        node.words += n > 0
+        node.block.own += n
+    for i, node, n in texts:
+        if not n:
             continue
-        node.words += 1
         block = node.block
         holders = [] if block.tag in PROSE else [block]
-        if block.parent is not None:  # past the item of a list, the cell of a table
+        if block.parent is not None and (block.tag in PROSE or block.own >= OWN_WORDS):  # past the item of a list, the cell of a table
             holders.append(block.parent.above)
         for holder in holders:
             holder.first = i if holder.first < 0 else holder.first
@@ -125,7 +135,7 @@ def enclose(nodes: list[Node], events: list[tuple[str, str, Node, bool]]) -> Non
         if up is None:
             continue
         up.words += node.words
-        if node.tag == "section" and node.first >= 0:
+        if (node.tag == "section" or (node.tag == "article" and not up.article)) and node.first >= 0:
             up.first = node.first if up.first < 0 else min(up.first, node.first)
             up.last = max(up.last, node.last)
     at = {}
@@ -138,6 +148,15 @@ def enclose(nodes: list[Node], events: list[tuple[str, str, Node, bool]]) -> Non
         node.solid = node if node.words or node.content else up.solid  # past what wraps boilerplate only
         if node.boiler:
             node.free = up.free if up.boiler else up.solid.content or up.solid.first < at[node] < up.solid.last
+        # How far the paragraphs reach, beside whose first this element starts.
+        node.reach = max(up.reach, up.last if 0 <= up.first < at[node] else -1)
+
+
+def enclosed(i: int, node: Node) -> bool:
+    """Whether event ``i`` of a node costs nothing."""
+    if node.boiler:
+        return node.free
+    return node.content or i < node.reach or 0 <= node.first < i < node.last
 
 
 class Stack:
@@ -190,8 +209,8 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
     """(kind, value, boilerplate, content, block, free): kind "tag" or what encloses a text.
 
     Names never make boilerplate of html, body, article, main or what holds a
-    main or an outer article, and neither does a form around them. Boilerplate
-    is free where the content goes on behind it. An inert element without an end
+    main or an outer article, and neither does a form around them. What the content
+    goes on behind is free. An inert element without an end
     tag ends where a block starts or its parent ends.
     """
     root = Node("", None, [])
@@ -251,8 +270,8 @@ def read_page(html: str) -> Iterator[tuple[str, str, bool, bool, bool, bool]]:
     for node in nodes:
         node.settle()
     enclose(nodes, events)
-    for kind, value, node, block in events:
-        yield kind or ("." + node.hint if node.hint else node.tag), value, node.boiler, node.content, block and not node.inert, node.free
+    for i, (kind, value, node, block) in enumerate(events):
+        yield kind or ("." + node.hint if node.hint else node.tag), value, node.boiler, node.content, block and not node.inert, enclosed(i, node)
 
 
 def feature(kind: str, value: str, boiler: bool) -> str:
@@ -266,7 +285,7 @@ def count_page(html: str) -> Counter:
     out: Counter = Counter()
     for kind, value, boiler, content, *_ in read_page(html):
         if kind == "tag":
-            out[feature(kind, value, boiler), content and not boiler] += 1
+            out[feature(kind, value, boiler), content] += not boiler
         else:
             out[feature(kind, value, boiler), content] += len(value.split())
     return out
@@ -289,7 +308,7 @@ def learn_weights(pages: DataFrame, id_col: str, html_col: str, max_labelled: in
 
     counted = sample.select("html").mapInArrow(run, "f string, c boolean, n long").groupBy("f").agg(F.sum(F.when(F.col("c"), F.col("n"))).alias("inside"), F.sum(F.when(~F.col("c"), F.col("n"))).alias("outside"))
     weights = {}
-    for row in counted.orderBy(F.desc(F.coalesce("inside", F.lit(0)) + F.coalesce("outside", F.lit(0))), "f").limit(1000).collect():
+    for row in counted.collect():
         odds = math.log((row.inside or 0) + 1) - math.log((row.outside or 0) + 1)
         if row.f.startswith("tag "):
             weights[row.f] = max(-3.0, min(-0.05, odds / 4 + TAG))
@@ -313,16 +332,18 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the best region, one line each; boilerplate enclosed in it costs nothing."""
+    """The blocks of the best region, one line each; what is enclosed in it costs nothing."""
     pieces = []  # (text or None for the end of a block, boilerplate, score)
-    for kind, value, boiler, _, block, free in read_page(html or ""):
+    for kind, value, boiler, content, block, free in read_page(html or ""):
         f = feature(kind, value, boiler)
         if kind == "tag":
-            score = 0.0 if free else weights.get(f, TAG)
+            score = 0.0 if free else min(TAG, weights.get(f, TAG)) if boiler else weights.get(f, TAG)
             pieces.append((None if block else " " if value == "br" else "", boiler, score))
-        else:
-            score = 0.0 if free else weights.get(f, BOILER if boiler else WORD) * len(value.split())
-            pieces.append((value, boiler, score))
+            continue
+        score = weights.get(f, BOILER if boiler else WORD)
+        if free:
+            score = 0.0 if boiler else max(INSIDE if content else 0.0, score)
+        pieces.append((value, boiler, score * len(value.split())))
     best_from, best_to = best_region([score for _, _, score in pieces])
     lines, line = [], []
     for text, boiler, _ in [*pieces[best_from:best_to], (None, False, 0.0)]:

@@ -148,3 +148,61 @@ def test_other_layouts():
     for page in layouts():
         found = html_text.main_text(page, {}).split()
         assert found == wanted, page[:200]
+
+
+def learned(spark, sf_dir):
+    return html_text.learn_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+
+
+def prose(word, n):
+    return " ".join(f"{word}{k}" for k in range(n))
+
+
+def test_nothing_inside_an_article_is_lost(spark, sf_dir):
+    """What stands in an article besides prose ends no region, whatever the weights."""
+    links = lambda n: "".join(f"<li><a href='#{k}'>Section {k}</a></li>" for k in range(n))
+    shown = lambda n: "\n".join(f"Section {k}" for k in range(n))
+    a, b, c = prose("a", 60), prose("b", 200), prose("c", 20)
+    thumbs = "<div>" + "".join(f"<a href='{k}'><img src='{k}.png'></a>" for k in range(30)) + "</div>"
+    cells = "<table>" + "<tr><td></td><td></td><td></td></tr>" * 60 + "</table>"
+    inside = {
+        f"<p>{a}</p><ul>{links(30)}</ul><p>{b}</p>": f"{a}\n{shown(30)}\n{b}",
+        f"<p>{a}</p>{thumbs}<p>{b}</p>": f"{a}\n{b}",
+        f"<p>{a}</p>{cells}<p>{c}</p>": f"{a}\n{c}",
+        f"<p>{a}</p><h2>References</h2><ol>{links(20)}</ol>": f"{a}\nReferences\n{shown(20)}",
+        f"<ul>{links(20)}</ul><p>{c}</p>": f"{shown(20)}\n{c}",
+    }
+    for weights in ({}, learned(spark, sf_dir)):
+        for page, text in inside.items():
+            for tag in ("article", "main"):
+                assert html_text.main_text(f"<body>{MENU}<{tag}>{page}</{tag}>{TAIL}", weights) == text, page[:60]
+        two = f"<body>{MENU}<div><article><p>{a}</p></article><aside>{prose('x', 80)}</aside><article><p>{c}</p></article></div>{TAIL}"
+        assert html_text.main_text(two, weights) == f"{a}\n{c}"
+
+
+def test_nothing_between_paragraphs_is_lost(spark, sf_dir):
+    a, b = prose("a", 40), prose("b", 40)
+    links = "<ul>" + "".join(f"<li><a href='#{k}'>Section {k}</a></li>" for k in range(40)) + "</ul>"
+    shown = "\n".join(f"Section {k}" for k in range(40))
+    for weights in ({}, learned(spark, sf_dir)):
+        assert html_text.main_text(f"<body>{MENU}<p>{a}</p>{'<div></div>' * 200}<p>{b}</p>{TAIL}", weights) == f"{a}\n{b}"
+        assert html_text.main_text(f"<body>{MENU}<div><div>{a}</div>{links}<div>{b}</div></div>{TAIL}", weights) == f"{a}\n{shown}\n{b}"
+
+
+def test_names_of_comments_and_bars(spark, sf_dir):
+    marks = ["class='comment-list'", "class='reader-comments'", "id='respond'", "class='comments_section'", "class='page-header'", "class='page-footer'", "class='adsbygoogle'", "class='gdpr-bar'", "id='article-comments'", "class='commentlist'"]
+    for weights in ({}, learned(spark, sf_dir)):
+        for mark in marks:
+            for tag in ("section", "div"):
+                page = f"<body>{MENU}<div>{PARAGRAPHS}</div><{tag} {mark}><p>{prose('x', 60)}</p></{tag}>{TAIL}"
+                assert html_text.main_text(page, weights).split() == " ".join(BODY).split(), mark
+        for mark in ("has-comments", "no-comments", "comments-open"):
+            assert html_text.main_text(f"<body>{MENU}<div class='post {mark}'>{PARAGRAPHS}</div>{TAIL}", weights).split() == " ".join(BODY).split(), mark
+
+
+def test_time_of_nested_paragraphs():
+    n = 20_000
+    for page in ("<div>a b c d e f g h i" * n, "<article><ul>" + "<li><a>b" * n, "<section><p>a</p>" * n, "<div><p>a</p><div></div><p>b</p>" * n):
+        began = time.perf_counter()
+        html_text.main_text(page, {})
+        assert time.perf_counter() - began < 20, page[:20]
