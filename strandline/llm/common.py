@@ -57,6 +57,15 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= MAX_BROADCAST_BYTES else df
 
 
+def fits(df: DataFrame, overhead: int = 64) -> bool:
+    """Whether a stored table is small enough to broadcast, by the measured bytes of its texts and ``overhead`` a row."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    size = F.lit(overhead).cast("long")
+    for x in texts:
+        size = size + x
+    return (df.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST_BYTES
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", hot_share: float = 1e-4) -> DataFrame:
     """``rows`` joined ("inner" or "left") with their ``groups`` on ``key``, whatever the skew.
 

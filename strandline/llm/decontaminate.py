@@ -32,13 +32,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_BYTES, small, stored, word_array
+from .common import MAX_BROADCAST_BYTES, fits, small, stored, word_array
 
 WINDOW = 10
 ANCHORS = 2
 SLOP = 12
 NEAR_ANCHORS = 4
-#: Parts into which the rows of one item are dealt where items don't fit a broadcast.
+#: Parts into which the rows of one item or word are dealt where items or words don't fit a broadcast.
 SALT = 32
 
 
@@ -54,13 +54,22 @@ def _tokens(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*cols, F.posexplode("words").alias("pos", "term"))
 
 
+def _with_terms(rows: DataFrame, terms: DataFrame, how: str) -> DataFrame:
+    """``rows`` (with ``pos``) joined with stored ``terms`` on term; where these don't fit a broadcast a frequent word is dealt to SALT tasks."""
+    if fits(terms):
+        return rows.join(F.broadcast(terms), "term", how)
+    salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod("pos", F.lit(SALT))).join(salted, ["term", "_salt"], how).drop("_salt")
+
+
 def _rated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(ikey, w, r): the item's words as (n, ipos, term), n the count over all documents."""
     terms = stored(items.select("ikey", F.posexplode("iwords").alias("ipos", "term")), "terms")
-    vocabulary = terms.select("term").distinct()
-    kept = small(vocabulary, terms.count(), 100)
+    vocabulary = stored(terms.select("term").distinct(), "vocabulary")
     words = docs.select(F.explode("words").alias("term"))
-    counts = words.join(kept, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    # Where the vocabulary isn't broadcast, words are counted first, so that a frequent one moves one row a task.
+    known = words.join(F.broadcast(vocabulary), "term", "left_semi") if fits(vocabulary) else words
+    counts = known.groupBy("term").agg(F.count("*").alias("n"))
     rated = terms.join(counts, "term", "left").groupBy("ikey").agg(
         F.array_sort(F.collect_list(F.struct("ipos", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "term"))).alias("a")
     )
@@ -109,15 +118,14 @@ def near_anchors(docs: DataFrame, items: DataFrame, per_window: int) -> DataFram
     return _chosen(_rated(docs, items), F.transform(present, lambda x: F.slice(F.array_sort(x), 1, per_window)))
 
 
-def index_postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def index_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc, term, pos) of the given terms, stored: the positional index."""
-    keys = small(terms.select("term").distinct(), n_terms, 100)
-    return stored(_tokens(docs, "id", "th").join(keys, "term", "left_semi"), "postings")
+    return stored(_with_terms(_tokens(docs, "id", "th"), stored(terms.select("term").distinct(), "keys"), "left_semi"), "postings")
 
 
-def alignments(postings: DataFrame, anchor: DataFrame, n_anchors: int) -> DataFrame:
+def alignments(postings: DataFrame, anchor: DataFrame) -> DataFrame:
     """(id, th, ikey, diag, ipos): each posting moved back by its place in the item."""
-    hit = postings.join(small(anchor, n_anchors, 120), "term")
+    hit = _with_terms(postings, anchor, "inner")
     return hit.select("id", "th", "ikey", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos")
 
 
@@ -160,8 +168,7 @@ def near_candidates(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     The words of a near window stand on alignments from ``base`` to ``base + 3 * slop``.
     """
     anchor = near_anchors(docs, items, NEAR_ANCHORS)
-    n_anchors = anchor.count()
-    aligned = alignments(index_postings(docs, anchor, n_anchors), anchor, n_anchors)
+    aligned = alignments(index_postings(docs, anchor), anchor)
 
     # Alignments that agree within the slop meet in the cell of the least of them.
     width = slop + 1
@@ -186,7 +193,11 @@ def near_candidates(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
 
 
 def near_items(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
-    """(id, th, item_id, n): n words of one window of the item, enough of them, stand within ``slop`` of one alignment."""
+    """(id, th, item_id, n, covered): n words of one window of the item, enough of them, stand within ``slop`` of one alignment.
+
+    ``covered`` are the document's places inside windows that stand there whole: an
+    exact phrase is near as well, with all its words on one alignment.
+    """
     by_doc = near_candidates(docs, items, slop)
     same = docs["id"].eqNullSafe(by_doc["id"]) & (docs["th"] == by_doc["th"])
     around = F.transform(
@@ -215,27 +226,43 @@ def near_items(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     pairs = pairs.withColumn("at", shifts).filter(most(F.transform("at", lambda a: F.size(a) > 0)) >= enough)
     lows = F.filter(F.array_distinct(F.flatten("at")), lambda k: k <= 2 * slop)
     best = F.array_max(F.transform(lows, lambda g: most(F.transform("at", lambda a: F.exists(a, lambda k: (k >= g) & (k <= g + slop))))))
-    near = pairs.select("id", "th", "item_id", "ikey", best.alias("n"), enough.alias("enough")).filter("n >= enough")
-    return near.groupBy("id", "th", "ikey", "item_id").agg(F.max("n").alias("n")).drop("ikey")
+    near = pairs.withColumn("n", best).filter(F.col("n") >= enough)
+    # Alignments on which all words of a window stand, and the places of these words.
+    whole = F.transform(
+        F.array_distinct(F.flatten("at")),
+        lambda k: F.transform(
+            F.filter(starts, lambda s: F.forall(F.slice("at", s + 1, F.col("w")), lambda a: F.array_contains(a, k))),
+            lambda s: F.sequence(F.col("base") + k + s, F.col("base") + k + s + F.col("w") - 1),
+        ),
+    )
+    covered = F.array_distinct(F.flatten(F.flatten(whole)))
+    return near.select("id", "th", "item_id", "n", covered.alias("covered"))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """(id, item_id, n_near): documents that have n_near words of a window of the item, all but a few, within ``slop`` of one alignment."""
-    near = near_items(_prepared(docs, id_col, text_col), _items(items, item_col, "text", window), slop)
+    near = near_items(_prepared(docs, id_col, text_col), _items(items, item_col, "text", window), slop).drop("covered")
     return near.groupBy(F.col("id").alias(id_col), "item_id").agg(F.max("n").alias("n_near"))
 
 
 def near_report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_near (most words of one window), n_near_items, their digest, near."""
+    """Per document what :func:`report` gives and n_near (most words of one window), n_near_items, their digest, near: both from one index."""
     prepared = _prepared(docs, "doc_id", "text")
     found = near_items(prepared, _items(items, "item_id", "text", WINDOW), SLOP)
-    per_doc = stored(found.groupBy("id", "th").agg(F.max("n").alias("n"), F.collect_set("item_id").alias("items")), "near")
+    whole = F.size("covered") > 0
+    per_doc = found.groupBy("id", "th").agg(
+        F.max("n").alias("n"), F.collect_set("item_id").alias("near_items"), F.collect_set(F.when(whole, F.col("item_id"))).alias("items"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"),
+    )
+    per_doc = stored(per_doc, "near")
     base = prepared.select("id", "th", F.size("words").cast("long").alias("n_words"))
     same = base["id"].eqNullSafe(per_doc["id"]) & (base["th"] == per_doc["th"])
     zero = F.lit(0).cast("long")
-    listed = F.coalesce(F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string")))), F.lit(""))
+    listed = lambda c: F.sha2(F.coalesce(F.concat_ws(",", F.array_sort(F.transform(c, lambda x: x.cast("string")))), F.lit("")), 256)
+    n_hit = F.coalesce("n_hit", zero)
     return base.join(per_doc, same, "left").select(
-        base["id"].alias("doc_id"), "n_words", F.coalesce(F.col("n").cast("long"), zero).alias("n_near"), F.coalesce(F.size("items").cast("long"), zero).alias("n_near_items"), F.sha2(listed, 256).alias("near_items_sha256"), F.col("n").isNotNull().alias("near")
+        base["id"].alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items").cast("long"), zero).alias("n_items"), listed("items").alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce(F.col("n").cast("long"), zero).alias("n_near"), F.coalesce(F.size("near_items").cast("long"), zero).alias("n_near_items"), listed("near_items").alias("near_items_sha256"), F.col("n").isNotNull().alias("near"),
     )
 
 
@@ -244,8 +271,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     prepared = _prepared(docs, id_col, text_col)
     kept = _items(items, item_col, "text", window)
     anchor = anchors(prepared, kept, ANCHORS)
-    n = anchor.count()
-    aligned = alignments(index_postings(prepared, anchor, n), anchor, n)
+    aligned = alignments(index_postings(prepared, anchor), anchor)
     found = exact_phrases(prepared, kept, aligned, ANCHORS)
     per_doc = found.groupBy("id", "th").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_hit"), F.collect_set("item_id").alias("items")

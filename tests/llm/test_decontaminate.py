@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from strandline.llm import decontaminate
+from strandline.llm import common, decontaminate
 from strandline.llm.oracles import ORACLES
 from strandline.llm.queries import QUERIES
 
@@ -49,6 +49,8 @@ def test_random(spark):
     docs += [(200, "zebra zebra"), (201, None), (202, ""), (200, "zebra zebra"), (None, "a É b"), (203, "w1 " * 500)]
     found = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert result(found) == Counter((i, *brute(t, items)) for i, t in docs)
+    both = decontaminate.near_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert result(both) == result(found)
 
 
 def test_proximity(spark):
@@ -137,10 +139,12 @@ def test_proximity_random(spark):
     assert found == brute and len(brute) > 30 and len(brute) < len(docs) * len(items) / 2
 
 
-def test_proximity_query(spark, sf_dir):
-    rows = QUERIES["op3_proximity"](spark, sf_dir).collect()
+def test_proximity_query(spark, sf_dir, same_rows):
+    found = QUERIES["op3_proximity"](spark, sf_dir)
+    rows = found.collect()
     exact = {r.doc_id: r.n_items for r in QUERIES["op3_decontaminate"](spark, sf_dir).collect()}
     assert len(rows) == len(exact)
+    same_rows(found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), ORACLES["op3_decontaminate"])
     assert all(r.near == (r.n_near > 0) == (r.n_near_items > 0) and r.n_near_items >= exact[r.doc_id] for r in rows)
 
 
@@ -150,5 +154,8 @@ def test_items_beyond_a_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(words[i % 7 : i % 7 + 25])) for i in range(60)] + [(99, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(words[5:20])), (2, "other words")], "item_id long, text string")
     one = {tuple(r) for r in decontaminate.report(docs, items).collect()}
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", -1)
+    near = {tuple(r) for r in decontaminate.near_report(docs, items).collect()}
+    for module in (decontaminate, common):
+        monkeypatch.setattr(module, "MAX_BROADCAST_BYTES", -1)
+    assert {tuple(r) for r in decontaminate.near_report(docs, items).collect()} == near
     assert {tuple(r) for r in decontaminate.report(docs, items).collect()} == one and sum(r[5] for r in one) == 60
