@@ -43,10 +43,10 @@ def set_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersectAll(b)
 
 
-@query(f"{_A} EXCEPT {_B}")
+@query("SELECT c_nationkey AS k, c_custkey % 7 AS m FROM customer WHERE c_acctbal > 5000 EXCEPT SELECT s_nationkey, s_suppkey % 7 FROM supplier")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _nations(spark, sf_dir)
-    return a.subtract(b)
+    a = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").selectExpr("c_nationkey AS k", "c_custkey % 7 AS m")
+    return a.subtract(table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS k", "s_suppkey % 7 AS m"))
 
 
 @query(f"{_A} EXCEPT ALL {_B}")
