@@ -14,8 +14,9 @@ by themselves outgrow a broadcast: four bytes for each of them.
 Ids are integers. Nulls: a null text counts as empty. A null id is never the
 largest unless every id of the group is null. Repeated rows (same id and text) form a group; one of
 them stays. An empty table gives an empty result. Very long texts are hashed whole.
-Further columns of the input are carried along, but for those named like a result
-column in any case, which it replaces; names that start with an underscore are reserved.
+Further columns of the input are carried along, whatever their names, but for those
+named like a result column in any case, which it replaces. Rows without id are dealt
+over all tasks, whatever text a third of them may share.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.running import number_rows
 from .common import MAX_BROADCAST_BYTES, attach_groups, stored
 
 BLOCK = 32_768
@@ -82,9 +84,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of equal texts the row with the largest id is kept. A filter of more than
     ``max_filter_bytes`` isn't broadcast.
     """
-    columns = [c for c in docs.columns if c.lower() not in RESULTS and not (drop_text and c == text_col)]
-    base = docs.select(*[F.col(c) for c in columns], F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
-    if drop_text and columns == [id_col]:
+    carried = [c for c in docs.columns if c.lower() not in RESULTS and not (drop_text and c == text_col)]
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.toDF(*own.values())
+    columns = [own[c] for c in carried]
+    id_, text = F.col(own[id_col]), F.col(own[text_col])
+    base = docs.select(*columns, F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("_id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("_sha"))
+    if drop_text and carried == [id_col]:
         base = stored(base, "hashes")
         narrow = base.select("_id", "_sha")
     else:
@@ -102,17 +108,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named, suspects, single = narrow, base, None
     groups = named.groupBy("_sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
     decided = attach_groups(named.distinct(), groups, "_sha", "group_size", total)
-    # One exchange for the suspects, on (_sha, _id), which is as good as unique.
+    # One exchange for the suspects, on (_sha, _id), which is as good as unique but where there is no id.
     nth = F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.lit(0)))
     same = (F.col("s._sha") == F.col("d._sha")) & (F.col("s._id") == F.col("d._id"))
-    joined = suspects.withColumn("_nth", nth).alias("s").join(decided.alias("d"), same)
-    own = [F.col(f"s.{c}") for c in columns]
-    kept = (F.col("s._id") == F.col("d.keep_id")) & (F.col("_nth") == 1)
-    out = joined.select(*own, _named("d.keep_id"), F.col("d.group_size"), kept.alias("kept"), F.col("s._sha").alias("text_sha256"))
-    if single is None:
-        return out
-    alone = single.select(*columns, _named("_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
-    return alone.unionAll(out)
+    kept = (F.col("s._id") == F.col("d.keep_id")) & (F.col("s._nth") == 1)
+    out = [*[F.col(f"s.{c}") for c in columns], _named("d.keep_id"), F.col("d.group_size"), kept.alias("kept"), F.col("s._sha").alias("text_sha256")]
+    found = suspects.filter(F.col("_id") != NO_ID).withColumn("_nth", nth).alias("s").join(decided.alias("d"), same).select(*out)
+    if not narrow.filter(F.col("_id") == NO_ID).isEmpty():
+        nameless = number_rows(suspects.filter(F.col("_id") == NO_ID), [], ("_sha",), "_nth")
+        groups_of = attach_groups(nameless, groups, "_sha", "group_size", total)
+        first = F.col("keep_id").eqNullSafe(NO_ID) & (F.col("_nth") == 1)
+        found = found.unionAll(groups_of.select(*columns, _named("keep_id"), "group_size", first.alias("kept"), F.col("_sha").alias("text_sha256")))
+    if single is not None:
+        alone = single.select(*columns, _named("_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
+        found = alone.unionAll(found)
+    return found.toDF(*carried, *RESULTS)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

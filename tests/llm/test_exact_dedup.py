@@ -49,6 +49,19 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", 5, "x"), (2, "a", 6, "y")], "doc_id long, text string, Kept int, KEEP_ID string")
     found = exact_dedup.exact_dedup(docs)
     assert found.filter("kept").select("doc_id", "keep_id").collect() == [(2, 2)]
+    names = ["_block", "_nth", "_sha", "_id", "_bits", "_c0", "_key", "_cold"]
+    docs = spark.createDataFrame([(i, f"t{i % 3}", *range(i, i + len(names))) for i in range(9)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    found = exact_dedup.exact_dedup(docs)
+    assert found.columns[2:10] == names
+    assert {(r.doc_id, *(r[n] for n in names)) for r in found.collect()} == {(i, *range(i, i + len(names))) for i in range(9)}
+
+
+def test_rows_without_id(spark):
+    """A third of all rows have one text and no id: one of them stays, only where no id is known."""
+    rows = [(None, "same")] * 2000 + [(None, "named")] * 50 + [(7, "named"), (7, "named"), (None, "")] + [(i, f"t{i}") for i in range(3000)]
+    for most in (exact_dedup.MAX_BROADCAST_BYTES, 0):
+        found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), max_filter_bytes=most)
+        assert result(found) == brute(rows)
 
 
 def test_stage(awkward, nothing, rows):
