@@ -38,12 +38,18 @@ from pyspark.sql import functions as F
 from .common import slices
 
 MAX_DOCS, MAX_LANGS, MAX_PARTS = 1600, 1000, 16
-LETTER = re.compile(r"[^\W\d_]")
+#: ASCII letters, which most texts begin with; other letters are looked for one by one.
+LETTER = re.compile("[A-Za-z]")
 HIDDEN, EMBED = 8, 8
 #: Bytes read side by side, those that lead into them, pieces at once, and bytes of a stretch to learn from.
 PIECE, WARM, LANES, STRETCH = 992, 32, 1024, 48
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter: a digit raised, a fraction or a number in a circle is none."""
+    return bool(LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def plain(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
@@ -194,7 +200,7 @@ def train(samples: list[tuple[bytes, str]], steps: int = 120, size: int = 192, r
 
 def predict(net: Network, texts: list[str | None]) -> Iterator[tuple[str, float]]:
     """(language, mean probability) of each text."""
-    raws = [plain(t) if t and LETTER.search(t) else b"" for t in texts]
+    raws = [plain(t) if t and has_letter(t) else b"" for t in texts]
     cut = [(i, k, max(0, k - WARM), min(len(raw), k + PIECE + WARM)) for i, raw in enumerate(raws) for k in range(0, len(raw), PIECE)]
     cut.sort(key=lambda c: c[3] - c[2])
     total = np.zeros((len(raws), len(net.langs)))
@@ -231,7 +237,7 @@ def sample(docs: DataFrame, max_docs: int, max_langs: int, max_parts: int) -> li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(p, lang) for text, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True) if LETTER.search(text) for p in stretches(plain(text), max_parts)]
+            pairs = [(p, lang) for text, lang in zip(*[c.to_pylist() for c in batch.columns], strict=True) if has_letter(text) for p in stretches(plain(text), max_parts)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())], names=["part", "lang"])
 
     return sorted((bytes(r.part), r.lang) for r in chosen.mapInArrow(run, "part binary, lang string").collect())

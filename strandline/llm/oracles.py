@@ -14,9 +14,14 @@ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 WINDOW w AS (PARTITION BY t)
 """
 
+_VALUE = "[0-9A-Za-z./_+-]{16,}={0,2}"
+_NAMES = ("token", "secret", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "password", "passwd", "pwd")
+_FIRST_LINES = "|".join("-----BEGIN " + "[A-Z]+ " * k + "PRIVATE KEY-----" for k in (3, 2, 1, 0))
+_PREFIXED = "|".join([rf"\bgh{x}_[0-9A-Za-z]{{36}}\b" for x in "oprsu"] + [r"\bAKIA[A-Z0-9]{16}\b"])
+#: Written apart from the operator's own pattern.
 SECRETS = (
-    r"""(?:token|secret|api_key|apikey|access_key|password|passwd)["'']? {0,2}[=:] {0,2}["'']?[A-Za-z0-9_+/.-]{16,}={0,2}"""
-    r"|-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})\b"
+    f"""(?i:{'|'.join(_NAMES)})["'']?(?: | {{2}})?[:=](?: | {{2}})?["'']?{_VALUE}|[Bb][Ee][Aa][Rr][Ee][Rr] {_VALUE}|{_FIRST_LINES}|{_PREFIXED}"""
+    r"|\beyJ[0-9A-Za-z_-]{10,}(?:\.[0-9A-Za-z_-]{10,}){2}"
 )
 
 # Account numbers are sought as runs of letters and digits and cut at their country's length.
@@ -61,23 +66,25 @@ checked AS (
         lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1
     WHEN 'secret' THEN m LIKE '-----%' OR regexp_matches(own, '[0-9][^=:]*$')
     ELSE NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') END),
+scored AS (
+  SELECT *, round(least(1.0,
+           CASE kind WHEN 'email' THEN 0.9 WHEN 'card' THEN 0.9 WHEN 'iban' THEN 0.9 WHEN 'ssn' THEN 0.3 ELSE 0.6 END
+           + CASE WHEN regexp_matches(near, CASE kind
+               WHEN 'email' THEN 'e-?mail|contact|write to|reach' WHEN 'ip' THEN '(^|[^a-z0-9_])ip($|[^a-z0-9_])|address|host|server|login'
+               WHEN 'card' THEN 'card|visa|credit|payment|debit' WHEN 'phone' THEN 'phone|call|tel|mobile|fax' WHEN 'iban' THEN 'iban|account|bank|transfer'
+               WHEN 'ssn' THEN '(^|[^a-z0-9_])ssn($|[^a-z0-9_])|social security|taxpayer' ELSE 'token|secret|key|passw|bearer' END) THEN 0.3 ELSE 0 END
+           - CASE WHEN regexp_matches(near, 'example|sample|dummy|order no|part no|serial') THEN 0.3 ELSE 0 END), 2)::DOUBLE AS score FROM checked),
 kept AS (
-  SELECT doc_id, kind, k, s::BIGINT AS s, kind || ':' || (s + length(m) - length(own))::BIGINT || ':' || (s + CASE WHEN kind = 'iban' THEN e ELSE length(m) END)::BIGINT AS span FROM checked
-  WHERE k <= 4
-     OR (kind = 'secret' AND 0.6 - CASE WHEN regexp_matches(near, 'example|sample|dummy|order no|part no|serial') THEN 0.3 ELSE 0 END
-                                + CASE WHEN regexp_matches(near, 'token|secret|key|passw') THEN 0.3 ELSE 0 END >= 0.5)
-     OR (kind = 'iban' AND 0.9 - CASE WHEN regexp_matches(near, 'example|sample|dummy|order no|part no|serial') THEN 0.3 ELSE 0 END
-                              + CASE WHEN regexp_matches(near, 'iban|account|bank|transfer') THEN 0.3 ELSE 0 END >= 0.5)
-     OR (kind = 'ssn' AND 0.3 - CASE WHEN regexp_matches(near, 'example|sample|dummy|order no|part no|serial') THEN 0.3 ELSE 0 END
-                             + CASE WHEN regexp_matches(near, '\bssn\b|social security|taxpayer') THEN 0.3 ELSE 0 END >= 0.5)),
+  SELECT doc_id, kind, k, s::BIGINT AS s, kind || ':' || (s + length(m) - length(own))::BIGINT || ':' || (s + CASE WHEN kind = 'iban' THEN e ELSE length(m) END)::BIGINT AS span, score
+  FROM scored WHERE k <= 4 OR score >= 0.5),
 per AS (
   SELECT doc_id, count(*) FILTER (k = 1) AS e, count(*) FILTER (k = 2) AS i, count(*) FILTER (k = 3) AS c, count(*) FILTER (k = 4) AS p,
-         count(*) FILTER (k = 5) AS n5, count(*) FILTER (k = 6) AS n6, count(*) FILTER (k = 7) AS n7, count(*) AS n,
+         count(*) FILTER (k = 5) AS n5, count(*) FILTER (k = 6) AS n6, count(*) FILTER (k = 7) AS n7, count(*) AS n, max(score) AS top,
          string_agg(span, ',' ORDER BY k, s) FILTER (k <= 4) AS b, string_agg(span, ',' ORDER BY k, s) AS a
   FROM kept GROUP BY doc_id)
 SELECT d.doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone,
        sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans,
-       coalesce(n5, 0) AS n_iban, coalesce(n6, 0) AS n_ssn, coalesce(n7, 0) AS n_secret, coalesce(n, 0) AS n_spans
+       coalesce(n5, 0) AS n_iban, coalesce(n6, 0) AS n_ssn, coalesce(n7, 0) AS n_secret, coalesce(n, 0) AS n_spans, coalesce(top, 0) AS top_score
 FROM d LEFT JOIN per USING (doc_id)
 """.replace("LENGTHS", ", ".join(f"('{c}', {n})" for c, n in IBAN_LENGTH.items())).replace("SECRETS", SECRETS)
 

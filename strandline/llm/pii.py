@@ -42,12 +42,13 @@ IBAN_LENGTH = {
     "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-#: A value behind a word like token, a key's first line, or a value with a provider's prefix.
+#: A value behind a word like token, in any case, or behind "Bearer"; a key's first line; a value with a provider's prefix; a signed web token.
 SECRET = (
-    r"(?:token|secret|api_key|apikey|access_key|password|passwd)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?[A-Za-z0-9_+/.-]{16,}+={0,2}"
+    r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?[A-Za-z0-9_+/.-]{16,}+={0,2}"
+    r"|(?i:bearer)\x20[A-Za-z0-9_+/.-]{16,}+={0,2}"
     r"|-----BEGIN\x20(?:[A-Z]++\x20){0,3}PRIVATE\x20KEY-----|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9_])"
+    r"|(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
 )
-SECRET_HINTS = ("token", "secret", "api_key", "apikey", "access_key", "passw", "PRIVATE", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Words that speak for a kind, or against any kind, within CONTEXT code points before a span.
 CONTEXT = 40
@@ -55,12 +56,12 @@ CONTEXT = 40
 BLOCK = 256
 FOR = {
     "email": r"e-?mail|contact|write to|reach",
-    "ip": r"\bip\b|address|host|server|login",
+    "ip": r"(?:^|[^a-z0-9_])ip(?:$|[^a-z0-9_])|address|host|server|login",
     "card": r"card|visa|credit|payment|debit",
     "phone": r"phone|call|tel|mobile|fax",
     "iban": r"iban|account|bank|transfer",
-    "ssn": r"\bssn\b|social security|taxpayer",
-    "secret": r"token|secret|key|passw",
+    "ssn": r"(?:^|[^a-z0-9_])ssn(?:$|[^a-z0-9_])|social security|taxpayer",
+    "secret": r"token|secret|key|passw|bearer",
 }
 AGAINST = r"example|sample|dummy|order no|part no|serial"
 
@@ -139,7 +140,7 @@ KINDS = (
     Kind("phone", PHONE, lambda m: F.length(_digits(m)).between(8, 15), ("+",), 0.6, True),
     Kind("iban", iban_pattern(), _iban, (), 0.9, False),
     Kind("ssn", SSN, lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), ("-",), 0.3, False),
-    Kind("secret", SECRET, _secret, SECRET_HINTS, 0.6, False, r"(?:[A-Za-z0-9_+/.-]{16,}={0,2}|-----BEGIN[A-Z\x20]+-----)$"),
+    Kind("secret", SECRET, _secret, (), 0.6, False, r"(?:[A-Za-z0-9_+/.-]{16,}={0,2}|-----BEGIN[A-Z\x20]+-----)$"),
 )
 
 
@@ -241,7 +242,7 @@ def _named(kind: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest of :func:`find_pii`: counts, and spans as kind:start:end."""
+    """The digest of :func:`find_pii`: counts, spans as kind:start:end, and the highest score of a span, 0 if there is none."""
     found = find_pii(docs)
 
     def listed(kinds: tuple[Kind, ...]) -> Column:
@@ -250,5 +251,6 @@ def report(docs: DataFrame) -> DataFrame:
     base = KINDS[:4]
     counts = {k.name: F.size(k.name).cast("long") for k in KINDS}
     added = [counts[k.name].alias(f"n_{k.name}") for k in KINDS[4:]]
+    top = F.greatest(*[F.array_max(F.transform(k.name, lambda s: s["score"])) for k in KINDS])
     every = sum(counts.values(), F.lit(0).cast("long")).alias("n_spans")
-    return found.select("doc_id", *[counts[k.name].alias(f"n_{k.name}") for k in base], F.sha2(listed(base), 256).alias("base_sha256"), listed(KINDS).alias("spans"), *added, every)
+    return found.select("doc_id", *[counts[k.name].alias(f"n_{k.name}") for k in base], F.sha2(listed(base), 256).alias("base_sha256"), listed(KINDS).alias("spans"), *added, every, F.coalesce(top, F.lit(0.0)).alias("top_score"))

@@ -106,3 +106,8 @@ def test_many_languages(spark):
     assert 900 < len({lang for _, lang in everyone}) <= 1000 and len(everyone) <= 1600
     net = lid.train(everyone, steps=2)
     assert len(list(lid.predict(net, ["some text"] * 3))) == 3
+
+
+def test_letters():
+    assert all(map(lid.has_letter, ("a", "É", "漢", "1 ß", "ª")))
+    assert not any(map(lid.has_letter, ("", "²", "½ ①", "123 _ - \n", "Ⅷ")))
