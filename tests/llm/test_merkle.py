@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import merkle
+from strandline.llm.oracles import ORACLES
 from strandline.llm.queries import QUERIES
 
 
@@ -54,6 +55,10 @@ def result(df):
     return Counter((r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in df.collect())
 
 
+def test_sql(spark, sf_dir, same_rows):
+    same_rows(QUERIES["op12_merkle_manifest"](spark, sf_dir), ORACLES["op12_merkle_manifest"])
+
+
 def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()]

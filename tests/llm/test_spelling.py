@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from strandline.llm import spelling
+from strandline.llm.oracles import ORACLES
 from strandline.llm.queries import QUERIES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,7 +66,8 @@ def result(df):
     return out
 
 
-def test_query(spark, sf_dir):
+def test_query(spark, sf_dir, same_rows):
+    same_rows(QUERIES["op11_spelling"](spark, sf_dir), ORACLES["op11_spelling"])
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = brute(words_of(rows))
     assert any(r[1] for r in want)
