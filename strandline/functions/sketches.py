@@ -30,6 +30,7 @@ from ..sources.tables import table
 MOST_GROUPS = 10_000
 #: Parts in which the sketches of a group are merged first.
 PARTS = 64
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 class Sketch(Protocol):
@@ -189,6 +190,12 @@ def sketch_by(df: DataFrame, by: list[str], value: str, make: Callable[[], Sketc
     return parts.groupBy(*by).applyInPandas(end, schema)
 
 
+def _fits(stored_rows: DataFrame, columns: list[str]) -> bool:
+    """Whether a stored table is small enough to broadcast, by the measured bytes of its columns."""
+    texts = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(100).cast("long"))
+    return (stored_rows.agg(F.sum(texts)).first()[0] or 0) <= MAX_BROADCAST_BYTES
+
+
 def heavy_hitters(df: DataFrame, by: list[str], item: str, per: int) -> DataFrame:
     """(by, item, n) of the items that more than one row in ``per`` of their group has; null items count as rows, not as items.
 
@@ -202,14 +209,14 @@ def heavy_hitters(df: DataFrame, by: list[str], item: str, per: int) -> DataFram
         return pd.DataFrame({item: list(sketch.counts)})
 
     candidates = stored(sketch_by(rows.filter(F.col(item).isNotNull()), by, item, lambda: Frequent(2 * per), finish, f"`{item}` {kind}"), "candidates")
-    size = candidates.agg(F.count("*"), F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in candidates.columns), F.lit(0)))).first()
     listed = candidates.toDF(*[f"_{c}" for c in candidates.columns])
-    if size[0] * 32 + (size[1] or 0) <= 64 << 20:
-        listed = F.broadcast(listed)
     same = F.col(item) == F.col(f"_{item}")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
-    counted = rows.join(listed, same).groupBy(*by, item).agg(F.count("*").alias("n"))
+    if _fits(candidates, candidates.columns):
+        counted = rows.join(F.broadcast(listed), same).groupBy(*by, item).agg(F.count("*").alias("n"))
+    else:  # counted before they meet, so that a heavy hitter moves one row a task
+        counted = rows.groupBy(*by, item).agg(F.count("*").alias("n")).join(listed, same, "left_semi")
     totals = rows.groupBy(*by).agg(F.count("*").alias("_total")).toDF(*[f"_{b}" for b in by], "_total")
     if not by:
         return counted.filter(F.col("n") * per > totals.first()[0])
@@ -237,11 +244,12 @@ def ranked_values(df: DataFrame, by: list[str], value: str, shares: list[float],
     same = F.col("_v") <= F.col("_high")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
-    count = brackets.agg(F.count("*"), F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in by), F.lit(0)))).first()
-    small = count[0] * 100 + (count[1] or 0) <= 64 << 20
-    met = rows.join(F.broadcast(ends) if small else ends, same)
+    if _fits(brackets, by):
+        met = rows.withColumn("_n", F.lit(1)).join(F.broadcast(ends), same)
+    else:  # values are counted before they meet their group's brackets
+        met = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")).join(ends, same)
     below = F.col("_v") < F.col("_low")
-    counted = met.groupBy(*by, "_share", "_rank", F.when(~below, F.col("_v")).alias("_v")).agg(F.count("*").alias("_n"))
+    counted = met.groupBy(*by, "_share", "_rank", F.when(~below, F.col("_v")).alias("_v")).agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy(*by, "_share").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     enough = counted.withColumn("_upto", F.sum("_n").over(upto)).filter("_upto >= _rank and _v is not null")
     return enough.groupBy(*by, F.col("_share").alias("share")).agg(F.min("_v").alias(value))

@@ -82,6 +82,14 @@ def test_ranked_values(spark, size, monkeypatch):
             assert found[k, s] == vs[max(1, int(np.ceil(round(s * len(vs), 9)))) - 1]
 
 
+def test_beyond_a_broadcast(spark, monkeypatch):
+    """Candidates and brackets that don't fit meet counts, with the same result."""
+    df = spark.createDataFrame(rows(), "k string, v double, w string")
+    own = [{tuple(r) for r in f.collect()} for f in (heavy_hitters(df, ["k"], "w", 20), ranked_values(df, ["k"], "v", [0.5], 16))]
+    monkeypatch.setattr(sketches, "MAX_BROADCAST_BYTES", -1)
+    assert [{tuple(r) for r in f.collect()} for f in (heavy_hitters(df, ["k"], "w", 20), ranked_values(df, ["k"], "v", [0.5], 16))] == own
+
+
 def test_partial_rows_are_bounded(spark, monkeypatch):
     """A task sends a row a group, however many rows it reads."""
     df = spark.range(50_000).selectExpr("id % 7 as k", "id as v").coalesce(3)
