@@ -4,6 +4,10 @@ A window without a partition key sorts the whole table in one task, and one with
 hot key sorts that key's rows in one task. Here rows are dealt by ranges of (group,
 order), numbered and summed inside each range, and the ranges' counts and sums,
 one row a range and group, give what lies before each.
+
+Rows that tie are told apart by their place in the input's partitions, so that a lost
+task is run again with the same ranges the input should be a scan or a stored table;
+store what comes out of a shuffle first, where rows tie in the order.
 """
 
 from __future__ import annotations
