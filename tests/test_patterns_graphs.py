@@ -36,8 +36,7 @@ def latest_beginning(events, end, pattern, within):
     return best
 
 
-@pytest.mark.parametrize("pattern", PATTERNS, ids="".join)
-@pytest.mark.parametrize("cell", [3, 1000])
+@pytest.mark.parametrize(("pattern", "cell"), [*[(p, 3) for p in PATTERNS], (PATTERNS[1], 1000)])
 def test_pattern(spark, pattern, cell):
     rng = random.Random(cell)
     rows = [(i, rng.randrange(60), rng.choice("aabbcx"), rng.choice(["u", "hot", "hot", "hot"])) for i in range(120)]
