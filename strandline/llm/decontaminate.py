@@ -173,10 +173,15 @@ def near_candidates(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     # Alignments that agree within the slop meet in the cell of the least of them.
     width = slop + 1
     cell = F.floor(F.col("diag") / width)
-    hits = aligned.select("id", "th", "ikey", F.struct("diag", "ipos").alias("x"), F.explode(F.array(cell - 1, cell)).alias("cell"))
-    hits = hits.groupBy("id", "th", "ikey", "cell").agg(F.collect_set("x").alias("h"))
     need = F.least(F.lit(NEAR_ANCHORS), F.col("w")) - _other(F.col("w"))
-    hits = _with_items(hits, items.select("ikey", "w", F.size("iwords").alias("len"))).withColumn("need", need).filter(F.size("h") >= F.col("need"))
+    # Most documents have too few anchors of an item anywhere: one row an anchor shows that, before any goes to two cells.
+    met = aligned.groupBy("id", "th", "ikey").agg(F.collect_list(F.struct("diag", "ipos")).alias("xs"))
+    met = _with_items(met, items.select("ikey", "w", F.size("iwords").alias("len"))).withColumn("need", need)
+    met = met.filter(F.size(F.array_distinct(F.transform("xs", lambda x: x["ipos"]))) >= F.col("need"))
+    placed = met.select("id", "th", "ikey", "w", "len", "need", F.explode(F.array_distinct("xs")).alias("x")).withColumn("diag", F.col("x.diag"))
+    hits = placed.select("id", "th", "ikey", "w", "len", "need", "x", F.explode(F.array(cell - 1, cell)).alias("cell"))
+    hits = hits.groupBy("id", "th", "ikey", "cell").agg(F.collect_set("x").alias("h"), F.first("w").alias("w"), F.first("len").alias("len"), F.first("need").alias("need"))
+    hits = hits.filter(F.size("h") >= F.col("need"))
     lows = F.filter(F.array_distinct(F.transform("h", lambda x: x["diag"])), lambda d: F.floor(d / width) == F.col("cell"))
     bands = F.transform(lows, lambda d: F.array_sort(F.array_distinct(F.transform(F.filter("h", lambda x: (x["diag"] >= d) & (x["diag"] <= d + slop)), lambda x: x["ipos"]))))
 
@@ -199,6 +204,8 @@ def near_items(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     exact phrase is near as well, with all its words on one alignment.
     """
     by_doc = near_candidates(docs, items, slop)
+    size = by_doc.agg(F.sum(F.lit(64) + 16 * F.size("c"))).first()[0] or 0
+    by_doc = F.broadcast(by_doc) if size <= MAX_BROADCAST_BYTES else by_doc  # else the texts are dealt by document
     same = docs["id"].eqNullSafe(by_doc["id"]) & (docs["th"] == by_doc["th"])
     around = F.transform(
         "c",
