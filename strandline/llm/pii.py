@@ -49,6 +49,8 @@ SECRET = (
     r"|-----BEGIN\x20(?:[A-Z]++\x20){0,3}PRIVATE\x20KEY-----|(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9_])"
     r"|(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
 )
+#: In lower case; a text without any of these has no secret.
+SECRET_HINTS = ("token", "secret", "key", "passw", "pwd", "bearer", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "eyj")
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Words that speak for a kind, or against any kind, within CONTEXT code points before a span.
 CONTEXT = 40
@@ -127,7 +129,7 @@ class Kind:
     name: str
     pattern: str
     valid: object
-    hint: tuple[str, ...]  # a text without any of these has no such span; none if empty
+    hint: tuple[str, ...]  # a text without any of these, in any case, has no such span; none if empty
     base: float  # the score without context
     always: bool  # counts whatever the context
     own: str = ""  # the end of a match that is the span, if not all of it
@@ -140,7 +142,7 @@ KINDS = (
     Kind("phone", PHONE, lambda m: F.length(_digits(m)).between(8, 15), ("+",), 0.6, True),
     Kind("iban", iban_pattern(), _iban, (), 0.9, False),
     Kind("ssn", SSN, lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), ("-",), 0.3, False),
-    Kind("secret", SECRET, _secret, (), 0.6, False, r"(?:[A-Za-z0-9_+/.-]{16,}={0,2}|-----BEGIN[A-Z\x20]+-----)$"),
+    Kind("secret", SECRET, _secret, SECRET_HINTS, 0.6, False, r"(?:[A-Za-z0-9_+/.-]{16,}={0,2}|-----BEGIN[A-Z\x20]+-----)$"),
 )
 
 
@@ -222,8 +224,11 @@ def find_spans(text: Column, kind: Kind) -> Column:
         return F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), hits.alias("hit"))
 
     found = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda h: F.when(F.size(h) > 0, let(pieces(h), placed)).otherwise(none))
-    hinted = [F.contains(text, F.lit(h)) for h in kind.hint]
-    return F.when(reduce(or_, hinted), found).otherwise(none) if hinted else found
+    if not kind.hint:
+        return found
+    any_of = lambda low: reduce(or_, [F.contains(low, F.lit(h)) for h in kind.hint])
+    hinted = any_of(text) if len(kind.hint) == 1 else let(F.lower(text), any_of)
+    return F.when(hinted, found).otherwise(none)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
