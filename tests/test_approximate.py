@@ -43,5 +43,20 @@ def test_distinct_keys_carry_no_sketch(spark, sf_dir):
     assert not any("distinct l_orderkey" in line or "keys=[l_returnflag#" in line and ", l_orderkey#" in line.split("functions=")[0] for line in sketched)
 
 
-def test_distinct_counts_on_given_tables(spark, sf_dir, same_rows):
-    same_rows(__spark_entry__.queries()["agg_approx_distinct"](spark, sf_dir), __spark_entry__.oracle_sql()["agg_approx_distinct"])
+ORDERS = """
+SELECT CASE WHEN i % 5 < 4 THEN 'P' || (i % 5) END AS o_orderpriority, CASE WHEN i % 5 <> 1 AND i % 7 > 0 THEN i % 3000 END AS o_custkey,
+       CASE WHEN i % 5 <> 2 AND i % 11 > 0 THEN TIMESTAMP '1969-11-30 23:59:59' + to_hours((i % 9000)::INT) END AS o_orderdate FROM range(20000) t(i)
+"""
+
+
+@pytest.mark.parametrize("where", ["", " WHERE i < 0"])
+def test_merged_counts_are_exact(both, where):
+    """Also with a null priority, of a group with null customers only, of one without dates, with some dates missing, and of no rows."""
+    ours, theirs = both("agg_merged_sketches", "orders", ORDERS + where)
+    assert ours == theirs
+    assert len(ours) == (0 if where else 5)
+
+
+@pytest.mark.parametrize("name", ["agg_approx_distinct", "agg_merged_sketches"])
+def test_counts_on_given_tables(name, spark, sf_dir, same_rows):
+    same_rows(__spark_entry__.queries()[name](spark, sf_dir), __spark_entry__.oracle_sql()[name])
