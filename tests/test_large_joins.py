@@ -79,6 +79,17 @@ def test_hot_cell(spark):
     assert found.count() == found.distinct().count() == 300 * 200
 
 
+def test_pairs_of_small_intervals_are_spread(spark):
+    """Rows of a few kilobytes make 90,000 pairs; Spark would put them together in one task by their bytes."""
+    left = spark.range(3000).select("id", (F.col("id") * 10).alias("alo"), (F.col("id") * 10 + 150).alias("ahi"))
+    right = spark.range(3000).select(F.col("id").alias("other"), (F.col("id") * 10).alias("blo"), (F.col("id") * 10 + 151).alias("bhi"))
+    found = interval_join(left, right, ("alo", "ahi"), ("blo", "bhi"))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    near = [sum(1 for j in range(max(0, i - 15), min(3000, i + 15))) for i in range(3000)]
+    assert sum(sizes) == sum(near)
+    assert len(sizes) >= 16 and max(sizes) <= sum(sizes) / 4
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 100, 1000])
 def test_merge(n):
     own = np.random.default_rng(n).permutation(n)
