@@ -113,14 +113,17 @@ SELECT c_custkey, n, most FROM customer, LATERAL (SELECT count(*) AS n, max(o_to
 WHERE n > 0
 """)
 def lateral_orders_above_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        """
-        SELECT c_custkey, n, most FROM {customer}, LATERAL (
-          SELECT count(*) AS n, max(o_totalprice) AS most FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal)
-        WHERE n > 0""",
-        customer=table(spark, sf_dir, "customer"),
-        orders=table(spark, sf_dir, "orders"),
-    )
+    """A correlated subquery as a join by its equal key and an aggregate.
+
+    Spark takes a LATERAL with an inequality apart into a nested loop of all
+    customers and orders. Customers alike in key and balance are counted, so
+    that each still has a row of its own.
+    """
+    alike = table(spark, sf_dir, "customer").groupBy("c_custkey", "c_acctbal").agg(F.count("*").alias("alike"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    dearer = orders.join(alike, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > F.col("c_acctbal")))
+    found = dearer.groupBy("c_custkey", "c_acctbal", "alike").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    return found.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike")))).select("c_custkey", "n", "most")
 
 
 @pandas_udf(DoubleType())
