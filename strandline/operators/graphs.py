@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
@@ -58,14 +58,14 @@ r AS (SELECT user_id, nth, value AS level FROM p WHERE nth = 1 UNION ALL SELECT
 SELECT user_id, nth, level FROM r
 """)
 def recursive_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recursive query: each user's first twelve purchases, smoothed exponentially."""
-    return spark.sql(
-        """
-        WITH RECURSIVE p AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS nth, value FROM {events} WHERE event_type = 'purchase'),
-        r(user_id, nth, level) AS (
-          SELECT user_id, nth, value FROM p WHERE nth = 1
-          UNION ALL
-          SELECT p.user_id, p.nth, 0.5 * r.level + 0.5 * p.value FROM r JOIN p ON p.user_id = r.user_id AND p.nth = r.nth + 1 WHERE r.nth < 12)
-        SELECT user_id, nth, level FROM r""",
-        events=table(spark, sf_dir, "events"),
-    )
+    """A recursive query: each user's first twelve purchases, smoothed exponentially.
+
+    Spark's WITH RECURSIVE ends with an error beyond a million rows and joins the
+    whole table anew in each round. A chain stays inside a user here, so its rounds
+    are steps of a fold over at most twelve values, in one pass over the table.
+    """
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("user_id", "event_id", "value")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_id").asc_nulls_last()))
+    first = bought.withColumn("nth", nth).filter("nth <= 12 and (nth = 1 or user_id is not null)").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("nth", "value"))).alias("own"))
+    step = lambda done, x: F.concat(done, F.array(F.struct(x["nth"].cast("long").alias("nth"), F.when(x["nth"] == 1, x["value"]).otherwise(0.5 * F.element_at(done, -1)["level"] + 0.5 * x["value"]).alias("level"))))
+    return first.select("user_id", F.inline(F.aggregate("own", F.lit([]).cast("array<struct<nth: bigint, level: double>>"), step)))

@@ -39,3 +39,15 @@ def test_lateral_without_a_nested_loop(spark, as_its_sql):
     orders = spark.createDataFrame([(1, 5.0), (1, 7.0), (1, None), (2, 8.0), (None, 8.0), (3, 9.0), (5, 99.0), (4, 0.5)], "o_custkey long, o_totalprice double")
     plan = as_its_sql("lateral_orders_above_balance", customer=customer, orders=orders)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_recursion_of_many_rows(spark, as_its_sql):
+    """More rows than a recursive query of Spark's may have; users with fewer purchases than twelve, with none, with nulls."""
+    rows = [(u * 100 + k, u, "purchase" if k % 3 else "view", float(u * k % 17)) for u in range(40) for k in range(u)]
+    rows += [(9001, None, "purchase", 1.0), (9000, None, "purchase", 2.0), (9002, 41, "purchase", None), (9003, 41, "purchase", 4.0), (None, 5, "purchase", 8.0), (9004, 42, None, 1.0)]
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        as_its_sql("recursive_smoothing", events=spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double"))
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
