@@ -51,3 +51,15 @@ def test_recursion_of_many_rows(spark, as_its_sql):
         as_its_sql("recursive_smoothing", events=spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double"))
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+
+
+def test_skewed_sums_without_pairs(spark, tmp_path):
+    """A million rows of one key on both sides: 10 ** 12 pairs, none of which is made."""
+    rows = spark.range(1_000_000).selectExpr("id AS event_id", "id % 2 * 50 AS user_id", "'view' AS event_type", "CAST(1 AS double) AS value")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["join_skewed"](spark, str(tmp_path)).collect()] == [("view", 0, 10**12, 1e12)]
+
+
+def test_skewed_sums_of_odd_rows(spark, as_its_sql):
+    rows = [(i, u, e, v) for i, (u, e, v) in enumerate([(1, "a", 1.5), (51, "a", None), (6, "a", 2.5), (-49, "a", 3.0), (-1, "b", None), (None, "a", 7.0), (2, None, 7.0), (-51, "b", None), (3, "c", -0.25), (103, "c", 0.1)])]
+    as_its_sql("join_skewed", events=spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double"))
