@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import duckdb
 import pytest
 
 from strandline.plans.registry import load
+from strandline.streaming.events import run_in_steps, timed
+from strandline.streaming.state import alerts_of_inactivity, with_rocks
 
 QUERIES, ORACLES = load()
 
@@ -63,3 +67,28 @@ def test_skewed_sums_without_pairs(spark, tmp_path):
 def test_skewed_sums_of_odd_rows(spark, as_its_sql):
     rows = [(i, u, e, v) for i, (u, e, v) in enumerate([(1, "a", 1.5), (51, "a", None), (6, "a", 2.5), (-49, "a", 3.0), (-1, "b", None), (None, "a", 7.0), (2, None, 7.0), (-51, "b", None), (3, "c", -0.25), (103, "c", 0.1)])]
     as_its_sql("join_skewed", events=spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double"))
+
+
+HOURS = {
+    "back_within_the_last_hour": [(1, 0), (2, 24 * 9), (1, 24 * 25), (1, 24 * 25 + 12.5)],
+    "months": [(1, 0), (1, 24 * 40), (1, 24 * 60), (2, 24 * 33), (2, 24 * 33 + 5), (3, 24 * 90)],
+    "nulls": [*[(None, h) for h in (30, 2, 0, 31, 60)], (1, 30), (2, 100), (None, 150), (3, None)],
+    "end_of_silence": [(1, 0), (2, 13)],
+}
+
+
+@pytest.mark.parametrize("case", HOURS)
+def test_inactivity(spark, as_its_sql, case):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(u, None if h is None else start + dt.timedelta(hours=h)) for u, h in HOURS[case]]
+    as_its_sql("stream_inactivity_alerts", events=spark.createDataFrame(rows, "user_id long, ts timestamp_ntz").coalesce(1))
+
+
+def test_late_rows_join_their_period(spark):
+    """A row that comes in a later step but before the watermark closes the gap between two periods."""
+    start = dt.datetime(2024, 1, 1)
+    step = lambda *own: spark.createDataFrame([(u, start + dt.timedelta(hours=h)) for u, h in own], "user_id long, ts timestamp_ntz")
+    steps = [step((1, 0), (1, 13)), step((1, 8)), step((1, 13.5), (2, 100))]
+    found = with_rocks(spark, lambda: run_in_steps(lambda s: alerts_of_inactivity(timed(s, "10 hours"), "user_id", 12 * 3_600_000), steps, "late"))
+    us = lambda h: int((start.replace(tzinfo=dt.UTC).timestamp() + h * 3600) * 1_000_000)
+    assert [tuple(r) for r in found.collect()] == [(1, us(13.5), 4)]
