@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from strandline.operators.intervals import overlap_totals
 from strandline.plans.registry import load
 from strandline.streaming.events import run_in_steps, timed
 from strandline.streaming.state import alerts_of_inactivity, with_rocks
@@ -92,3 +95,22 @@ def test_late_rows_join_their_period(spark):
     found = with_rocks(spark, lambda: run_in_steps(lambda s: alerts_of_inactivity(timed(s, "10 hours"), "user_id", 12 * 3_600_000), steps, "late"))
     us = lambda h: int((start.replace(tzinfo=dt.UTC).timestamp() + h * 3600) * 1_000_000)
     assert [tuple(r) for r in found.collect()] == [(1, us(13.5), 4)]
+
+
+def test_overlaps_of_odd_times(spark, as_its_sql):
+    """Bounds that touch, times that run backwards, nulls, an event's id twice."""
+    start = dt.datetime(2024, 1, 1)
+    rng = random.Random(5)
+    rows = [(i // 2, rng.choice([None, *range(6)]), rng.choice(["error", "view", "click"]), rng.randrange(0, 72 * 60), rng.choice([-700.0, -30.0, -0.4, 0.0, 0.5, 5.0, 90.0, 2000.0])) for i in range(300)]
+    rows += [(900, 1, "error", None, 5.0), (901, 1, "error", 50, None), (902, 1, None, 50, 5.0), (903, 1, "view", None, 1.0), (None, 1, "error", 60, 9.0)]
+    events = spark.createDataFrame([(i, u, e, None if m is None else start + dt.timedelta(minutes=m), v) for i, u, e, m, v in rows], "event_id long, user_id long, event_type string, ts timestamp_ntz, value double")
+    as_its_sql("join_intervals_without_key", events=events)
+
+
+def test_overlaps_without_pairs(spark):
+    """Two million intervals that all overlap: 10 ** 12 pairs, none of which is made."""
+    own = spark.range(1_000_000)
+    left = own.select("id", (-F.col("id")).alias("alo"), (F.col("id") + 1).alias("ahi"))
+    right = own.select((-F.col("id")).alias("blo"), (F.col("id") + 1).alias("bhi"), F.lit(2).alias("w"))
+    found = overlap_totals(left, right, ("alo", "ahi"), ("blo", "bhi"), "id", "n", {"weight": "w"})
+    assert found.agg(F.count("*"), F.min("n"), F.max("n"), F.min("weight"), F.max("weight")).collect() == [(10**6, 10**6, 10**6, 2 * 10**6, 2 * 10**6)]
