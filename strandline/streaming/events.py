@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,14 +112,22 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MILESTONE = 5
+#: Micro-batches that the events are cut into.
+PORTIONS = 3
+#: States that users share.
+BUCKETS = 4096
 
 
-def milestones(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One row each time a user's events reach another multiple of MILESTONE; the state is their count."""
-    before = state.get[0] if state.exists else 0
-    now = before + sum(len(b) for b in batches)
-    state.update((now,))
-    yield pd.DataFrame([(key[0], k * MILESTONE) for k in range(before // MILESTONE + 1, now // MILESTONE + 1)], columns=["user_id", "reached"])
+def milestones(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:  # noqa: ARG001
+    """One row each time a user's events reach another multiple of MILESTONE; the state is the counts of a bucket's users."""
+    users, counts = state.get if state.exists else ([], [])
+    before = pd.Series(counts, index=pd.Index(users), dtype="int64")
+    now = pd.concat([before, *[b["user_id"].value_counts() for b in batches]]).groupby(level=0).sum()
+    done = before.reindex(now.index, fill_value=0).to_numpy() // MILESTONE
+    fresh = now.to_numpy() // MILESTONE - done
+    nth = np.arange(fresh.sum()) - np.repeat(np.cumsum(fresh) - fresh, fresh)
+    state.update((now.index.tolist(), now.tolist()))
+    yield pd.DataFrame({"user_id": now.index.to_numpy().repeat(fresh), "reached": (np.repeat(done, fresh) + nth + 1) * MILESTONE})
 
 
 @query("""
@@ -126,11 +135,20 @@ WITH c AS (SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL G
 SELECT user_id, unnest(range(5, n + 1, 5)) AS reached FROM c
 """)
 def stream_milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of one's own: counts per user, kept over the micro-batches in which the events come."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id").filter("user_id is not null")
+    """State of one's own: counts per user, kept over the micro-batches in which the events come.
+
+    There are about ``PORTIONS`` micro-batches of as many files, however many files
+    the table takes: each batch commits every partition's state, so with a file a
+    batch commits would take the time. Users share ``BUCKETS`` states, as a call of
+    Python for each user would take more than the counting.
+    """
+    events = table(spark, sf_dir, "events").filter("user_id is not null")
     place = scratch(spark, "portions")
-    events.withColumn("batch", F.pmod(F.xxhash64("event_id"), F.lit(3))).write.partitionBy("batch").parquet(place)
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/batch=*")
+    bucket, portion = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)), F.pmod(F.xxhash64("event_id"), F.lit(PORTIONS))
+    events.select("user_id", bucket.cast("int").alias("bucket"), portion.cast("int").alias("portion")).write.partitionBy("portion").parquet(place)
     user = events.schema["user_id"].dataType.simpleString()
-    reached = arriving.groupBy("user_id").applyInPandasWithState(milestones, f"user_id {user}, reached long", "n long", "append", GroupStateTimeout.NoTimeout)
+    schema = f"user_id {user}, bucket int, portion int"
+    files = len(spark.read.schema(schema).parquet(place).inputFiles())
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // PORTIONS))).parquet(place).select("bucket", "user_id")
+    reached = arriving.groupBy("bucket").applyInPandasWithState(milestones, f"user_id {user}, reached long", f"users array<{user}>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
     return run_to_files(reached, "milestones")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
+import os
 import random
 
 import duckdb
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.intervals import overlap_totals
 from strandline.plans.registry import load
+from strandline.sources.scratch import _roots, scratch
 from strandline.streaming.events import run_in_steps, timed
 from strandline.streaming.state import alerts_of_inactivity, with_rocks
 
@@ -114,3 +117,18 @@ def test_overlaps_without_pairs(spark):
     right = own.select((-F.col("id")).alias("blo"), (F.col("id") + 1).alias("bhi"), F.lit(2).alias("w"))
     found = overlap_totals(left, right, ("alo", "ahi"), ("blo", "bhi"), "id", "n", {"weight": "w"})
     assert found.agg(F.count("*"), F.min("n"), F.max("n"), F.min("weight"), F.max("weight")).collect() == [(10**6, 10**6, 10**6, 2 * 10**6, 2 * 10**6)]
+
+
+@pytest.mark.parametrize("n", [0, 3, 4000])
+def test_milestones(spark, as_its_sql, n):
+    """A user with half of all events, users below the first milestone, nulls; twenty files make three micro-batches."""
+    events = spark.range(n).select(F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, -7).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 613).cast("long").alias("user_id"))
+    before = set(commits(spark))
+    as_its_sql("stream_milestones", events=events.repartition(20))
+    assert len(set(commits(spark)) - before) <= 4
+
+
+def commits(spark):
+    scratch(spark, "root")
+    root = next(path for key, path in _roots.items() if key[0] == spark.sparkContext.applicationId)
+    return [p for p in glob.glob(f"{root.removeprefix('file:')}/milestones-state-*/commits/*") if os.path.basename(p).isdigit()]
